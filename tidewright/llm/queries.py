@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, tokencount, tokenfile
+from tidewright.llm import bpe, langid, parsing, simhash, suffix, tokencount, tokenfile, toxicity
 from tidewright.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").where(~out)
+    return toxicity.score(docs, toxicity.train(docs.where(~out), labels)).withColumn("held_out", out)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"))
+    return langid.identify(docs, langid.train(docs.where(~out))).withColumn("held_out", out)
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return tokenfile.digests(tokenfile.read_tokens(spark, manifest))
@@ -21,10 +35,22 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.removed(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_file, op5_byte_bpe, op9_token_counts)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.compared(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language, op4_token_file, op5_byte_bpe, op6_simhash, op7_suffix_dedup, op9_token_counts, op10_fingerprints)}
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
