@@ -16,7 +16,6 @@ are. Texts of any length are whole. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,13 +30,14 @@ import zstandard
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.llm import common
 from tidewright.llm.segments import Ragged, gather, split_piece
 
-#: Words a bucket's cache holds before it begins anew, and rows a packed piece holds.
-MAX_WORDS, PACK_ROWS = 600_000, 4096
+#: Words a bucket's cache holds before it begins anew.
+MAX_WORDS = 300_000
 FIND = regex.compile(PATTERN).findall
 
 
@@ -83,7 +83,7 @@ def unpack(blob: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
-def encode(docs: DataFrame, path: str, group_docs: int = 4000) -> DataFrame:
+def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
     """doc_id and ids (array<int>) of every row. group_docs: about how many rows a group of documents has; it sets only the packing."""
     spark = docs.sparkSession
     n = common.width(spark)
@@ -191,14 +191,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the two hashes of decoded rows."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            n = pc.list_value_length(lists)
-            ids, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n.to_numpy())])
-            shown = [hashlib.sha256(" ".join(map(str, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            body = [hashlib.sha256(b).hexdigest() for b in batch.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n.cast(pa.int64()), pa.array(shown), pa.array(body)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.mapInArrow(scan, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
