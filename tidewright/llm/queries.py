@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, langid, parsing, simhash, suffix, tokencount, tokenfile, toxicity
+from tidewright.llm import bpe, decontam, langid, parsing, quality, simhash, suffix, tokencount, tokenfile, toxicity
 from tidewright.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "quality_text", "quality_meta", "quality_score", "quality_keep")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.held_out(F.col("doc_id"))
@@ -43,6 +48,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.removed(table(spark, sf_dir, "documents")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +60,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.compared(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language, op4_token_file, op5_byte_bpe, op6_simhash, op7_suffix_dedup, op9_token_counts, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_language, op4_token_file, op5_byte_bpe, op6_simhash, op7_suffix_dedup, op8_decontamination, op9_token_counts, op10_fingerprints)}
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
