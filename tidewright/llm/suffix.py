@@ -10,8 +10,9 @@ quicksort over the key's words and compares neighbours, and its first rows with
 closes the bucket before it, which is itself a row there:
 
 * the neighbourhood occurs before: all its strings are repeated;
-* only the leading bytes occur elsewhere too: the neighbourhood's strings are cut out one by one and go
-  through the same partitioning, sorting and comparing as suffixes of their own;
+* only the leading bytes occur elsewhere too: the neighbourhood is cut into runs of RUN strings at fixed distances
+  from the anchor, and the runs go through the same partitioning, sorting and comparing, with the bytes that
+  all strings of a run share as leading bytes; runs that are still open are compared string by string;
 * neither: none of its strings is repeated.
 
 Repeated strings become intervals, gathered for each document and removed from its text.
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import common
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM, RUN = 100, 24, 8
 #: Rows of a bucket, about, and documents that splitters are sampled from, at most about.
 BUCKET_ROWS, SAMPLE_DOCS = 1_500_000, 2000
 KEY = ["w", "g", "c", "doc", "place"]
 LAST = (1 << 63) - 1
-TAG_BITS, N_BITS = 16, 8
+TAG_BITS, OFF_BITS, N_BITS = 16, 7, 8
+LOW_BITS = TAG_BITS + OFF_BITS + N_BITS
 U = np.uint64
 
 
@@ -78,11 +80,11 @@ def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each anchor: its text's number, leading bytes, digest of GRAM bytes, digest of the neighbourhood, and the first place and number of the strings it stands for."""
+    """For each anchor: its text's number, leading bytes, digest of GRAM bytes, digest of the neighbourhood, the first place of the strings it stands for, their number, and how far after that place the anchor is."""
     size = np.diff(starts)
     long = np.flatnonzero(size >= LENGTH)
     if not len(long):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     roll = Rolling(data)
     first = np.arange(len(data) - GRAM + 1)
     key = (roll.digest(first, first + GRAM) & ~U(0xFFFFFFFF)) | first.astype(U)
@@ -101,7 +103,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(new, len(p)))
     begin, at, text = p[new], at[new], text[new]
     near = mix(roll.digest(begin, begin + count - 1 + LENGTH) + (at - begin).astype(U) * U(0x9E3779B97F4A7C15) + count.astype(U))
-    return text, leading(data, at), roll.digest(at, at + GRAM).view(np.int64), near.view(np.int64), begin - starts[text], count
+    return text, leading(data, at), roll.digest(at, at + GRAM).view(np.int64), near.view(np.int64), begin - starts[text], count, at - begin
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -109,16 +111,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << TAG_BITS) - 1).cast("int").alias("tag"), F.col("text").cast("string").alias("text"))
 
 
-def placed(place: np.ndarray, tag: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (place << (TAG_BITS + N_BITS)) | (tag.astype(np.int64) << N_BITS) | n
+def placed(place: np.ndarray, tag: np.ndarray, off: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
+    return (((place << TAG_BITS) | tag.astype(np.int64)) << (OFF_BITS + N_BITS)) | (np.asarray(off) << N_BITS) | n
 
 
 def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in common.blocks(batches):
         data, starts = common.raw(part.column("text"))
-        text, w, g, c, place, n = anchors(data, starts)
+        text, w, g, c, place, n, off = anchors(data, starts)
         doc, tag = part.column("doc").to_numpy()[text], part.column("tag").to_numpy()[text]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, g, c, doc, placed(place, tag, n))], KEY)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, g, c, doc, placed(place, tag, off, n))], KEY)
 
 
 ROWS = "w long, g long, c long, doc long, place long"
@@ -160,7 +162,7 @@ def bucket_of(rows: list[np.ndarray], cuts: np.ndarray) -> np.ndarray:
 def compared(w, g, c, doc, place, before: np.ndarray | None, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket's rows in order: which repeat an earlier row, and which share leading bytes with a row of another neighbourhood."""
     n = len(w)
-    spot = place >> (TAG_BITS + N_BITS)
+    spot = place >> LOW_BITS
     gram = np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])])
     near = gram | np.concatenate([[True], c[1:] != c[:-1]])
     first = np.maximum.accumulate(np.where(near, np.arange(n), 0))
@@ -170,7 +172,7 @@ def compared(w, g, c, doc, place, before: np.ndarray | None, after: np.ndarray |
     if before is not None:  # the row that closes the bucket before this one
         same = (w == before[0]) & (g == before[1])
         shares |= same & (c != before[2])
-        repeats |= same & (c == before[2]) & ((doc != before[3]) | (spot != before[4] >> (TAG_BITS + N_BITS)))
+        repeats |= same & (c == before[2]) & ((doc != before[3]) | (spot != before[4] >> LOW_BITS))
     if after is not None:  # the row that closes this one: its run may go on in the next
         shares |= (w == after[0]) & (g == after[1])
     return repeats, shares & ~repeats
@@ -210,58 +212,86 @@ def splitters(sample: DataFrame, n: int) -> np.ndarray:
     if not len(got):
         return got
     got = got[np.lexsort(got.T[::-1])]
-    return np.unique(got[np.linspace(0, len(got) - 1, n + 1).astype(int)[1:-1]], axis=0)
+    return np.unique(got[np.linspace(0, len(got) - 1, n + 1).astype(int)[1:-1]], axis=0)  # in the rows' order
+
+
+def runs(data: np.ndarray, starts: np.ndarray, text: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Open neighbourhoods cut into runs: the strings whose anchor is 8 j to 8 j + 7 bytes after their beginning. text: whose neighbourhood each is."""
+    count = packed & ((1 << N_BITS) - 1)
+    off = (packed >> N_BITS) & ((1 << OFF_BITS) - 1)
+    stop = np.cumsum(count)
+    row = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(row)) - (stop - count)[row]
+    j = (off[row] - step) // RUN
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (j[1:] != j[:-1])]))[: len(row)]
+    n = np.diff(np.append(new, len(row)))
+    row, j, step = row[new], j[new], step[new]
+    base = starts[text[row]]
+    begin = base + (packed >> LOW_BITS)[row] + step
+    core = begin + off[row] - step - RUN * j  # the first byte that all strings of a full run share
+    roll = Rolling(data)
+    g = mix(roll.digest(core, core + LENGTH - RUN + 1) + j.astype(U))
+    c = mix(roll.digest(begin, begin + n - 1 + LENGTH) + (off[row] - step).astype(U) * U(0x9E3779B97F4A7C15) + n.astype(U))
+    return text[row], leading(data, core), g.view(np.int64), c.view(np.int64), begin - base, n
+
+
+def strings(data: np.ndarray, starts: np.ndarray, text: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Open runs cut into single strings."""
+    count = packed & ((1 << N_BITS) - 1)
+    stop = np.cumsum(count)
+    row = np.repeat(np.arange(len(count)), count)
+    spot = (packed >> LOW_BITS)[row] + np.arange(len(row)) - (stop - count)[row]
+    at = starts[text[row]] + spot
+    return text[row], leading(data, at), Rolling(data).digest(at, at + LENGTH).view(np.int64), np.zeros(len(at), np.int64), spot, np.ones(len(at), np.int64)
+
 
+def tag_of(place: str = "place"):
+    return F.shiftright(place, OFF_BITS + N_BITS).bitwiseAND((1 << TAG_BITS) - 1).cast("int").alias("tag")
 
-def ordered(cuts: np.ndarray) -> np.ndarray:
-    return cuts[np.lexsort(cuts.T[::-1])] if len(cuts) else cuts
+
+def reopened(base: DataFrame, found: DataFrame, cut) -> DataFrame:
+    """Rows that cut makes of what found left open, kept."""
+    open_ = found.where("kind = 1").select("doc", tag_of(), "place").groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.blocks(batches):
+            data, starts = common.raw(part.column("text"))
+            lists = part.column("places")
+            text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            text, w, g, c, spot, n = cut(data, starts, text, lists.flatten().to_numpy())
+            cols = (w, g, c, part.column("doc").to_numpy()[text], placed(spot, part.column("tag").to_numpy()[text], 0, n))
+            for k in range(0, len(text), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in cols], KEY)
+
+    return common.kept(base.join(open_, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(scan, ROWS), "suffix-rows")
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """neighbours() of kept rows, with splitters sampled from them."""
+    n_rows = rows.count()
+    n = max(common.width(rows.sparkSession), -(-n_rows // BUCKET_ROWS))
+    sample = rows.where(F.pmod(F.xxhash64("doc", "place"), F.lit(max(1, n_rows // 100_000))) == 0)
+    return common.kept(neighbours(rows, splitters(sample, n)), "suffix-found")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc, tag and spots: for each row that has any, an array of place and number of its repeated strings."""
     spark = docs.sparkSession
     base = keyed(docs)
-    n_docs = docs.count()
-    step = max(1, n_docs // SAMPLE_DOCS)
+    step = max(1, docs.count() // SAMPLE_DOCS)
     sample = common.kept(base.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(step)) == 0).mapInArrow(suffixes, ROWS), "suffix-sample")
     n_sample = sample.count()
-    width = common.width(spark)
-    n = max(width, -(-n_sample * step // BUCKET_ROWS))
-    cuts = ordered(splitters(sample if n_sample <= 1_000_000 else sample.where(F.pmod(F.xxhash64(*KEY), F.lit(-(-n_sample // 1_000_000))) == 0), n))
-    found = common.kept(neighbours(base.mapInArrow(suffixes, ROWS), cuts), "suffix-found")
+    n = max(common.width(spark), -(-n_sample * step // BUCKET_ROWS))
+    cuts = splitters(sample.where(F.pmod(F.xxhash64("doc", "place"), F.lit(-(-max(1, n_sample) // 200_000))) == 0), n)
+    near = common.kept(neighbours(base.mapInArrow(suffixes, ROWS), cuts), "suffix-found")
     common.release(spark)
-
-    place, tag = F.shiftright("place", TAG_BITS + N_BITS), F.shiftright("place", N_BITS).bitwiseAND((1 << TAG_BITS) - 1).cast("int")
-    open_ = found.where("kind = 1").select("doc", tag.alias("tag"), "place").groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.blocks(batches):
-            data, starts = common.raw(part.column("text"))
-            lists = part.column("places")
-            size = np.diff(lists.offsets.to_numpy())
-            packed = lists.flatten().to_numpy()
-            text = np.repeat(np.arange(len(size)), size)
-            count = packed & ((1 << N_BITS) - 1)
-            begin = packed >> (TAG_BITS + N_BITS)
-            stop = np.cumsum(count)
-            spot = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - (stop - count), count)
-            text = np.repeat(text, count)
-            at = starts[text] + spot
-            roll = Rolling(data)
-            doc, tag = part.column("doc").to_numpy()[text], part.column("tag").to_numpy()[text]
-            cols = (leading(data, at), roll.digest(at, at + LENGTH).view(np.int64), np.zeros(len(at), np.int64), doc, placed(spot, tag, np.ones(len(at), np.int64)))
-            for k in range(0, len(at), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 18)]) for c in cols], KEY)
-
-    rows = common.kept(base.join(open_, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(strings, ROWS), "strings")
+    some = decided(reopened(base, near, runs))
     common.release(spark)
-    n_rows = rows.count()
-    n = max(width, -(-n_rows // BUCKET_ROWS))
-    part = max(1, n_rows // 200_000)
-    cuts = ordered(splitters(rows.where(F.pmod(F.xxhash64("doc", "place"), F.lit(part)) == 0), n))
-    single = neighbours(rows, cuts).where("kind = 0")
-    every = found.where("kind = 0").unionByName(single)
-    return every.select("doc", tag.alias("tag"), F.struct(place.alias("at"), F.col("place").bitwiseAND((1 << N_BITS) - 1).alias("n")).alias("spot")).groupBy("doc", "tag").agg(F.collect_list("spot").alias("spots"))
+    single = decided(reopened(base, some, strings))
+    common.release(spark)
+    every = near.unionByName(some).unionByName(single).where("kind = 0")
+    spot = F.struct(F.shiftright("place", LOW_BITS).alias("at"), F.col("place").bitwiseAND((1 << N_BITS) - 1).alias("n"))
+    return every.select("doc", tag_of(), spot.alias("spot")).groupBy("doc", "tag").agg(F.collect_list("spot").alias("spots"))
 
 
 def covered(n_bytes: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -272,35 +302,40 @@ def covered(n_bytes: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
-def removed(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
-    """doc_id, tag, n_bytes, n_removed, n_spans and kept (binary) of every row. whole_characters: a character goes only if all its bytes are covered."""
-    base = keyed(docs).join(spans(docs), ["doc", "tag"], "left").select("doc", "tag", "text", "spots")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut_rows(texts: pa.Array, lists: pa.Array, whole_characters: bool) -> list[tuple[int, int, int, bytes]]:
+    """Bytes, removed bytes, removed runs and what is left, of each text."""
+    out = []
+    size = np.asarray(pc.list_value_length(lists).fill_null(0))
+    ends = np.cumsum(size)
+    flat = lists.flatten()
+    at, n = (flat.field(k).to_numpy() for k in (0, 1))
+    for text, a, b in zip(texts.to_pylist(), ends - size, ends, strict=True):
+        raw = (text or "").encode()
+        if a == b:
+            out.append((len(raw), 0, 0, raw))
+            continue
+        body = np.frombuffer(raw, np.uint8)
+        gone = covered(len(raw), at[a:b], n[a:b])
+        if whole_characters:
+            lead = np.flatnonzero((body & 0xC0) != 0x80)
+            gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(raw))))
+        starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        out.append((len(raw), int(gone.sum()), starts, body[~gone].tobytes()))
+    return out
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row."""
+    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.blocks(batches):
-            out = []
-            lists = part.column("spots")
-            size = np.asarray(pc.list_value_length(lists).fill_null(0))
-            ends = np.cumsum(size)
-            flat = lists.flatten()
-            at, n = (flat.field(k).to_numpy() for k in (0, 1))
-            for text, a, b in zip(part.column("text").to_pylist(), ends - size, ends, strict=True):
-                raw = (text or "").encode()
-                if a == b:
-                    out.append((len(raw), 0, 0, raw))
-                    continue
-                body = np.frombuffer(raw, np.uint8)
-                gone = covered(len(raw), at[a:b], n[a:b])
-                if whole_characters:
-                    lead = np.flatnonzero((body & 0xC0) != 0x80)
-                    gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(raw))))
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(raw), int(gone.sum()), runs, body[~gone].tobytes()))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc", "tag", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    done = base.mapInArrow(cut, "doc long, tag int, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "tag", "n_bytes", "n_removed", "n_spans", "kept")
+            cols = zip(*cut_rows(part.column("text"), part.column("spots"), False), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), *(pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, pa.binary()), strict=True))], names)
+
+    base = keyed(docs).join(spans(docs), ["doc", "tag"], "left").select("doc", "text", "spots")
+    done = base.mapInArrow(scan, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return done.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), *names[1:])
 
 
 def digests(done: DataFrame) -> DataFrame:
@@ -308,11 +343,18 @@ def digests(done: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated passages taken out of text; n_chars, if there, follows. Other columns stay; a null text stays null."""
-    key = ["_doc", "_tag"]
-    named = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tag": F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << TAG_BITS) - 1).cast("int"), "_null": F.col("text").isNull()})
-    text = removed(docs, True).select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.col("tag").alias("_tag"), F.decode("kept", "UTF-8").alias("_kept")).dropDuplicates(key)
-    out = named.drop("text").join(text, key, "left").withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """docs with repeated passages taken out of text, but no part of a character; n_chars, if there, follows. Other columns stay, and a null text stays null."""
+    own = docs.columns
+    spots = spans(docs).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spots").alias("_spots"))
+    doc, tag = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << TAG_BITS) - 1).cast("int"))
+    named = docs.withColumns({"_doc": doc, "_tag": tag}).join(spots, ["_doc", "_tag"], "left").select(*own, "_spots")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.blocks(batches):
+            old = part.column("text")
+            left = [r[3].decode() for r in cut_rows(old, part.column("_spots"), True)]
+            text = pc.if_else(old.is_null(), pa.scalar(None, pa.string()), pa.array(left, pa.string()))
+            yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in own], own)
+
+    out = named.mapInArrow(scan, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
