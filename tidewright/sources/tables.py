@@ -25,9 +25,9 @@ def url_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def crawl(spark: SparkSession, paths: list[str], first: str | None = None) -> DataFrame:
-    """file, url and html of crawled files: the first line is the url. first: files that come before it by name are passed over."""
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    raw = raw.where(F.col("file") >= first) if first else raw
+    """file, url and html of crawled files: the first line is the url. first: folder/file to resume from; files before it in that order are passed over."""
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = raw.where(F.substring_index("file", "/", -2) >= first) if first else raw
     cut = F.instr("value", "\n")
     return raw.select("file", F.trim(F.substring_index("value", "\n", 1)).alias("url"), F.when(cut > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise("").alias("html"))
 
