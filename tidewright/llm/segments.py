@@ -15,7 +15,7 @@ import numpy as np
 from tidewright.llm.common import Interner
 
 #: Kept pieces, their characters and pre-tokens, beyond which the cache begins anew.
-MAX_PIECES, MAX_CHARS, MAX_WORDS = 200_000, 24_000_000, 300_000
+MAX_PIECES, MAX_CHARS, MAX_WORDS = 250_000, 32_000_000, 700_000
 
 
 def byte_letters() -> dict[int, str]:
