@@ -114,6 +114,26 @@ def test_suffixes(docs, rows, monkeypatch):
     assert sum(r[2] for r in got) > 3000
 
 
+def test_suffixes_of_long_texts(spark, monkeypatch):
+    """Texts far longer than what is digested at a time. The tasks read the bound from the module, so pieces are cut here."""
+    monkeypatch.setattr(suffix, "PIECE", 500)
+    rng = random.Random(9)
+    same = prose(rng, 300)
+    texts = [prose(rng, 200) + same, same, prose(rng, 37) + same[400:1500] + prose(rng, 100) + same[:900]]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    for d in data:
+        whole = suffix.anchors(d, np.array([0, len(d)]))
+        cut = [(at, suffix.anchors(p, s)) for at, p, s in suffix.pieces(d, np.array([0, len(d)]), suffix.LENGTH - 1)]
+        windows = sorted((at + int(b) + k) for at, x in cut for b, n in zip(x[4], x[5], strict=True) for k in range(n))
+        assert windows == list(range(len(d) - 99)) and sum(whole[5]) == len(windows)
+    monkeypatch.undo()
+    rows = list(enumerate([texts[0] * 60, texts[2] + "q", texts[1]]))
+    rows = [(i, t + prose(rng, 270_000 if i == 0 else 5)) for i, t in rows]  # the first is longer than two pieces
+    assert len(rows[0][1].encode()) > 2 * suffix.PIECE
+    got = [tuple(r) for r in suffix.digests(suffix.removed(spark.createDataFrame(rows, "doc_id long, text string"))).orderBy("doc_id").collect()]
+    assert got == brute_repeats(rows)
+
+
 def test_suffix_pieces_agree():
     rng = np.random.default_rng(0)
     words = [rng.integers(0, 3, 500) for _ in range(4)]

@@ -36,7 +36,9 @@ from tidewright.llm import common
 
 LENGTH, GRAM, RUN = 100, 24, 8
 #: Rows of a bucket, about, and documents that splitters are sampled from, at most about.
-BUCKET_ROWS, SAMPLE_DOCS = 1_500_000, 2000
+BUCKET_ROWS, SAMPLE_DOCS = 600_000, 2000
+#: Bytes that a task digests at a time. A longer text is cut into pieces that overlap; neighbourhoods cut apart are merely left open.
+PIECE = 1 << 20
 KEY = ["w", "g", "c", "doc", "place"]
 LAST = (1 << 63) - 1
 TAG_BITS, OFF_BITS, N_BITS = 16, 7, 8
@@ -115,12 +117,22 @@ def placed(place: np.ndarray, tag: np.ndarray, off: np.ndarray | int, n: np.ndar
     return (((place << TAG_BITS) | tag.astype(np.int64)) << (OFF_BITS + N_BITS)) | (np.asarray(off) << N_BITS) | n
 
 
+def pieces(data: np.ndarray, starts: np.ndarray, more: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Bytes in pieces, each with its offset: all texts at once, or a long one in stretches with so many bytes more of the next."""
+    if len(starts) != 2 or len(data) <= 2 * PIECE:
+        yield 0, data, starts
+        return
+    for at in range(0, len(data), PIECE):
+        part = data[at : at + PIECE + more]
+        yield at, part, np.array([0, len(part)])
+
+
 def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in common.blocks(batches):
-        data, starts = common.raw(part.column("text"))
-        text, w, g, c, place, n, off = anchors(data, starts)
-        doc, tag = part.column("doc").to_numpy()[text], part.column("tag").to_numpy()[text]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, g, c, doc, placed(place, tag, off, n))], KEY)
+    for part in common.blocks(batches, size=PIECE):
+        for at, data, starts in pieces(*common.raw(part.column("text")), LENGTH - 1):
+            text, w, g, c, place, n, off = anchors(data, starts)
+            doc, tag = part.column("doc").to_numpy()[text], part.column("tag").to_numpy()[text]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, g, c, doc, placed(place + at, tag, off, n))], KEY)
 
 
 ROWS = "w long, g long, c long, doc long, place long"
@@ -178,12 +190,12 @@ def compared(w, g, c, doc, place, before: np.ndarray | None, after: np.ndarray |
     return repeats, shares & ~repeats
 
 
-def neighbours(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """kind 0: the strings at place repeat earlier ones; kind 1: they may, and must be compared one by one."""
+def neighbours(rows: DataFrame, cuts: np.ndarray, make=None) -> DataFrame:
+    """Of rows, or of what make makes of their batches. kind 0: the strings at place repeat earlier ones; kind 1: they may, and must be compared one by one."""
     n = len(cuts) + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in make(batches) if make else batches:
             pid = bucket_of([batch.column(k).to_numpy() for k in KEY], cuts)
             yield pa.RecordBatch.from_arrays([pa.array(pid), *batch.columns], ["pid", *KEY])
 
@@ -254,14 +266,18 @@ def reopened(base: DataFrame, found: DataFrame, cut) -> DataFrame:
     open_ = found.where("kind = 1").select("doc", tag_of(), "place").groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.blocks(batches):
-            data, starts = common.raw(part.column("text"))
+        for part in common.blocks(batches, size=PIECE):
             lists = part.column("places")
-            text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            text, w, g, c, spot, n = cut(data, starts, text, lists.flatten().to_numpy())
-            cols = (w, g, c, part.column("doc").to_numpy()[text], placed(spot, part.column("tag").to_numpy()[text], 0, n))
-            for k in range(0, len(text), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in cols], KEY)
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            packed = lists.flatten().to_numpy()
+            whole, every = common.raw(part.column("text"))
+            for at, data, starts in pieces(whole, every, 4 * LENGTH):
+                spot = packed >> LOW_BITS
+                mine = (spot >= at) & (spot < at + PIECE) if len(data) < len(whole) else np.ones(len(spot), bool)
+                text, w, g, c, spot, n = cut(data, starts, owner[mine], packed[mine] - (at << LOW_BITS))
+                cols = (w, g, c, part.column("doc").to_numpy()[text], placed(spot + at, part.column("tag").to_numpy()[text], 0, n))
+                for k in range(0, len(text), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 17)]) for x in cols], KEY)
 
     return common.kept(base.join(open_, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(scan, ROWS), "suffix-rows")
 
@@ -283,7 +299,7 @@ def spans(docs: DataFrame) -> DataFrame:
     n_sample = sample.count()
     n = max(common.width(spark), -(-n_sample * step // BUCKET_ROWS))
     cuts = splitters(sample.where(F.pmod(F.xxhash64("doc", "place"), F.lit(-(-max(1, n_sample) // 200_000))) == 0), n)
-    near = common.kept(neighbours(base.mapInArrow(suffixes, ROWS), cuts), "suffix-found")
+    near = common.kept(neighbours(base, cuts, suffixes), "suffix-found")
     common.release(spark)
     some = decided(reopened(base, near, runs))
     common.release(spark)
