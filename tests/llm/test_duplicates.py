@@ -78,6 +78,12 @@ def test_simhash_chains_and_parts(spark, monkeypatch):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_rows_without_ids(spark):
+    rows = [(None, "a b c"), (4, "a b c"), (2, "a b c"), (None, "else where we are"), (2, "another text of this id"), (None, None)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 2), (2, 2), (2, 2), (4, 2)]
+
+
 def test_near_copies_for_the_pipeline(spark):
     rng = random.Random(2)
     base = prose(rng, 200).split()

@@ -12,8 +12,8 @@ With a radius too wide for deals, as near copies by five-word shingles need, all
 compared in parts: exact, but quadratic in their number.
 
 Texts with no word (null and empty ones too) have fingerprint zero and are linked like any other.
-Repeated rows get the same result each. Rows without doc_id have a fingerprint and are linked, but
-a component's id is its smallest doc_id that isn't null, and null if there is none.
+Repeated rows get the same result each; a doc_id with several texts belongs to several components. Rows without doc_id get
+the component of the others that have their fingerprint, or null; by themselves they connect nothing.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def grouped(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, width: int
     prints = common.kept(fingerprints(docs, k, width), "prints")
     values = common.kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", "first"), "values")
     # a node is the smallest doc_id of its fingerprint, so that the smallest node of a component is its id
-    nodes = values.select(F.coalesce("first", F.lit((1 << 63) - 1)).alias("first"), "fp").where("first is not null")
+    nodes = values.where("first is not null")
     ids = nodes.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if ids:  # a doc_id with several fingerprints: nodes can't be named by it
         named = nodes.select(F.xxhash64("fp").alias("node") if width > 1 else F.col("fp")[0].alias("node"), "fp", "first")
@@ -219,8 +219,8 @@ def grouped(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, width: int
     roots = components(links(named.select("node", "fp"), radius))
     of = named.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "first")
     low = of.groupBy("root").agg(F.min("first").alias("low"))
-    component = of.join(low, "root").select("fp", F.when(F.col("low") == (1 << 63) - 1, F.lit(None)).otherwise(F.col("low")).alias("component_id"))
-    return prints.join(component, "fp").select("doc_id", "fp", "component_id")
+    component = of.join(low, "root").select("fp", F.col("low").alias("component_id"))
+    return prints.join(component, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def shown(fp: Column) -> Column:
