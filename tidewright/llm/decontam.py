@@ -19,6 +19,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm import common
+
 WINDOW, SHARE = 5, 0.8
 #: Benchmark windows that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -27,37 +29,45 @@ UNITS = "km|kilometres?|kilometers?|m|metres?|meters?|cm|mm|miles?|feet|foot|ft|
 SLOT = "#"
 
 
+#: What parts words; # and _ are ours.
+GAP = r"[^\p{L}\p{N}#_]+"
+
+
+def numbered(text: Column) -> Column:
+    t = F.regexp_replace(text, r"(?<=\d)[.,:/](?=\d)", "_")
+    t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{N}}_])(\d[\d_]*)\s?({UNITS})(?![\p{{L}}\p{{N}}_])", " #n$1 #u$2 ")
+    return F.regexp_replace(t, r"(?<![\p{L}\p{N}_])(\d)", " #n$1")
+
+
 def marked(text: Column) -> Column:
-    """Words end to end by single spaces; a slot is #n, #u or #m with its value behind."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "#", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:\-'’)] )(\p{Lu}\p{Ll}+)", "#m$1")
-    t = F.regexp_replace(t, rf"(?i)(\d+(?:[.,:/]\d+)*)(?:(\s?)({UNITS})(?![\p{{L}}\p{{N}}]))", " #n$1 #u$3 ")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}#.,:/])(?<!#n)(\d+(?:[.,:/]\d+)*)", " #n$1")
-    return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}#.,:/]+|(?<!\d)[.,:/]+|[.,:/]+(?!\d)", " "))
+    """The text in lower case; a slot is #n, #u or #m with its value behind. Texts without a digit skip what numbers need."""
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("#"), F.lit(" "))
+    t = F.when(text.rlike("[0-9]"), numbered(t)).otherwise(t)
+    return F.lower(F.regexp_replace(t, r"(\p{Lu})(?<=[\p{L}\p{N},;:\-'’)] \p{Lu})(?=\p{Ll})", "#m$1"))
 
 
-def template(words: Column) -> Column:
-    return F.regexp_replace(words, r"(#[nmu])\S*", "$1")
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(marked(text), GAP), "")
 
 
-def windowed(texts: DataFrame, key: str) -> DataFrame:
-    """key, words and kinds (template words) of texts that have a word."""
-    base = texts.select(key, marked(F.col("text")).alias("_m")).where("_m != ''")
-    return base.select(key, F.split("_m", " +").alias("words"), F.split(template(F.col("_m")), " +").alias("kinds"))
+def kinds_of(text: Column) -> Column:
+    """Template words: slots without their values."""
+    return F.array_remove(F.split(F.regexp_replace(marked(text), r"(#[nmu])[\p{L}\p{N}_]+", "$1"), GAP), "")
 
 
 def held(texts: DataFrame, key: str) -> DataFrame:
-    """key, at (the window's first word, from 0) and gram for every window."""
-    kinds = F.col("kinds")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(kinds) - (WINDOW - 1)))
-    return windowed(texts, key).select(key, F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice(kinds, i, WINDOW)))).alias("at", "gram"))
+    """key, at (the window's first word, from 0) and gram for every window; a text without words has one window of nothing."""
+    base = texts.select(key, kinds_of(F.col("text")).alias("kinds"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("kinds") - WINDOW))
+    return base.select(key, F.posexplode(F.transform(starts, lambda i: F.xxhash64(*(F.get("kinds", i + k) for k in range(WINDOW))))).alias("at", "gram"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, share, n_slots: a row for each document and item it holds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    empty = [F.xxhash64(F.array(*map(F.lit, p))) for p in product(("#n", "#m", "#u"), repeat=WINDOW)]
+    nothing = F.xxhash64(*[F.lit(None).cast("string")] * WINDOW)
+    empty = [nothing, *(F.xxhash64(*map(F.lit, p)) for p in product(("#n", "#m", "#u"), repeat=WINDOW))]
     asked = held(items, "item_id").where(~F.array_contains(F.array(*empty), F.col("gram"))).withColumnRenamed("at", "item_at")
     n_asked = asked.count()
     size = asked.groupBy("item_id").agg(F.count("*").alias("n_windows"))
@@ -66,16 +76,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     spots = hits.groupBy("doc_id", "item_id", "item_at").agg(F.min(F.col("at") - F.col("item_at")).alias("shift"), F.count("*").alias("n"))
     pairs = spots.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"), F.mode("shift", True).alias("shift"))
     pairs = pairs.join(F.broadcast(size) if n_asked <= BROADCAST_ROWS else size, "item_id").withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share)
+    pairs = common.kept(pairs.select("doc_id", "item_id", "n_matched", "n_windows", "share", "shift"), "pairs")
 
-    item_words = windowed(items, "item_id").select("item_id", F.col("words").alias("item_words"), F.col("kinds").alias("item_kinds"))
+    item_words = items.select("item_id", words_of(F.col("text")).alias("item_words"), kinds_of(F.col("text")).alias("item_kinds"))
     item_words = F.broadcast(item_words) if n_asked <= BROADCAST_ROWS else item_words
     slots = F.filter(F.transform("item_kinds", lambda k, i: F.when(k.startswith(SLOT), i)), lambda i: i.isNotNull())
     # slots are compared only for items that have any: other pairs are done
     open_ = pairs.join(item_words, "item_id").withColumn("slots", slots)
     plain = open_.where(F.size("slots") == 0).select("doc_id", "item_id", "n_matched", "n_windows", "share", F.lit(0).alias("n_slots"))
     some = open_.where(F.size("slots") > 0)
-    texts = windowed(docs, "doc_id").select(F.col("doc_id").alias("_id"), "words", "kinds")
-    laid = some.join(texts, some["doc_id"].eqNullSafe(texts["_id"]))
+    texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    laid = some.join(texts, some["doc_id"].eqNullSafe(texts["_id"])).withColumns({"words": words_of(F.col("text")), "kinds": kinds_of(F.col("text"))})
     both = F.filter(
         F.transform("slots", lambda i: F.when((i + F.col("shift") >= 0) & (F.get("kinds", i + F.col("shift")) == F.get("item_kinds", i)), F.struct(F.get("item_words", i).alias("a"), F.get("words", i + F.col("shift")).alias("b")))),
         lambda s: s.isNotNull(),
