@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by shingles of five words and a similarity of about 0.8 or more."""
+    """One document of each group of near copies, by sets of five-word shingles with a Jaccard coefficient of 0.8 or more."""
     return simhash.one_of_each(docs)
 
 

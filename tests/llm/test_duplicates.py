@@ -94,6 +94,49 @@ def test_near_copies_for_the_pipeline(spark):
     assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 3]
 
 
+def test_near_copies_by_jaccard(spark, monkeypatch):
+    """Pairs around 0.6 to 0.9, short texts, lines that repeat, and groups checked in parts, against all pairs by brute force."""
+    monkeypatch.setattr(simhash, "GROUP_PART", 7)
+    rng = random.Random(8)
+    texts = []
+    for n in (9, 12, 30, 60, 120, 300):
+        for _ in range(12):
+            words = prose(rng, n).split()
+            texts.append(" ".join(words))
+            for cut in (0.01, 0.02, 0.03, 0.04, 0.06, 0.08):
+                other = list(words)
+                for at in rng.sample(range(n), max(1, round(cut * n))):
+                    other[at] = prose(rng, 1) + "x"
+                texts.append(" ".join(other))
+            texts += [" ".join(words[: round(n * f)]) for f in (0.78, 0.8, 0.82, 0.9)]
+    line = "the same old line again "
+    texts += [prose(rng, 40) + " " + line * 300, prose(rng, 40) + " " + line * 300, "a b c d e f", "a b c d e f g", "", None]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} - {()})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    shares = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            shares.append(both / max(1, len(a | b)))
+            if 5 * both >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert sum(0.6 < s < 0.8 for s in shares) > 100 and sum(0.8 <= s < 0.9 for s in shares) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dict(map(tuple, simhash.near_copies(df).collect()))
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {find(i) for i in range(len(texts))}
+
+
 def brute_repeats(rows):
     """doc_id, text of rows with ids in order to bytes, removed, spans, kept."""
     seen: dict[bytes, tuple] = {}

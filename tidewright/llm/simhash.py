@@ -9,7 +9,8 @@ spanning forest of its links, never all pairs. Links are then contracted by alte
 each round written to the shared folder.
 
 With a radius too wide for deals, as near copies by five-word shingles need, all pairs of distinct fingerprints are
-compared in parts: exact, but quadratic in their number.
+compared in parts: quadratic in their number. There, fingerprints of sets of shingles only propose groups: within each,
+a link holds if the Jaccard coefficient of the two sets of shingles is JACCARD or more.
 
 Texts with no word (null and empty ones too) have fingerprint zero and are linked like any other.
 Repeated rows get the same result each; a doc_id with several texts belongs to several components. Rows without doc_id get
@@ -33,17 +34,33 @@ from tidewright.llm import common
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Values compared by one task at most, where they share a deal and where there are no deals, and rows of a tile.
 PART, WIDE_PART, TILE = 8192, 16384, 512
-#: Five-word shingles of a Jaccard coefficient of 0.8 differ in 15 % of the bits on average: 39 of 256, with a deviation of 6.
-NEAR = {"k": 5, "radius": 48, "width": 4}
+#: Sets of five-word shingles of a Jaccard coefficient of 0.8 differ in 15 % of the bits on average: 39 of 256, with a deviation
+#: of 6 (at worst, of four shingles against five, 48 and 6). The radius is four deviations over that.
+NEAR = {"k": 5, "radius": 72, "width": 4}
+#: Least Jaccard coefficient of near copies, as a fraction. Sets of under LEAST shingles reach it by equality alone.
+JACCARD, LEAST = (4, 5), 4
+#: Sets of a proposed group that a task checks at most, twice.
+GROUP_PART = 1024
 
 
-def fingerprint(text: bytes, k: int = SHINGLE, width: int = 1) -> list[int]:
-    """width signed 64-bit words."""
+def shingles(text: bytes, k: int) -> list[bytes]:
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if len(words) > k:
-        grams = list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
-    else:
-        grams = [b" ".join(words)] if words else []
+        return list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+    return [b" ".join(words)] if words else []
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct shingles' hashes in order."""
+    grams = set(shingles(text, k))
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def fingerprint(text: bytes, k: int = SHINGLE, width: int = 1, distinct: bool = False) -> list[int]:
+    """width signed 64-bit words, of all shingles or of the distinct ones."""
+    grams = shingles(text, k)
+    if distinct:
+        grams = list(set(grams))
     if not grams:
         return [0] * width
     return [majority(np.fromiter((xxhash.xxh64_intdigest(g, SEED + i) for g in grams), ">u8", len(grams))) for i in range(width)]
@@ -80,19 +97,30 @@ def choices(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
 
 
 def near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (of words) within the radius: two words of all pairs, then the others of those still open."""
+    """Pairs of rows (of words) within the radius: three words of all pairs, then the others of those still open."""
     d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-    if x.shape[1] > 1:
-        d += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+    for w in range(1, min(3, x.shape[1])):
+        d += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
     p, q = np.nonzero(d <= radius)
-    if x.shape[1] > 2 and len(p):
-        ok = d[p, q] + np.bitwise_count(x[p, 2:] ^ y[q, 2:]).sum(axis=1) <= radius
+    if x.shape[1] > 3 and len(p):
+        ok = d[p, q] + np.bitwise_count(x[p, 3:] ^ y[q, 3:]).sum(axis=1) <= radius
         p, q = p[ok], q[ok]
     return p, q
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within left, or between left and right (rows of words): indices into both end to end."""
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted) have a Jaccard coefficient of JACCARD or more."""
+    low, high = sorted((len(x), len(y)))
+    if low * JACCARD[1] < high * JACCARD[0]:
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common_ = int((both[1:] == both[:-1]).sum())
+    return common_ * JACCARD[1] >= (low + high - common_) * JACCARD[0]
+
+
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int, sets: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within left, or between left and right (rows of words): indices into both end to end. With sets, links are those of sets alike."""
     value = left if right is None else np.concatenate([left, right])
     root = np.arange(len(value))
     weight = np.bitwise_count(value).sum(axis=1).astype(int)
@@ -117,9 +145,10 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
             new = root[p] != root[q]
             if not new.any():
                 continue
-            for u, v in np.unique(np.stack([root[p[new]], root[q[new]]], axis=1), axis=0).tolist():
-                u, v = find(u), find(v)
-                if u != v:
+            ends = np.stack([p[new], q[new]], axis=1)
+            for i_, j_ in (np.unique(root[ends], axis=0) if sets is None else ends).tolist():
+                u, v = find(i_), find(j_)
+                if u != v and (sets is None or alike(sets[i_], sets[j_])):
                     root[max(u, v)] = min(u, v)
                     a.append(u)
                     b.append(v)
@@ -178,7 +207,7 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, the smallest node that can be reached, for every node of an edge."""
+    """node and root, the smallest node that can be reached, for every node of an edge but the roots."""
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         low = pairs.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
@@ -232,10 +261,79 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", shown(F.col("fp")[0]).alias("fingerprint"), "component_id")
 
 
+def agreed(members: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of node that connect the members (root, node, fp, grams) of each root that are alike. Large groups are dealt into parts, and a task has two."""
+    size = members.groupBy("root").agg(F.ceil(F.count("*") / GROUP_PART).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    tasks = members.join(size, "root").withColumn("own", own).select("root", "own", "node", "fp", "grams", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "own", "node", "fp", "grams")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            i, j = at[1:]
+            rows.sort(key=lambda r: r[0] != i)
+            cut = sum(r[0] == i for r in rows)
+            node = np.array([r[1] for r in rows])
+            fp = np.array([r[2] for r in rows], np.int64).view(np.uint64)
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            a, b = forest(fp, None, radius, sets) if i == j else forest(fp[:cut], fp[cut:], radius, sets)
+            return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
+
+        held, at = [], None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "own", "node", "fp", "grams")]
+            for root, i, j, *row in zip(*columns, strict=True):
+                if at is not None and at != (root, i, j):
+                    if (found := flush(held)).num_rows:
+                        yield found
+                    held = []
+                at = (root, i, j)
+                held.append(tuple(row))
+        if held:
+            yield flush(held)
+
+    dealt = tasks.repartition(common.width(members.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(check, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, k: int = NEAR["k"], radius: int = NEAR["radius"], width: int = NEAR["width"]) -> DataFrame:
+    """doc_id and component_id of every row with a doc_id; rows whose sets of shingles are alike are linked."""
+    base = common.texts_of(docs).where("doc_id is not null").withColumn("hash", F.xxhash64("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.blocks(batches):
+            fp, of, n = [], [], []
+            for t in part.column("text").to_pylist():
+                data = (t or "").encode()
+                grams = shingle_set(data, k)
+                fp.append(fingerprint(data, k, width, distinct=True))
+                of.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63))
+                n.append(len(grams))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(fp, pa.list_(pa.int64())), pa.array(of, pa.int64()), pa.array(n, pa.int32())], ["doc_id", "hash", "fp", "set", "n"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.blocks(batches):
+            grams = [shingle_set((t or "").encode(), k).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "node", "fp")), pa.array(grams, pa.binary())], ["root", "node", "fp", "grams"])
+
+    prints = common.kept(base.mapInArrow(scan, "doc_id long, hash long, fp array<long>, set long, n int"), "prints")
+    values = prints.groupBy("fp", "set", "n").agg(F.min(F.struct("doc_id", "hash")).alias("x"))
+    values = common.kept(values.select(F.monotonically_increasing_id().alias("node"), "fp", "set", "n", F.col("x.doc_id").alias("first"), F.col("x.hash").alias("hash")), "values")
+    reached = components(links(values.where(F.col("n") >= LEAST).select("node", "fp"), radius))
+    proposed = reached.union(reached.select(F.col("root").alias("node"), "root").distinct())
+    picked = values.join(proposed, "node").select("root", "node", "fp", F.col("first").alias("doc_id"), "hash")
+    texts = base.join(picked, ["doc_id", "hash"]).dropDuplicates(["node"]).select("root", "node", "fp", "text")
+    members = common.kept(texts.mapInArrow(sets, "root long, node long, fp array<long>, grams binary"), "sets")
+    roots = components(agreed(members, radius))
+    of = values.join(roots, "node", "left").select("fp", "set", "first", F.coalesce("root", "node").alias("root"))
+    low = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(of.join(low, "root"), ["fp", "set"]).select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, k: int = NEAR["k"], radius: int = NEAR["radius"], width: int = NEAR["width"]) -> DataFrame:
     """The rows of docs whose doc_id is their component's id; of rows with that doc_id, one. Rows without doc_id stay."""
-    found = common.kept(grouped(docs, k, radius, width), "groups")
+    found = common.kept(near_copies(docs, k, radius, width), "groups")
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    many = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    many = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     out = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi")
     return (out.dropDuplicates(["doc_id"]) if many else out).unionByName(docs.where("doc_id is null"))
