@@ -27,6 +27,15 @@ def test_templates(spark):
     assert decontam.clean(docs, bench(spark)).columns == docs.columns
 
 
+def test_each_copy_is_judged(spark):
+    """Copies behind one that isn't consistent, and copies with words put in, whose halves lie at different shifts."""
+    bad = OTHER.replace("the train from Lyon", "the train from Nice")
+    longer = OTHER.replace("to Paris", "to Paris quite")
+    texts = [f"{bad}. Then more came. {OTHER}", f"{bad}. Then more came. {ITEM}", longer, longer.replace("the train from Lyon", "the train from Nice"), f"{bad}. Then more came. {longer}", f"{bad}. Then more came. {bad}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(docs, bench(spark)).collect()} == {0, 1, 2, 4}
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([(1, ITEM), (None, ITEM), (1, ITEM)], "doc_id long, text string")
     assert decontam.contaminated(docs, bench(spark).limit(0)).count() == 0

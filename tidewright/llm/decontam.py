@@ -3,10 +3,14 @@
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed slots; everything
 else is lower-cased and stripped of punctuation. What is left is a text's template. Templates are cut into windows of
 WINDOW words, and the windows of documents are joined by hash with those of the benchmark. A document
-holds an item if at least SHARE of the item's windows occur in it and its slots are consistent: where the two
-templates are laid over each other, each value of the item stands for one value in the document throughout, as in a
+holds an item if at least SHARE of the item's windows occur in it and its slots are consistent: where these windows are
+laid over each other, each value of the item stands for one value in the document throughout, as in a
 re-parameterised question. An exact copy is consistent.
 
+A document may hold a template many times. Slots are checked for each way to lay the item over it: at one shift with enough
+windows; at shifts less than the item's length from one of them, as where words were put in or left out; or, for a copy in
+pieces, all over the document, near the commonest shift. A window that occurs more than once counts at its nearest place. One way that fits is enough.
+
 Windows that consist of slots alone say nothing and are left out of the benchmark's. A text of fewer than WINDOW
 words is one window. Null and empty texts hold nothing. Rows that share a doc_id (or have none) are judged together.
 An item that occurs twice in the benchmark is reported under each item_id. An empty table gives no rows.
@@ -55,46 +59,77 @@ def kinds_of(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(marked(text), r"(#[nmu])[\p{L}\p{N}_]+", "$1"), GAP), "")
 
 
-def held(texts: DataFrame, key: str) -> DataFrame:
+def held(texts: DataFrame, *key: str) -> DataFrame:
     """key, at (the window's first word, from 0) and gram for every window; a text without words has one window of nothing."""
-    base = texts.select(key, kinds_of(F.col("text")).alias("kinds"))
+    base = texts.select(*key, kinds_of(F.col("text")).alias("kinds"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("kinds") - WINDOW))
-    return base.select(key, F.posexplode(F.transform(starts, lambda i: F.xxhash64(*(F.get("kinds", i + k) for k in range(WINDOW))))).alias("at", "gram"))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, share, n_slots: a row for each document and item it holds."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return base.select(*key, F.posexplode(F.transform(starts, lambda i: F.xxhash64(*(F.get("kinds", i + k) for k in range(WINDOW))))).alias("at", "gram"))
+
+
+def ways(hits: DataFrame, open_: DataFrame, share: float) -> DataFrame:
+    """row, item_id and chosen (structs of item_at and shift) for each way to lay an item over a row, besides those at one shift."""
+    spots = hits.join(open_.select("row", "item_id", "n_windows"), ["row", "item_id"]).withColumn("length", F.col("n_windows") + WINDOW - 1)
+    band = F.floor(F.col("shift") / F.col("length"))
+    # shifts less than the length apart share a band of twice the length
+    banded = spots.withColumn("band", F.explode(F.array(band, band - 1))).groupBy("row", "item_id", "n_windows", "length", "band").agg(F.collect_list(F.struct("item_at", "shift")).alias("hits"))
+    banded = banded.withColumn("every", F.array_distinct("hits.item_at")).where(F.size("every") / F.col("n_windows") >= share)
+    based = banded.withColumn("base", F.explode(F.array_distinct("hits.shift")))
+    far = lambda h: F.abs(h["shift"] - F.col("base"))
+    nearest = lambda a: F.array_min(F.transform(F.filter("hits", lambda h: (h["item_at"] == a) & (far(h) < F.col("length"))), lambda h: F.struct(far(h).alias("far"), h["shift"].alias("shift"))))
+    chosen = F.filter(F.transform("every", lambda a: F.struct(a.alias("item_at"), nearest(a)["shift"].alias("shift"))), lambda c: c["shift"].isNotNull())
+    close = based.withColumn("chosen", chosen).where(F.size("chosen") / F.col("n_windows") >= share).select("row", "item_id", "chosen").distinct()
+    common_ = spots.groupBy("row", "item_id").agg(F.mode("shift", True).alias("base"))
+    at = spots.join(common_, ["row", "item_id"]).groupBy("row", "item_id", "item_at").agg(F.min(F.struct(F.abs(F.col("shift") - F.col("base")), "shift")).alias("x"))
+    return close.unionByName(at.groupBy("row", "item_id").agg(F.collect_list(F.struct("item_at", "x.shift")).alias("chosen")))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """row, doc_id, item_id, n_matched, n_windows, share, n_slots: what each row holds."""
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     nothing = F.xxhash64(*[F.lit(None).cast("string")] * WINDOW)
     empty = [nothing, *(F.xxhash64(*map(F.lit, p)) for p in product(("#n", "#m", "#u"), repeat=WINDOW))]
     asked = held(items, "item_id").where(~F.array_contains(F.array(*empty), F.col("gram"))).withColumnRenamed("at", "item_at")
     n_asked = asked.count()
-    size = asked.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    probe = F.broadcast(asked) if n_asked <= BROADCAST_ROWS else asked
-    hits = held(docs, "doc_id").join(probe, "gram")
-    spots = hits.groupBy("doc_id", "item_id", "item_at").agg(F.min(F.col("at") - F.col("item_at")).alias("shift"), F.count("*").alias("n"))
-    pairs = spots.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"), F.mode("shift", True).alias("shift"))
-    pairs = pairs.join(F.broadcast(size) if n_asked <= BROADCAST_ROWS else size, "item_id").withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share)
-    pairs = common.kept(pairs.select("doc_id", "item_id", "n_matched", "n_windows", "share", "shift"), "pairs")
+    small = F.broadcast if n_asked <= BROADCAST_ROWS else lambda df: df
+    size = asked.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
+    hits = held(docs, "row", "doc_id").join(small(asked), "gram")
+    hits = common.kept(hits.select("row", "doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    matched = hits.select("row", "doc_id", "item_id", "item_at").distinct().groupBy("row", "doc_id", "item_id").agg(F.count("*").alias("n_matched"))
+    pairs = matched.join(small(size), "item_id").withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share)
 
     item_words = items.select("item_id", words_of(F.col("text")).alias("item_words"), kinds_of(F.col("text")).alias("item_kinds"))
-    item_words = F.broadcast(item_words) if n_asked <= BROADCAST_ROWS else item_words
-    slots = F.filter(F.transform("item_kinds", lambda k, i: F.when(k.startswith(SLOT), i)), lambda i: i.isNotNull())
+    item_words = item_words.withColumn("n_slots", F.size(F.filter("item_kinds", lambda k: k.startswith(SLOT))))
     # slots are compared only for items that have any: other pairs are done
-    open_ = pairs.join(item_words, "item_id").withColumn("slots", slots)
-    plain = open_.where(F.size("slots") == 0).select("doc_id", "item_id", "n_matched", "n_windows", "share", F.lit(0).alias("n_slots"))
-    some = open_.where(F.size("slots") > 0)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    laid = some.join(texts, some["doc_id"].eqNullSafe(texts["_id"])).withColumns({"words": words_of(F.col("text")), "kinds": kinds_of(F.col("text"))})
-    both = F.filter(
-        F.transform("slots", lambda i: F.when((i + F.col("shift") >= 0) & (F.get("kinds", i + F.col("shift")) == F.get("item_kinds", i)), F.struct(F.get("item_words", i).alias("a"), F.get("words", i + F.col("shift")).alias("b")))),
-        lambda s: s.isNotNull(),
-    )
-    judged = laid.select("doc_id", "item_id", "n_matched", "n_windows", "share", F.size("slots").alias("n_slots"), both.alias("both"))
-    same = F.size(F.array_distinct("both")) == F.size(F.array_distinct(F.col("both.a")))
-    fit = judged.where(same).groupBy("doc_id", "item_id", "n_matched", "n_windows", "share").agg(F.max("n_slots").alias("n_slots"))
-    return plain.unionByName(fit)
+    pairs = common.kept(pairs.join(small(item_words.groupBy("item_id").agg(F.max("n_slots").alias("n_slots"))), "item_id"), "pairs")
+    some = pairs.where("n_slots > 0")
+    texts = docs.join(some.select("row").distinct(), "row", "left_semi").dropDuplicates(["row", "text"])
+    texts = common.kept(texts.select("row", words_of(F.col("text")).alias("words")), "words")
+
+    def fitting(laid: DataFrame) -> DataFrame:
+        """row and item_id of the ways whose slots are consistent."""
+        value = lambda i, shift: F.when(F.get("item_kinds", i).startswith(SLOT), F.struct(F.get("item_words", i).alias("a"), F.get("words", i + shift).alias("b")))
+        window = lambda c: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: value((c["item_at"] + k).cast("int"), c["shift"].cast("int")))
+        both = F.array_distinct(F.filter(F.flatten(F.transform("chosen", window)), lambda v: v.isNotNull()))
+        open_ = laid.join(small(item_words), "item_id").join(texts, "row").select("row", "item_id", both.alias("both"))
+        return open_.where(F.size("both") == F.size(F.array_distinct("both.a"))).select("row", "item_id").distinct()
+
+    straight = hits.join(some.select("row", "item_id", "n_windows"), ["row", "item_id"]).groupBy("row", "item_id", "n_windows", "shift").agg(F.collect_list(F.struct("item_at", "shift")).alias("chosen"))
+    first = common.kept(fitting(straight.where(F.size("chosen") / F.col("n_windows") >= share).select("row", "item_id", "chosen")), "fit")
+    left = some.join(first, ["row", "item_id"], "left_anti")
+    fit = first.unionByName(fitting(ways(hits, left, share)))
+    columns = ["row", "doc_id", "item_id", "n_matched", "n_windows", "share", "n_slots"]
+    return pairs.where("n_slots = 0").select(columns).unionByName(some.join(fit, ["row", "item_id"], "left_semi").select(columns))
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """docs with row, what is judged together."""
+    return docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, n_matched, n_windows, share, n_slots: a row for each document and item it holds."""
+    return judged(rows_of(docs), benchmark, share).drop("row")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
