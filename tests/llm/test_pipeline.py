@@ -36,6 +36,17 @@ def test_each_copy_is_judged(spark):
     assert {r.doc_id for r in decontam.contaminated(docs, bench(spark)).collect()} == {0, 1, 2, 4}
 
 
+def test_names_short_items_and_bare_slots(spark):
+    """Names where a sentence starts, items under five words inside longer texts, and items of slots alone by their values."""
+    tom = "Tom has 5 apples. Tom buys 3 more. How many does Tom have?"
+    anna = tom.replace("Tom", "Anna").replace("5", "8").replace("3", "2")
+    items = spark.createDataFrame([(1, tom), (2, "What is 2 + 2?"), (3, "1 2 3 4 5 6"), (4, "How old are they? How old were they then?")], "item_id long, text string")
+    texts = [f"Here it is.\n{anna}", f"The man met The crowd. {tom}", anna.replace("does Anna", "does Maria"), f"Question: {tom} An answer.", "Now tell me. What is 7 + 7? Quick.", "Now tell me. What is 7 + 8? Quick.", "Numbers: 1 2 3 4 5 6, all of them", "Numbers: 1 2 3 4 5 7, all of them", "1 2 3 4 5 6", "Question: How old are they? How old were they then?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(0, 1), (1, 1), (3, 1), (4, 2), (6, 3), (8, 3), (9, 4)}
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([(1, ITEM), (None, ITEM), (1, ITEM)], "doc_id long, text string")
     assert decontam.contaminated(docs, bench(spark).limit(0)).count() == 0
