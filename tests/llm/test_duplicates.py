@@ -163,6 +163,20 @@ def test_suffixes(docs, rows, monkeypatch):
     assert sum(r[2] for r in got) > 3000
 
 
+def test_rows_without_ids_keep_their_own_text(spark):
+    """Texts of any number that share no identity: only what they repeat goes, and no row's spots meet another's text."""
+    rng = random.Random(3)
+    same = prose(rng, 40)
+    held = [f"{prose(rng, 3)} {same}" for _ in range(4)]
+    alone = [prose(rng, rng.randint(1, 40)) for _ in range(900)]
+    for doc_id in (None, 7):
+        rows = [(doc_id, t) for t in alone] + [(doc_id, same * 3)] + [(1, t) for t in held]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert suffix.keyed(df).select("doc", "tag").distinct().count() == len(set(rows))
+        left = [r.text for r in suffix.without_repeats(df).where("doc_id is null or doc_id = 7").collect()]
+        assert not set(alone) - set(left) and len(left) == len(alone) + 1
+
+
 def test_suffixes_of_long_texts(spark, monkeypatch):
     """Texts far longer than what is digested at a time. The tasks read the bound from the module, so pieces are cut here."""
     monkeypatch.setattr(suffix, "PIECE", 500)

@@ -47,6 +47,16 @@ def test_names_short_items_and_bare_slots(spark):
     assert got == {(0, 1), (1, 1), (3, 1), (4, 2), (6, 3), (8, 3), (9, 4)}
 
 
+def test_rows_are_judged_by_themselves(spark):
+    half = len(ITEM) // 2
+    rows = [(i, t) for i in (None, 5) for t in (ITEM, "clean words that hold nothing at all", ITEM[:half], ITEM[half - 20 :])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, decontam.clean(docs, bench(spark)).collect())) == sorted(str(r) for r in docs.collect() if r.text != ITEM)
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench(spark)).collect()} == {(None, 9), (5, 9)}
+    apart = docs.where(F.length("text") < len(ITEM))
+    assert decontam.clean(apart, bench(spark)).count() == 6
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([(1, ITEM), (None, ITEM), (1, ITEM)], "doc_id long, text string")
     assert decontam.contaminated(docs, bench(spark).limit(0)).count() == 0

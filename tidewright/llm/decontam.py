@@ -16,7 +16,7 @@ pieces, all over the document, near the commonest shift. A window that occurs mo
 
 An item of fewer than WINDOW words is one window, which is looked for among windows of its own length. Windows that consist of
 slots alone say nothing and are left out of the benchmark's; an item that has no others is found by its values, where a
-document has just these slots between other words (or its ends). Null and empty texts hold nothing. Rows that share a doc_id (or have none) are judged together.
+document has just these slots between other words (or its ends). Null and empty texts hold nothing. Each row is judged by itself, also where rows share a doc_id or have none.
 An item that occurs twice in the benchmark is reported under each item_id. An empty table gives no rows.
 """
 
@@ -217,17 +217,23 @@ def judged(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataF
     return pairs.where("n_slots = 0").select(columns).unionByName(some.join(fit, ["row", "item_id"], "left_semi").select(columns))
 
 
+def row_of() -> Column:
+    """What identifies a row: a hash of doc_id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.col("text").cast("string"))
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
-    """docs with row, what is judged together."""
-    return docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long")))
+    return docs.select("doc_id", "text", row_of().alias("row"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, share, n_slots: a row for each document and item it holds."""
-    return judged(rows_of(docs), benchmark, share).drop("row")
+    found = judged(rows_of(docs), benchmark, share)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "n_windows", "share", "n_slots")).alias("x"))
+    return best.select("doc_id", "item_id", "x.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of docs that hold no item."""
-    found = contaminated(docs, benchmark, share).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_held"]), "left_anti")
+    found = judged(rows_of(docs), benchmark, share).select(F.col("row").alias("_row")).distinct()
+    return docs.join(found, row_of() == found["_row"], "left_anti")

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm import common
@@ -40,7 +40,8 @@ BUCKET_ROWS, SAMPLE_DOCS = 600_000, 2000
 #: Bytes that a task digests at a time. A longer text is cut into pieces that overlap; neighbourhoods cut apart are merely left open.
 PIECE = 1 << 20
 KEY = ["w", "g", "c", "doc", "place"]
-LAST = (1 << 63) - 1
+#: Rows without doc_id have a doc from here on.
+NAMELESS = 1 << 62
 TAG_BITS, OFF_BITS, N_BITS = 16, 7, 8
 LOW_BITS = TAG_BITS + OFF_BITS + N_BITS
 U = np.uint64
@@ -108,9 +109,28 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, leading(data, at), roll.digest(at, at + GRAM).view(np.int64), near.view(np.int64), begin - starts[text], count, at - begin
 
 
+def named(docs: DataFrame, doc: str = "doc", tag: str = "tag") -> DataFrame:
+    """docs with doc and tag: what identifies a row by doc_id and text in this module. A row without doc_id has a doc of its own by its text, and comes last. Texts that share a doc_id and a tag's bits are numbered instead."""
+    text = F.col("text").cast("string")
+    own = F.xxhash64(text, F.lit(5)).bitwiseAND(NAMELESS - 1).bitwiseOR(NAMELESS)
+    out = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), own), "_full": F.xxhash64(text)})
+    short = F.col("_full").bitwiseAND((1 << TAG_BITS) - 1).cast("int")
+    twins = out.groupBy(doc, short.alias("_short")).agg(F.min("_full").alias("low"), F.max("_full").alias("high")).where("low != high").select(F.col(doc).alias("_twin")).distinct()
+    twins = common.kept(twins, "suffix-twins")
+    if not twins.limit(1).count():
+        return out.withColumn(tag, short).drop("_full")
+    texts = out.select(F.col(doc).alias("_twin"), F.col("_full").alias("_of")).distinct().join(twins, "_twin")
+    ranks = texts.withColumn("_rank", F.row_number().over(Window.partitionBy("_twin").orderBy("_of")) - 1)
+    ranks = common.kept(ranks, "suffix-ranks")
+    if ranks.where(F.col("_rank") >= 1 << TAG_BITS).limit(1).count():
+        raise ValueError(f"a doc_id has more than {1 << TAG_BITS} different texts")
+    out = out.join(ranks, (F.col(doc) == F.col("_twin")) & (F.col("_full") == F.col("_of")), "left")
+    return out.withColumn(tag, F.coalesce("_rank", short)).drop("_full", "_twin", "_of", "_rank")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tag and text: what identifies a row in this module. Rows without doc_id come last."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << TAG_BITS) - 1).cast("int").alias("tag"), F.col("text").cast("string").alias("text"))
+    """doc, tag and text of named()."""
+    return named(common.texts_of(docs)).select("doc", "tag", "text", "doc_id")
 
 
 def placed(place: np.ndarray, tag: np.ndarray, off: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
@@ -290,11 +310,11 @@ def decided(rows: DataFrame) -> DataFrame:
     return common.kept(neighbours(rows, splitters(sample, n)), "suffix-found")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc, tag and spots: for each row that has any, an array of place and number of its repeated strings."""
-    spark = docs.sparkSession
-    base = keyed(docs)
-    step = max(1, docs.count() // SAMPLE_DOCS)
+def spans(rows: DataFrame) -> DataFrame:
+    """doc, tag and spots: for each of the keyed rows that has any, an array of place and number of its repeated strings."""
+    spark = rows.sparkSession
+    base = rows.select("doc", "tag", "text")
+    step = max(1, base.count() // SAMPLE_DOCS)
     sample = common.kept(base.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(step)) == 0).mapInArrow(suffixes, ROWS), "suffix-sample")
     n_sample = sample.count()
     n = max(common.width(spark), -(-n_sample * step // BUCKET_ROWS))
@@ -349,9 +369,10 @@ def removed(docs: DataFrame) -> DataFrame:
             cols = zip(*cut_rows(part.column("text"), part.column("spots"), False), strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc"), *(pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, pa.binary()), strict=True))], names)
 
-    base = keyed(docs).join(spans(docs), ["doc", "tag"], "left").select("doc", "text", "spots")
+    rows = keyed(docs)
+    base = rows.join(spans(rows), ["doc", "tag"], "left").select(F.col("doc_id").alias("doc"), "text", "spots")
     done = base.mapInArrow(scan, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), *names[1:])
+    return done.select(F.col("doc").alias("doc_id"), *names[1:])
 
 
 def digests(done: DataFrame) -> DataFrame:
@@ -361,9 +382,10 @@ def digests(done: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages taken out of text, but no part of a character; n_chars, if there, follows. Other columns stay, and a null text stays null."""
     own = docs.columns
-    spots = spans(docs).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spots").alias("_spots"))
-    doc, tag = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << TAG_BITS) - 1).cast("int"))
-    named = docs.withColumns({"_doc": doc, "_tag": tag}).join(spots, ["_doc", "_tag"], "left").select(*own, "_spots")
+    rows = named(docs, "_doc", "_tag")
+    keys = rows.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), F.col("text").cast("string").alias("text"))
+    spots = spans(keys).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spots").alias("_spots"))
+    laid = rows.join(spots, ["_doc", "_tag"], "left").select(*own, "_spots")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.blocks(batches):
@@ -372,5 +394,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             text = pc.if_else(old.is_null(), pa.scalar(None, pa.string()), pa.array(left, pa.string()))
             yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in own], own)
 
-    out = named.mapInArrow(scan, docs.schema)
+    out = laid.mapInArrow(scan, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
