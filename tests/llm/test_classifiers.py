@@ -21,6 +21,12 @@ def test_quality(spark):
     assert np.mean(good) > 0.98 and np.mean(junk) < 0.2
 
 
+def test_letters_of_whole_texts():
+    """The share of letters is of all characters, at any length."""
+    for text in ("ab1 " * 300, "ab1 " * 999, "ab1 " * 1499 + "abc", "a" * 3999, "a1" * 2000, "1" * 5000 + "a" * 5000, "a1" * 9000, ""):
+        assert quality.meta_view(text, None, None)[3] == sum(c.isalpha() for c in text) / max(1, len(text))
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None, 1.0), (2, "", "en", "s", 2.0), (3, "some text", None, "s", 3.0), (3, "some text", None, "s", 3.0), (None, "x" * 50000, "en", None, 4.0)], "doc_id long, text string, lang string, source string, quality_score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

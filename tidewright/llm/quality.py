@@ -53,7 +53,7 @@ def text_view(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def meta_view(text: str, lang: str | None, source: str | None) -> list[float]:
     words = text.split()
     n, w = max(1, len(text)), max(1, len(words))
-    letters = sum(map(str.isalpha, text[:: max(1, n // 2000)])) / min(n, 2000)
+    letters = sum(map(str.isalpha, text)) / n
     lines = text.split("\n")
     again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / w
     lone = sum(not x[0].isalnum() and len(x) == 1 for x in words) / w
