@@ -6,12 +6,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tidewright.llm import bpe, queries, tokencount, tokenfile
+from tidewright.llm import bpe, queries, segments, tokencount, tokenfile
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 PARTS = ["a", "the", "'s", "'re", "'", " ", "  ", "\n", "\t", "é", "日本", "1", "23", "!", "...", " ", "　", "ing", "'ll", "<|endoftext|>", "😀", "'S", "\r\n", "_", " un", "ti", "-"]
@@ -90,6 +91,22 @@ def test_null_ids(spark):
     assert [(r.doc_id, r.n_tokens) for r in got] == [(None, 1), (None, 3), (3, 2)]
 
 
+def test_white_space_and_tables_begun_anew(library, monkeypatch):
+    """Spaces beside any white space, and a table of words that overflows again and again."""
+    monkeypatch.setattr(segments, "MAX_WORDS", 40)
+    rng, table = random.Random(1), tokenfile.table(JSON)
+    white = ["\n", " ", "\t", "\u3000", "\xa0", "\x1c", "\x85", "a", "!", "1", "'s", ",", ".", "é", "<|endoftext|>", " the"]
+    for _ in range(40):
+        some = ["".join(rng.choices(white, k=rng.randint(0, 9))) + f" w{rng.random()}," for _ in range(30)] + [None, "", " \xa0 \xa0"]
+        ids, at = table.ids(pa.array(some))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_digests_as_read(spark, docs):
+    manifest = tokenfile.write_tokens(docs, JSON)
+    assert sorted(tokenfile.read_digests(spark, manifest).collect()) == sorted(tokenfile.digests(tokenfile.read_tokens(spark, manifest)).collect())
+
+
 def test_queries_cover_the_table(spark):
     d = "/root/testdata/sf0.001"
     for name in ("op4_token_file", "op5_byte_bpe", "op9_token_counts"):

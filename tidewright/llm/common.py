@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Python-side working blocks hold about this many bytes of text.
 BLOCK_BYTES = 4 << 20
+#: Stored bytes that a task of a shuffle of texts gets, about.
+TASK_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +32,11 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and one machine does all."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -53,6 +59,28 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts(df: DataFrame, size: int = TASK_BYTES) -> int:
+    """Tasks for a shuffle of df: spark.sql.shuffle.partitions, or more where what df is read from has over size bytes (as stored) for each."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    stored = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return max(width(df.sparkSession), min(-(-stored // size), 1_000_000))
+
+
+def freed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow; the worker, which lives on, gives its memory back when a task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m: the fold rule."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

@@ -32,7 +32,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return tokenfile.digests(tokenfile.read_tokens(spark, manifest))
+    return tokenfile.read_digests(spark, manifest)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -28,25 +28,31 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from tidewright.llm import common
-from tidewright.llm.segments import PieceCache, byte_letters
+from tidewright.llm.segments import WordTable, byte_letters
 
 LENGTH, BATCH_ROWS = 2048, 256
 MANIFEST = "first long, file string, n_docs long, n_ids long, part long"
 
 
 @lru_cache(2)
-def library(path: str) -> PieceCache:
-    """Each pre-token goes once through the library's model; texts with a special string go through the whole library."""
-    tok = Tokenizer.from_file(path)
+def library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def table(path: str) -> WordTable:
+    """Each word goes once through the library's model; texts with a special string go through the whole library."""
+    tok = library(path)
     model, shown = tok.model, byte_letters()
 
     def encode(word: str) -> list[int]:
+        if word.isascii() and word[1:].isalpha() and word[0] == " ":  # such bytes but the space are written as they are
+            return [t.id for t in model.tokenize(shown[32] + word[1:])]
         return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(shown))]
 
     def whole(text: str) -> list[int]:
         return tok.encode(text, add_special_tokens=False).ids
 
-    return PieceCache(encode, regex.compile(PATTERN).findall, whole, np.uint16 if tok.get_vocab_size() <= 65536 else np.uint32)
+    return WordTable(encode, regex.compile(PATTERN).findall, whole, np.uint16 if tok.get_vocab_size() <= 65536 else np.uint32)
 
 
 class Writer:
@@ -114,11 +120,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
     folder = folder or f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = common.blocks(batches)
+        parts = common.blocks(batches, size=8 << 20)
         head = next(parts, None)
         if head is None:
             return
-        cache = library(path)
+        words = table(path)
         task = TaskContext.get()
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
@@ -126,9 +132,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
         places = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64())])
         n_docs = 0
         with where.open_output_stream(f"{base}/{name}") as sink, where.open_output_stream(f"{base}/{name}.index") as side:
-            rows, index = Writer(sink, cache.dtype), pa.ipc.new_stream(side, places)
+            rows, index = Writer(sink, words.dtype), pa.ipc.new_stream(side, places)
             for part in chain([head], parts):
-                ids, starts = cache.ids(part.column("text").fill_null("").to_pylist())
+                ids, starts = words.ids(part.column("text"))
                 ids = np.insert(ids, starts[1:], end_id)
                 starts = starts + np.arange(len(starts))
                 index.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows.n + starts[:-1]), pa.array(np.diff(starts))], schema=places))
@@ -138,15 +144,19 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
             index.close()
         yield pa.RecordBatch.from_arrays([head.column("doc_id").slice(0, 1), pa.array([f"{folder}/{name}"]), pa.array([n_docs]), pa.array([rows.n]), pa.array([task.partitionId()])], ["first", "file", "n_docs", "n_ids", "part"])
 
-    ordered = common.texts_of(docs).repartitionByRange(common.width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    found = ordered.mapInArrow(scan, MANIFEST).collect()  # a row for each file
+    ordered = common.texts_of(docs).repartitionByRange(common.parts(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    found = ordered.mapInArrow(common.freed(scan), MANIFEST).collect()  # a row for each file
     return [r.asDict() for r in sorted(found, key=lambda r: r.part)]
 
 
-def read_tokens(spark: SparkSession, manifest: list[dict]) -> DataFrame:
-    """doc_id, start among all ids, n_tokens and ids of every document, from the files; a task for each file."""
+TOKENS = "doc_id long, start long, n_tokens long"
+
+
+def documents(spark: SparkSession, manifest: list[dict], make: Callable[[np.ndarray, np.ndarray], pa.Array], column: str) -> DataFrame:
+    """doc_id, start among all ids, n_tokens and one column more of every document, from the files; a task for each file. make gets the ids of some documents end to end and where each document's begin."""
     before = np.concatenate([[0], np.cumsum([m["n_ids"] for m in manifest])]).tolist()
     files = [(m["file"], b) for m, b in zip(manifest, before, strict=False)]
+    names = ["doc_id", "start", "n_tokens", column.split()[0]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,22 +167,35 @@ def read_tokens(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     start, n = index.column("start").to_numpy(), index.column("n_ids").to_numpy()
                     for k in range(0, len(n), 512):  # a few hundred documents at a time
                         stop = min(k + 512, len(n))
-                        flat = reader.ids(int(start[k]), int(n[k:stop].sum())).astype(np.int32)
-                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[k:stop])]).astype(np.int32)), pa.array(flat))
-                        yield pa.RecordBatch.from_arrays([index.column("doc_id").slice(k, stop - k), pa.array(base + start[k:stop]), pa.array(n[k:stop]), lists], ["doc_id", "start", "n_tokens", "ids"])
+                        made = make(reader.ids(int(start[k]), int(n[k:stop].sum())), np.concatenate([[0], np.cumsum(n[k:stop])]))
+                        yield pa.RecordBatch.from_arrays([index.column("doc_id").slice(k, stop - k), pa.array(base + start[k:stop]), pa.array(n[k:stop]), made], names)
 
     listed = spark.createDataFrame(files or [("", 0)], "file string, base long").limit(len(files)) if not files else spark.createDataFrame(spark.sparkContext.parallelize(files, len(files)), "file string, base long")
-    return listed.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids array<int>")
+    return listed.mapInArrow(common.freed(scan), f"{TOKENS}, {column}")
+
+
+def read_tokens(spark: SparkSession, manifest: list[dict]) -> DataFrame:
+    """doc_id, start among all ids, n_tokens and ids of every document, from the files."""
+    return documents(spark, manifest, lambda ids, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))), "ids array<int>")
+
+
+def checksums(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """crc32 of each document's ids as little-endian unsigned 32-bit integers."""
+    body = ids.astype("<u4")
+    return pa.array([zlib.crc32(body[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
+
+
+def read_digests(spark: SparkSession, manifest: list[dict]) -> DataFrame:
+    """What digests() has of read_tokens(), without ids on the way."""
+    return documents(spark, manifest, checksums, "ids_crc32 long")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    """crc32 of each document's ids as little-endian unsigned 32-bit integers, in place of the ids."""
+    """The checksum of each document's ids in place of the ids."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
-            body, at = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            crc = [zlib.crc32(body[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], checksums(lists.values.to_numpy(), lists.offsets.to_numpy())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(common.freed(scan), f"{TOKENS}, ids_crc32 long")
