@@ -91,7 +91,8 @@ def test_near_copies_for_the_pipeline(spark):
     near[50] = "changed"
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, prose(rng, 200)), (4, " ".join(base)), (None, "a"), (None, "a"), (3, prose(rng, 50))]
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 3]
+    # different texts of one doc_id stay, and one of the copies without doc_id
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 3, 3]
 
 
 def test_near_copies_by_jaccard(spark, monkeypatch):
@@ -137,6 +138,34 @@ def test_near_copies_by_jaccard(spark, monkeypatch):
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {find(i) for i in range(len(texts))}
 
 
+def test_groups_larger_than_a_part(spark, monkeypatch):
+    """Groups compared in two rounds: around a leader, in chains, and in several components, with and without sets."""
+    monkeypatch.setattr(simhash, "SEEDS", 2)
+    rng = random.Random(6)
+    value = []
+    for g in range(3):
+        hub = rng.getrandbits(64)
+        value += [(g, hub ^ (1 << k)) for k in range(30)] + [(g, hub ^ sum(1 << k for k in rng.sample(range(64), rng.choice((4, 5, 30))))) for _ in range(30)]
+        value += [(g, ~hub & ((1 << 64) - 1) ^ ((1 << k) - 1)) for k in range(0, 20, 2)]
+    rows = [(g, n, [v - (1 << 64) if v >> 63 else v]) for n, (g, v) in enumerate(value)]
+    df = spark.createDataFrame(rows, "g long, node long, fp array<long>").repartition(3)
+    far = {n: v | ((1 << 20) - 1) << (64 + 20 * g) for n, (g, v) in enumerate(value)}  # no links between groups
+    want = brute_components(list(far), far, 3)
+    for most in (7, 1000):
+        got = {r.node: r.root for r in simhash.components(simhash.within(df, 3, most)).collect()}
+        assert {n: got.get(n, n) for n in want} == want
+
+
+def test_deals_of_alike_sets():
+    """Sets of a Jaccard coefficient of 0.8 share a deal."""
+    rng = np.random.default_rng(4)
+    for n in (4, 20, 400):
+        for _ in range(300):
+            both = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+            a, b = (np.sort(np.concatenate([both, rng.integers(0, 1 << 63, n // 8, np.uint64) * np.uint64(2)])) for _ in range(2))
+            assert set(simhash.deals_of(a).tolist()) & set(simhash.deals_of(b).tolist())
+
+
 def brute_repeats(rows):
     """doc_id, text of rows with ids in order to bytes, removed, spans, kept."""
     seen: dict[bytes, tuple] = {}
