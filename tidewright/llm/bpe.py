@@ -162,9 +162,9 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
                 flat, starts = gather(table.flat, table.ends, words, np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
 
-    docs_by_group = base.mapInArrow(squeeze, "g int, ids array<long>, body binary").repartition(n, "g").sortWithinPartitions("g")
-    asked = docs_by_group.mapInArrow(explode, "bucket int, g int, words binary").repartition(n, "bucket")
-    answers = asked.mapInArrow(answer, "g int, words binary, found binary").repartition(n, "g")
+    docs_by_group = base.mapInArrow(common.freed(squeeze), "g int, ids array<long>, body binary").repartition(n, "g").sortWithinPartitions("g")
+    asked = docs_by_group.mapInArrow(common.freed(explode), "bucket int, g int, words binary").repartition(n, "bucket")
+    answers = asked.mapInArrow(common.freed(answer), "g int, words binary, found binary").repartition(n, "g")
 
     def whole(key, left: pa.Table, right: pa.Table) -> pa.Table:
         got = list(rejoin(key, left.to_batches(), right.to_batches()))
@@ -186,7 +186,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 body = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(starts), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([*part.columns, body.cast(pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(scan, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(common.freed(scan), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

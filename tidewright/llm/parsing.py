@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for part in common.blocks(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hexes(sketches(*common.raw(part.column("text")))))], ["doc_id", "fingerprint"])
 
-    return common.texts_of(docs).mapInArrow(scan, "doc_id long, fingerprint string")
+    return common.texts_of(docs).mapInArrow(common.freed(scan), "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column("doc_id"))), b.column("doc_id")], ["part", "doc_id"])
 
-    heads = sorted((r.part, r.head) for r in ids.mapInArrow(number, "part int, doc_id long").groupBy("part").agg(F.max("doc_id").alias("head")).collect())  # a row for each part
+    heads = sorted((r.part, r.head) for r in ids.mapInArrow(common.freed(number), "part int, doc_id long").groupBy("part").agg(F.max("doc_id").alias("head")).collect())  # a row for each part
     goes = {part: (heads[k - 1][0], head) for k, (part, head) in enumerate(heads)}  # a part's first document also closes the part before it
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                 to = [goes[p][0] for p in part[at].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.ones(len(at), np.int32)), *some.columns], ["part", "tail", "doc_id", "text"])
 
-    dealt = common.texts_of(docs).mapInArrow(deal, "part int, tail int, doc_id long, text string")
+    dealt = common.texts_of(docs).mapInArrow(common.freed(deal), "part int, tail int, doc_id long, text string")
     return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
 
@@ -237,4 +237,4 @@ def compared(docs: DataFrame) -> DataFrame:
                 pa.array(hexes(own[:-1])), pa.array(hexes(new)), pa.array(likeness(own[:-1], new)), pa.array(likeness(own[:-1], own[1:])),
             ], names)
 
-    return with_next(docs).mapInArrow(scan, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(common.freed(scan), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

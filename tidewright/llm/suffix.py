@@ -235,7 +235,7 @@ def neighbours(rows: DataFrame, cuts: np.ndarray, make=None) -> DataFrame:
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(cols[3][at]), pa.array(cols[4][at])], ["kind", "doc", "place"])
 
-    return rows.mapInArrow(deal, f"pid int, {ROWS}").repartitionById(n, F.col("pid")).mapInArrow(decide, "kind int, doc long, place long")
+    return rows.mapInArrow(common.freed(deal), f"pid int, {ROWS}").repartitionById(n, F.col("pid")).mapInArrow(common.freed(decide), "kind int, doc long, place long")
 
 
 def splitters(sample: DataFrame, n: int) -> np.ndarray:
@@ -299,7 +299,7 @@ def reopened(base: DataFrame, found: DataFrame, cut) -> DataFrame:
                 for k in range(0, len(text), 1 << 17):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 17)]) for x in cols], KEY)
 
-    return common.kept(base.join(open_, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(scan, ROWS), "suffix-rows")
+    return common.kept(base.join(open_, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(common.freed(scan), ROWS), "suffix-rows")
 
 
 def decided(rows: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def spans(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     base = rows.select("doc", "tag", "text")
     step = max(1, base.count() // SAMPLE_DOCS)
-    sample = common.kept(base.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(step)) == 0).mapInArrow(suffixes, ROWS), "suffix-sample")
+    sample = common.kept(base.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(step)) == 0).mapInArrow(common.freed(suffixes), ROWS), "suffix-sample")
     n_sample = sample.count()
     n = max(common.width(spark), -(-n_sample * step // BUCKET_ROWS))
     cuts = splitters(sample.where(F.pmod(F.xxhash64("doc", "place"), F.lit(-(-max(1, n_sample) // 200_000))) == 0), n)
@@ -371,7 +371,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     rows = keyed(docs)
     base = rows.join(spans(rows), ["doc", "tag"], "left").select(F.col("doc_id").alias("doc"), "text", "spots")
-    done = base.mapInArrow(scan, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = base.mapInArrow(common.freed(scan), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.select(F.col("doc").alias("doc_id"), *names[1:])
 
 
@@ -394,5 +394,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             text = pc.if_else(old.is_null(), pa.scalar(None, pa.string()), pa.array(left, pa.string()))
             yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in own], own)
 
-    out = laid.mapInArrow(scan, docs.schema)
+    out = laid.mapInArrow(common.freed(scan), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out

@@ -249,5 +249,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             n_bytes = np.diff(np.concatenate([[0], common.text_ends(part.column("text"))]))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_bytes), pa.array(count_tokens(part.column("text"), machine))], ["doc_id", "n_bytes", "n_tokens"])
 
-    out = common.texts_of(docs).mapInArrow(scan, "doc_id long, n_bytes long, n_tokens long")
+    out = common.texts_of(docs).mapInArrow(common.freed(scan), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

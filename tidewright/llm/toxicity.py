@@ -345,5 +345,5 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
                 scorer = scorer or Scorer(pickle.loads(blob.value))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scorer.scores(part.column("text").fill_null("").to_pylist()))], ["doc_id", "score"])
 
-        out = common.texts_of(docs).mapInArrow(scan, "doc_id long, score double")
+        out = common.texts_of(docs).mapInArrow(common.freed(scan), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
