@@ -21,6 +21,24 @@ def test_quality(spark):
     assert np.mean(good) > 0.98 and np.mean(junk) < 0.2
 
 
+def test_quality_of_labels_never_seen(spark):
+    """Both views and their mean, fitted to half of the labels and held against the others."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
+    half = common.crc_mod(F.col("doc_id"), 2) == 0
+    got = quality.score(docs, quality.train(docs, labels.where(half))).join(labels.where(~half), "doc_id").toPandas()
+    for column in ("quality_text", "quality_meta", "quality_score"):
+        keep = got[column] >= quality.KEEP
+        assert keep[got.quality == 1].mean() > 0.97 and keep[got.quality == 0].mean() < 0.25, column
+
+
+def test_columns_of_documents_stay(spark):
+    docs = spark.createDataFrame([(1, "abc", 0.25, True), (2, "", 0.5, None)], "doc_id long, text string, quality_score double, quality_keep boolean")
+    for model in (None, quality.train(common.table(spark, DATA, "documents"), common.table(spark, DATA, "labels"))):
+        got = quality.kept_rows(docs, model)
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {(1, "abc", 0.25, True)}
+
+
 def test_letters_of_whole_texts():
     """The share of letters is of all characters, at any length."""
     for text in ("ab1 " * 300, "ab1 " * 999, "ab1 " * 1499 + "abc", "a" * 3999, "a1" * 2000, "1" * 5000 + "a" * 5000, "a1" * 9000, ""):

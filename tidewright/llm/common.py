@@ -51,7 +51,7 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -66,6 +66,14 @@ def parts(df: DataFrame, size: int = TASK_BYTES) -> int:
     return max(width(df.sparkSession), min(-(-stored // size), 1_000_000))
 
 
+def give_back() -> None:
+    """Returns memory that this process no longer needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def freed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f for mapInArrow; the worker, which lives on, gives its memory back when a task is done."""
 
@@ -73,10 +81,7 @@ def freed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 

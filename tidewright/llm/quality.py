@@ -1,14 +1,16 @@
 """Quality by co-training of two views.
 
-The text view sees hashed byte trigrams of a document; the metadata view sees its source, language, length and
-layout (lines, words, cases, digits, marks, repetition). Each view is a logistic classifier in numpy. In each
+The text view sees hashed byte trigrams of a document. The metadata view sees no words: its source and language, its
+length, and its layout (lines, and the shares of the kinds of characters). Each view is a logistic classifier in numpy. In each
 round, each view labels the unlabelled documents it is surest of, and these join the other view's training
 set. Afterwards each view is calibrated on held-back labelled documents, and a document's score is the mean of
 the calibrated log-odds. All whole texts are scored.
 
 The views are fitted to a bounded sample (LABELLED and UNLABELLED documents at most). Null and empty texts have
 score 0 and are rejected. Repeated rows are scored each. A doc_id with labels that disagree counts by the mean. With labels of
-one class or none nothing can be told apart: all documents but empty ones have score 1 and are kept.
+one class or none nothing can be told apart: all documents but empty ones have score 1 and are kept. Columns that docs may lack (lang,
+source) count as null. In what score() returns, its columns take the place of columns of docs with their names; kept_rows() leaves
+all columns of docs as they are.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 from tidewright.llm import common
 
-TRIGRAMS, META = 2048, 64
+TRIGRAMS, STRONG, META = 2048, 3, 64
 #: Documents that the views are fitted to, at most.
 LABELLED, UNLABELLED = 4000, 4000
 ROUNDS, SHARE = 3, 0.05
@@ -34,10 +37,10 @@ KEEP = 0.5
 
 
 def text_view(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of hashed trigrams, and how concentrated they are."""
+    """Square roots of the shares of hashed trigrams, and in STRONG columns how concentrated they are."""
     n = len(starts) - 1
     size = np.diff(starts)
-    out = np.zeros((n, TRIGRAMS + 1), np.float32)
+    out = np.zeros((n, TRIGRAMS + STRONG), np.float32)
     if len(data) >= 3:
         b = data.astype(np.uint32)
         h = ((b[:-2] * 0x9E3779B1 + b[1:-1] * 0x85EBCA6B + b[2:] * 0xC2B2AE35) >> 16) % TRIGRAMS
@@ -46,53 +49,87 @@ def text_view(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         count = np.bincount(owner[:-2][inside] * TRIGRAMS + h[inside], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
         share = count / np.maximum(1, size - 2)[:, None]
         out[:, :TRIGRAMS] = np.sqrt(share)
-        out[:, TRIGRAMS] = (share > 0).sum(axis=1) / np.maximum(1, np.minimum(size, TRIGRAMS))
+        kinds_ = (share > 0).sum(axis=1) / np.maximum(1, np.minimum(size, TRIGRAMS))
+        out[:, TRIGRAMS:] = np.stack([kinds_, np.log(np.maximum((share * share).sum(axis=1), 1e-9)), share.max(axis=1)], axis=1)
+    return out
+
+
+LETTER, UPPER, DIGIT, SPACE, LINE, ENDS, MARK = range(7)
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """The kind of every code point."""
+    every = list(map(chr, range(0x110000)))
+    out = np.full(len(every), MARK, np.uint8)
+    for kind, of in ((LETTER, str.isalpha), (UPPER, lambda c: c.isalpha() and c.isupper()), (DIGIT, str.isdigit), (SPACE, str.isspace)):
+        out[np.fromiter(map(of, every), bool, len(every))] = kind
+    out[ord("\n")] = LINE
+    out[[ord(c) for c in ".,;:?"]] = ENDS
+    return out
+
+
+def meta_views(texts: list[str], langs: list[str | None], sources: list[str | None]) -> np.ndarray:
+    """Length, layout and hashed language and source of each document."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind, owner = kinds()[code], np.repeat(np.arange(len(texts)), size)
+    count = np.bincount(owner * 8 + kind, minlength=8 * len(texts)).reshape(-1, 8)
+    n, lines = np.maximum(1, size), count[:, LINE] + 1
+    letters = (count[:, LETTER] + count[:, UPPER]) / n
+    shares = [count[:, k] / n for k in (UPPER, DIGIT, SPACE, LINE, ENDS, MARK)]
+    white = (kind == SPACE) | (kind == LINE)
+    lone = (kind >= ENDS)[1:-1] & white[:-2] & white[2:] & (owner[:-2] == owner[2:])  # marks between white space
+    # how much the lines differ in length
+    stop = np.cumsum(size)
+    at = np.flatnonzero(kind == LINE)
+    ends, inner = np.concatenate([at, stop]), np.concatenate([np.ones(len(at), np.int64), np.zeros(len(stop), np.int64)])
+    line_of = np.concatenate([owner[at], np.arange(len(texts))])
+    by = np.lexsort((inner, ends, line_of))
+    ends, inner, line_of = ends[by], inner[by], line_of[by]
+    length = np.diff(np.concatenate([[0], ends + inner])) - inner
+    mean = np.bincount(line_of, length, len(texts)) / lines
+    spread = np.sqrt(np.maximum(0, np.bincount(line_of, length * length, len(texts)) / lines - mean * mean)) / (mean + 1)
+    out = np.zeros((len(texts), META))
+    own = [np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 5, letters, *shares, 10 * np.bincount(owner[1:-1][lone], minlength=len(texts)) / n, spread]
+    out[:, : len(own)] = np.stack(own, axis=1)
+    for key, values in (("l", langs), ("s", sources)):
+        cell = [len(own) + zlib.crc32(f"{key}{v}".encode()) % (META - len(own)) for v in values]
+        out[np.arange(len(texts)), cell] = 1
     return out
 
 
 def meta_view(text: str, lang: str | None, source: str | None) -> list[float]:
-    words = text.split()
-    n, w = max(1, len(text)), max(1, len(words))
-    letters = sum(map(str.isalpha, text)) / n
-    lines = text.split("\n")
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / w
-    lone = sum(not x[0].isalnum() and len(x) == 1 for x in words) / w
-    tails = sum(not x[-1].isalnum() and x[-1] not in ".,;:?" for x in words) / w
-    upper = sum(x.isupper() and len(x) > 1 for x in words) / w
-    first = sum(x[0].isupper() for x in words) / w
-    digits = sum(any(c.isdigit() for c in x) for x in words) / w
-    out = [math.log1p(len(text)) / 10, math.log1p(len(lines)) / 5, len(words) / n * 5, letters, again, lone, tails, upper, first, digits, len(set(words)) / w, math.log1p(w / len(lines)) / 5]
-    cells = [0.0] * (META - len(out))
-    for k, value in (("l", lang), ("s", source)):
-        cells[zlib.crc32(f"{k}{value}".encode()) % len(cells)] = 1.0
-    return out + cells
+    return meta_views([text], [lang], [source])[0].tolist()
 
 
 def views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     texts = part.column("text").fill_null("").to_pylist()
-    meta = [meta_view(t, x, s) for t, x, s in zip(texts, part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)]
-    return text_view(*common.raw(part.column("text"))), np.array(meta, np.float32).reshape(len(texts), META)
+    meta = meta_views(texts, part.column("lang").to_pylist(), part.column("source").to_pylist())
+    return text_view(*common.raw(part.column("text"))), meta.astype(np.float32)
 
 
 class Logistic:
-    """Standardised features, a weighted logistic loss with a quadratic penalty, full steps of Adam."""
+    """Features with a deviation of 1, or less where they hardly vary, and of 4 in STRONG columns; a weighted logistic loss with a quadratic penalty, full steps of Adam."""
 
     def fit(self, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> Logistic:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        z = (x - self.mean) / self.scale
+        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0) + 1e-3, 0.02)
+        self.scale[TRIGRAMS:] /= 4
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
-        w, m, v = (np.zeros(z.shape[1] + 1, np.float32) for _ in range(3))
+        w, m, v = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
         for t in range(1, steps + 1):
-            d = weight * (1 / (1 + np.exp(-np.clip(z @ w[1:] + w[0], -30, 30))) - y)
-            g = np.concatenate([[d.sum()], d @ z + penalty * w[1:]]).astype(np.float32)
+            self.w = w
+            d = weight * (1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30))) - y)
+            g = np.concatenate([[d.sum()], (d @ x - d.sum() * self.mean) / self.scale + penalty * w[1:]]).astype(np.float32)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        self.w, self.a, self.b = w, 1.0, 0.0
+            w = w - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        self.w, self.a, self.b = w.astype(np.float32), 1.0, 0.0
         return self
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.w[1:] + self.w[0]
+        w = self.w[1:] / self.scale
+        return x @ w + (self.w[0] - self.mean @ w)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Slope and offset of the log-odds, by Newton steps on smoothed targets."""
@@ -114,10 +151,12 @@ def cotrain(seen: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.n
     hold = np.arange(len(y)) % 5 == 0
     if len(set(y.tolist())) < 2 or len(set(y[~hold].tolist())) < 2:
         return None
-    own = [[(seen[k][~hold], y[~hold])] for k in range(2)]
+    # a view's training rows: labelled ones, and those of the pool with the label that the other view gave
+    own, given = [np.flatnonzero(~hold)] * 2, [np.zeros(0, np.int64)] * 2
+    told = [np.zeros(0, y.dtype)] * 2
     free = np.arange(len(pool[0]))
     for turn in range(rounds + 1):
-        made = [Logistic().fit(np.concatenate([x for x, _ in own[k]]), np.concatenate([t for _, t in own[k]])) for k in range(2)]
+        made = [Logistic().fit(np.concatenate([seen[k][own[k]], pool[k][given[k]]]), np.concatenate([y[own[k]], told[k]])) for k in range(2)]
         if turn == rounds or not len(free):
             break
         n = max(1, int(SHARE * len(free)))
@@ -129,9 +168,9 @@ def cotrain(seen: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.n
             low, high = by[: max(1, round(n * (1 - share)))], by[len(by) - max(1, round(n * share)) :]
             low, high = low[s[low] < -1], high[s[high] > 1]
             for at, label in ((low, 0), (high, 1)):
-                if len(at):
-                    own[1 - k].append((pool[1 - k][free[at]], np.full(len(at), label, y.dtype)))
-                    taken.update(free[at].tolist())
+                given[1 - k] = np.concatenate([given[1 - k], free[at]])
+                told[1 - k] = np.concatenate([told[1 - k], np.full(len(at), label, y.dtype)])
+                taken.update(free[at].tolist())
         free = np.array(sorted(set(free.tolist()) - taken), np.int64)
     check = hold if len(set(y[hold].tolist())) == 2 else np.ones(len(y), bool)
     for k in range(2):
@@ -165,24 +204,29 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic] | Non
             both = np.concatenate([a, b], axis=1).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([r.tobytes() for r in both], pa.binary())], ["doc_id", "y", "x"])
 
-    rows = chosen.where(F.col("y").isNotNull() | some).mapInArrow(scan, "doc_id long, y int, x binary").limit(LABELLED + UNLABELLED).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float16).reshape(len(rows), TRIGRAMS + 1 + META).astype(np.float32)
-    y = np.array([-1 if r.y is None else r.y for r in rows])
-    parts = [(x[y >= 0][:, : TRIGRAMS + 1], x[y < 0][:, : TRIGRAMS + 1]), (x[y >= 0][:, TRIGRAMS + 1 :], x[y < 0][:, TRIGRAMS + 1 :])]
-    return cotrain((parts[0][0], parts[1][0]), y[y >= 0].astype(np.float32), (parts[0][1], parts[1][1]))
-
-
-def score(docs: DataFrame, model: tuple[Logistic, Logistic] | None, keep: float = KEEP) -> DataFrame:
-    """All columns of docs with quality_text, quality_meta, quality_score and quality_keep."""
-    names = ["quality_text", "quality_meta", "quality_score"]
-    docs = docs.drop(*names, "quality_keep")
+    rows = chosen.where(F.col("y").isNotNull() | some).mapInArrow(common.freed(scan), "doc_id long, y int, x binary").limit(LABELLED + UNLABELLED).toArrow()
+    width = TRIGRAMS + STRONG + META
+    x = np.concatenate([np.zeros((0, width), np.float16), *(common.raw(c)[0].view(np.float16).reshape(-1, width) for c in rows.column("x").chunks)])
+    order = np.lexsort((x[:, 0], rows.column("doc_id").to_numpy()))
+    y = rows.column("y").fill_null(-1).to_numpy()[order]
+    del rows
+    pick = [order[y >= 0], order[y < 0]]
+    seen, pool = ((x[p, : TRIGRAMS + STRONG].astype(np.float32), x[p, TRIGRAMS + STRONG :].astype(np.float32)) for p in pick)
+    del x
+    model = cotrain(seen, y[y >= 0].astype(np.float32), pool)
+    del seen, pool
+    common.give_back()
+    return model
+
+
+def scored(docs: DataFrame, model: tuple[Logistic, Logistic] | None, names: list[str], keep: float) -> DataFrame:
+    """All columns of docs, which has none of the names, with both views' scores, the score and the decision under these names."""
     if model is None:
         out = docs
         some = F.length(F.coalesce(F.col("text"), F.lit(""))) > 0
-        for name in names:
+        for name in names[:3]:
             out = out.withColumn(name, some.cast("double"))
-        return out.withColumn("quality_keep", F.col("quality_score") >= keep)
+        return out.withColumn(names[3], F.col(names[2]) >= keep)
 
     own = docs.columns
 
@@ -192,9 +236,25 @@ def score(docs: DataFrame, model: tuple[Logistic, Logistic] | None, keep: float
             odds = [model[0].odds(a), model[1].odds(b)]
             empty = np.asarray(pc.binary_length(part.column("text")).fill_null(0)) == 0
             made = [np.where(empty, 0.0, 1 / (1 + np.exp(-o))) for o in (odds[0], odds[1], (odds[0] + odds[1]) / 2)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(m.astype(float)) for m in made)], [*own, *names])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(m.astype(float)) for m in made)], [*own, *names[:3]])
 
     missing = [c for c in ("lang", "source") if c not in docs.columns]
     wide = docs.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else docs
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
-    return wide.mapInArrow(scan, schema).withColumn("quality_keep", F.col("quality_score") >= keep)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names[:3])])
+    return wide.mapInArrow(common.freed(scan), schema).withColumn(names[3], F.col(names[2]) >= keep)
+
+
+NAMES = ["quality_text", "quality_meta", "quality_score", "quality_keep"]
+
+
+def score(docs: DataFrame, model: tuple[Logistic, Logistic] | None, keep: float = KEEP) -> DataFrame:
+    """All columns of docs with NAMES."""
+    return scored(docs.drop(*NAMES), model, NAMES, keep)
+
+
+def kept_rows(docs: DataFrame, model: tuple[Logistic, Logistic] | None, keep: float = KEEP) -> DataFrame:
+    """The rows of docs that aren't rejected, as they are."""
+    names = NAMES
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    return scored(docs, model, names, keep).where(names[3]).select(*docs.columns)
