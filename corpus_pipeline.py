@@ -16,7 +16,7 @@ from tidewright.llm import bpe, common, decontam, quality, simhash, suffix
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("quality_keep").select(*docs.columns)
+    return quality.kept_rows(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
