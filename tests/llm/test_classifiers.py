@@ -158,6 +158,54 @@ def test_kneser_ney_sums_to_one():
     assert np.exp(-model.cost(nexts)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def brute_kneser_ney(words, order, alphabet):
+    """p(character | context) by dictionaries, from the words' grams."""
+    grams = [("  " + " " + w + " ")[k : k + order] for w in words for k in range(len(w) + 1)]
+    levels = {order: {g: grams.count(g) for g in set(grams)}}
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        level, below = levels[len(gram)], p(gram[1:])
+        ones, twos = (sum(n == k for n in level.values()) for k in (1, 2))
+        cut = ones / (ones + 2 * twos) if ones and twos else 0.5
+        nexts = {g: n for g, n in level.items() if g[:-1] == gram[:-1]}
+        if not nexts:
+            return below
+        total = sum(nexts.values())
+        return max(level.get(gram, 0) - cut, 0) / total + cut * len(nexts) / total * below
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries(spark, monkeypatch):
+    """Both ways of keeping the model, against one written with dictionaries; all grams count, however rare."""
+    rng = np.random.default_rng(2)
+    made = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(30))
+    rows = [(i, made("abcdö"), "x") for i in range(12)] + [(20 + i, made("abxyz"), "y") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = [(1, "abc öx"), (2, "zzz yxa q"), (3, "Abba ба"), (4, ""), (5, None)]
+    df = spark.createDataFrame(asked, "doc_id long, text string")
+    got = []
+    for most in (10_000, 0):
+        monkeypatch.setattr(langid, "BROADCAST_GRAMS", most)
+        model = langid.train(docs)
+        got.append({r.doc_id: (r.entropy, r.n) for r in langid.entropies(df, model["models"]).collect()})
+        assert model["langs"] == ["x", "y"]
+    for k, lang in enumerate("xy"):
+        words = [w for _, t, x in rows if x == lang for w in t.split()]
+        p = brute_kneser_ney(words, 4, len(set("".join(words)) | {" "}))
+        for i, text in asked:
+            grams = [("   " + w + " ")[j : j + 4] for w in (text or "").lower().split() for j in range(len(w) + 1)]
+            want = np.mean([-np.log(p(g)) for g in grams]) if grams else 0
+            for one in got:
+                assert one[i][1] == len(grams) and one[i][0][k] == pytest.approx(want), (lang, text)
+
+
 def test_folds(spark):
     got = spark.range(50).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
