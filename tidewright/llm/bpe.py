@@ -1,10 +1,12 @@
 """Byte-level BPE by a shuffle of distinct words.
 
-encode: documents are dealt into groups by a hash of the row. A group explodes its pre-tokens
-and sends each distinct one once, in packed buckets of the word's hash, so a word that fills a
-third of the corpus travels once for each group. A bucket encodes each word it meets once and
-answers every group with the ids. The answers are joined with their group's documents,
-whose pre-tokens take their ids by position. The exchange of documents serves both branches.
+encode: documents are dealt into groups by a hash of the row. A group cuts its texts into words (pre-tokens), whose
+numbers stand for them at their positions, and sends each distinct one once, in packed buckets of the word's hash, so a word that fills a
+third of the corpus travels once for each group. A bucket encodes each word it meets once (again only when more than MAX_WORDS others came
+in between) and answers every group with the ids. The answers are joined with their group's documents,
+where each position takes its word's ids. The exchange of documents serves both branches.
+
+Rows of single words and positions would take some 20 bytes for each of the corpus's words, more than its texts: hence groups and packing.
 
 decode: each id is looked up in the token-byte table (as large as the vocabulary, a fixed bound)
 and the bytes are laid end to end.
@@ -19,7 +21,6 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,17 @@ import regex
 import tiktoken
 import zstandard
 from public_tokenizers import PATTERN
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.llm import common
-from tidewright.llm.segments import Ragged, gather, split_piece
+from tidewright.llm.segments import Ragged, WordTable, gather
 
 #: Words a bucket's cache holds before it begins anew.
 MAX_WORDS = 300_000
+#: Stored bytes of a group of documents, about.
+GROUP_BYTES = 6 << 20
 FIND = regex.compile(PATTERN).findall
 
 
@@ -62,15 +64,6 @@ def token_bytes(path: str) -> Ragged:
     return table
 
 
-def pieces_of(text: str) -> list:
-    """Pieces that split into pre-tokens independently; a tuple marks one that no space precedes."""
-    if "  " in text:
-        return [(text,)]
-    parts = text.split(" ")
-    parts[0] = (parts[0],)
-    return parts
-
-
 def pack(words: list[bytes]) -> bytes:
     size = np.fromiter(map(len, words), np.uint32, len(words))
     return zstandard.compress(np.uint32(len(words)).tobytes() + size.tobytes() + b"".join(words), 1)
@@ -83,12 +76,35 @@ def unpack(blob: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
+def texts_in(body: bytes) -> pa.Array:
+    """What pack() packed, as strings."""
+    raw = zstandard.decompress(body)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4))]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw)[4 + 4 * n :]])
+
+
+def labels(spark: SparkSession, n: int, each: int) -> list[int]:
+    """n x each integers that Spark's hash deals evenly into n partitions, in turn."""
+    found: list[list[int]] = [[] for _ in range(n)]
+    start = 0
+    while min(map(len, found)) < each:
+        stop = start + 4 * n * each + 1000
+        for r in spark.range(start, stop, 1, 1).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).toLocalIterator():
+            if len(found[r.p]) < each:
+                found[r.p].append(r.id)
+        start = stop
+    return [found[p][k] for k in range(each) for p in range(n)]
+
+
 def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
     """doc_id and ids (array<int>) of every row. group_docs: about how many rows a group of documents has; it sets only the packing."""
     spark = docs.sparkSession
-    n = common.width(spark)
+    n = common.parts(docs)
     base = common.texts_of(docs)
-    n_groups = max(n, -(-docs.count() // group_docs))
+    n_groups = max(n, -(-docs.count() // group_docs), common.parts(docs, GROUP_BYTES))
+    label = labels(spark, n, -(-n_groups // n))
+    n_groups = len(label)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.blocks(batches):
@@ -96,32 +112,28 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
             held: dict[int, list] = {}
             for i, text in zip(ids, texts, strict=True):
                 body = text.encode()
-                held.setdefault(zlib.crc32(body, 0 if i is None else i & 0xFFFFFFFF) % n_groups, []).append((i, body))
+                held.setdefault(label[zlib.crc32(body, 0 if i is None else i & 0xFFFFFFFF) % n_groups], []).append((i, body))
             rows = [(g, [i for i, _ in rows], pack([t for _, t in rows])) for g, rows in held.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], ["g", "ids", "body"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen, words = None, set(), set()
+        group, words = None, WordTable(None, FIND)
 
         def send():
             out: dict[int, list[bytes]] = {}
-            for w in words:
+            for w in words.words:
                 raw = w.encode()
                 out.setdefault(zlib.crc32(raw) % n, []).append(raw)
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([group] * len(out), pa.int32()), pa.array([pack(sorted(x)) for x in out.values()], pa.binary())], ["bucket", "g", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([label[k] for k in out], pa.int32()), pa.array([group] * len(out), pa.int32()), pa.array([pack(sorted(x)) for x in out.values()], pa.binary())], ["bucket", "g", "words"])
 
         for batch in batches:
             for g, body in zip(batch.column("g").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 if g != group:
-                    if words:
+                    if words.words:
                         yield send()
-                    group, seen, words = g, set(), set()
-                for text in unpack(body):
-                    fresh = set(pieces_of(text.decode())) - seen
-                    seen |= fresh
-                    for p in fresh:
-                        words.update(split_piece(p, FIND))
-        if words:
+                    group, words = g, WordTable(None, FIND)
+                words.numbers(texts_in(body))
+        if words.words:
             yield send()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,28 +150,16 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
                     known.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([words], pa.binary()), pa.array([pack(out)], pa.binary())], ["g", "words", "found"])
 
-    def rejoin(key, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, table = {}, Ragged(np.int32)
+    def rejoin(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(None, FIND)
         for batch in right:
             for words, found in zip(batch.column("words").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 ids = unpack(found)
-                for w in unpack(words):
-                    number[w.decode()] = len(number)
-                table.add(np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
-        pieces, split = common.Interner(), Ragged(np.int64)
+                table.words.codes([w.decode() for w in unpack(words)])
+                table.word_ids.add(np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
         for batch in left:
             for ids, body in zip(batch.column("ids").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                texts = unpack(body)
-                known, parts, sizes = len(pieces), [], []
-                for t in texts:
-                    p = pieces_of(t.decode())
-                    parts += p
-                    sizes.append(len(p))
-                code = pieces.codes(parts)
-                fresh = [[number[w] for w in split_piece(p, FIND)] for p in islice(pieces, known, None)]
-                split.add(np.fromiter((i for f in fresh for i in f), np.int64), np.fromiter(map(len, fresh), np.int64, len(fresh)))
-                words, at = gather(split.flat, split.ends, code, np.array(sizes, np.int64))
-                flat, starts = gather(table.flat, table.ends, words, np.diff(at))
+                flat, starts = table.looked_up(*table.numbers(texts_in(body)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
 
     docs_by_group = base.mapInArrow(common.freed(squeeze), "g int, ids array<long>, body binary").repartition(n, "g").sortWithinPartitions("g")
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
     answers = asked.mapInArrow(common.freed(answer), "g int, words binary, found binary").repartition(n, "g")
 
     def whole(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        got = list(rejoin(key, left.to_batches(), right.to_batches()))
+        got = list(rejoin(left.to_batches(), right.to_batches()))
         return pa.Table.from_batches(got, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
     return docs_by_group.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(whole, "doc_id long, ids array<int>")
@@ -175,6 +175,7 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of encoded with the bytes that ids stand for, as column decoded."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
         for batch in batches:

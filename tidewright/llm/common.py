@@ -62,8 +62,8 @@ def width(spark: SparkSession) -> int:
 def parts(df: DataFrame, size: int = TASK_BYTES) -> int:
     """Tasks for a shuffle of df: spark.sql.shuffle.partitions, or more where what df is read from has over size bytes (as stored) for each."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    stored = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    return max(width(df.sparkSession), min(-(-stored // size), 1_000_000))
+    stored = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return max(width(df.sparkSession), -(-sum(b for b in stored if b < 1 << 60) // size))  # beyond, Spark doesn't know
 
 
 def give_back() -> None:

@@ -30,17 +30,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def split_piece(piece: str | tuple, find: Callable[[str], list[str]]) -> list[str]:
-    """Pre-tokens of a piece; find is the splitting pattern's findall."""
-    if type(piece) is tuple:
-        return find(piece[0])
-    if piece.isalpha():
-        return [" " + piece]
-    if piece[-1:] in (",", ".") and piece[:-1].isalpha():
-        return [" " + piece[:-1], piece[-1]]
-    return find(" " + piece)
-
-
 class Ragged:
     """A growing table of id lists, by number."""
 
@@ -56,9 +45,9 @@ class Ragged:
 
 
 class WordTable:
-    """Ids of blocks of texts. encode: a word to its ids; find: the splitting pattern's findall; whole: a text with a special string to its ids."""
+    """Ids of blocks of texts. encode: a word to its ids (None where others encode); find: the splitting pattern's findall; whole: a text with a special string to its ids."""
 
-    def __init__(self, encode: Callable[[str], list[int]], find: Callable[[str], list[str]], whole: Callable[[str], list[int]] | None = None, dtype=np.int32):
+    def __init__(self, encode: Callable[[str], list[int]] | None, find: Callable[[str], list[str]], whole: Callable[[str], list[int]] | None = None, dtype=np.int32):
         self.encode, self.find, self.whole, self.dtype = encode, find, whole, dtype
         self.words, self.chars, self.word_ids, self.uses = Interner(), 0, Ragged(dtype), np.zeros(0, np.uint8)
 
@@ -83,6 +72,7 @@ class WordTable:
 
     def split(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of pieces that a space precedes, end to end, and how many each has. Letters alone, and letters with a comma or a stop, skip the pattern."""
+        pieces = pieces.cast(pa.string())
         alone = np.asarray(pc.utf8_is_alpha(pieces))
         stem = pc.utf8_slice_codeunits(pieces, 0, -1)
         comma, stop = np.asarray(pc.ends_with(pieces, ",")), np.asarray(pc.ends_with(pieces, "."))
@@ -100,16 +90,13 @@ class WordTable:
         out[spread(starts[rest], size[rest])] = self.words.codes(list(chain.from_iterable(other)))
         return out, size
 
-    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and where each text's begin, the total last; null is empty."""
-        if len(self.words) > MAX_WORDS or self.chars > MAX_CHARS:
-            self.clear()
+    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, at their positions: numbers of words for distinct pieces end to end, how many each piece has, the pieces of all texts, and how many each text has."""
         column = column.fill_null("")
         whole = pc.match_substring_regex(column, f" {WHITE}|{WHITE} ")
         special = pc.match_substring(column, "<|") if self.whole else pa.array(np.zeros(len(column), bool))
         whole = pc.or_(whole, special)
-        known = len(self.words)
-        parts = pc.split_pattern(pc.if_else(whole, "", column), " ")
+        parts = pc.split_pattern(pc.if_else(whole, pa.scalar("", column.type), column), " ")
         n = np.asarray(pc.list_value_length(parts)).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
         words, size = self.split(coded.dictionary)
@@ -120,12 +107,24 @@ class WordTable:
         code[np.cumsum(n) - n] = len(size) + np.arange(len(n))
         words = np.concatenate([words, self.words.codes(list(chain.from_iterable(first)))])
         size = np.concatenate([size, np.fromiter(map(len, first), np.int64, len(first))])
+        return words, size, code, n
+
+    def looked_up(self, words: np.ndarray, size: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of what numbers() gave, end to end, and where each text's begin, the total last."""
+        flat, at = gather(self.word_ids.flat, self.word_ids.ends, words, size)
+        return gather(flat, at, code, n)
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and where each text's begin, the total last; null is empty."""
+        if len(self.words) > MAX_WORDS or self.chars > MAX_CHARS:
+            self.clear()
+        known = len(self.words)
+        found = self.numbers(column)
         self.learn(known)
         self.uses = np.concatenate([self.uses, np.zeros(len(self.words) - len(self.uses), np.uint8)])
-        met = np.unique(words)
+        met = np.unique(found[0])
         self.uses[met] = np.minimum(self.uses[met], 1) + 1
-        flat, at = gather(self.word_ids.flat, self.word_ids.ends, words, size)
-        return gather(flat, at, code, n)
+        return self.looked_up(*found)
 
 
 def spread(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
