@@ -103,7 +103,7 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
     n = common.parts(docs)
     base = common.texts_of(docs)
     n_groups = max(n, -(-docs.count() // group_docs), common.parts(docs, GROUP_BYTES))
-    label = labels(spark, n, -(-n_groups // n))
+    label = labels(spark, n, round(n_groups / n))
     n_groups = len(label)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,12 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], ["g", "ids", "body"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, words = None, WordTable(None, FIND)
+        group, words, held = None, WordTable(None, FIND), []
+
+        def learn():
+            if held:
+                words.numbers(pa.concat_arrays(held))
+                held.clear()
 
         def send():
             out: dict[int, list[bytes]] = {}
@@ -129,10 +134,14 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
         for batch in batches:
             for g, body in zip(batch.column("g").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 if g != group:
+                    learn()
                     if words.words:
                         yield send()
                     group, words = g, WordTable(None, FIND)
-                words.numbers(texts_in(body))
+                held.append(texts_in(body))
+                if sum(t.nbytes for t in held) > common.BLOCK_BYTES:
+                    learn()
+        learn()
         if words.words:
             yield send()
 
@@ -157,10 +166,23 @@ def encode(docs: DataFrame, path: str, group_docs: int = 2500) -> DataFrame:
                 ids = unpack(found)
                 table.words.codes([w.decode() for w in unpack(words)])
                 table.word_ids.add(np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        of, held = [], []
+
+        def laid() -> pa.RecordBatch:
+            flat, starts = table.looked_up(*table.numbers(pa.concat_arrays(held)))
+            out = pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+            of.clear()
+            held.clear()
+            return out
+
         for batch in left:
             for ids, body in zip(batch.column("ids").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                flat, starts = table.looked_up(*table.numbers(texts_in(body)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+                of += ids
+                held.append(texts_in(body))
+                if sum(t.nbytes for t in held) > common.BLOCK_BYTES:
+                    yield laid()
+        if held:
+            yield laid()
 
     docs_by_group = base.mapInArrow(common.freed(squeeze), "g int, ids array<long>, body binary").repartition(n, "g").sortWithinPartitions("g")
     asked = docs_by_group.mapInArrow(common.freed(explode), "bucket int, g int, words binary").repartition(n, "bucket")
