@@ -1,8 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as its embedding beside the mean embedding of its character n-grams. The network reads
-windows of WINDOW words that overlap by half; a document's score is that of its worst window, through a
-logistic calibration. Only documents carry labels, so training is by multiple instances: in
+windows of WINDOW words that overlap by half; a document's score is that of its worst window, shifted and scaled so that 0.7
+lies where held-back labelled documents part best, through a logistic function. Of a word's n-grams the network sees the
+GRAMS_OF_WORD that tell the classes apart best. Only documents carry labels, so training is by multiple instances: in
 each round every labelled document is represented by its worst windows under the network so far (in the first
 round, by those with the most telling n-grams), and the network is fitted to them.
 
@@ -55,6 +56,9 @@ class Vocabulary:
         self.word = {w: k for k, w in enumerate(words, 1)}  # 0: any other
         self.gram = {g: k for k, (g, _) in enumerate(grams, 1)}
         self.weight = dict(grams)
+        # the most telling first; a word keeps its GRAMS_OF_WORD first ones
+        self.place = {g: k for k, g in enumerate(sorted(self.gram, key=lambda g: (-abs(self.weight[g]), g)))}
+        self.at = [self.gram[g] for g in self.place]
         self.clear()
 
     def clear(self) -> None:
@@ -62,8 +66,20 @@ class Vocabulary:
         self.pieces, self.rows = common.Interner(), Ragged(np.int32)
 
     def input_of(self, word: str) -> tuple:
-        known = sorted((g for g in grams_of(word) if g in self.gram), key=lambda g: (-abs(self.weight[g]), g))[:GRAMS_OF_WORD]
-        return (self.word.get(word, 0), *sorted(self.gram[g] for g in known))
+        w, get, at = f"^{word}$", self.place.get, self.at
+        n = len(w)
+        if n < 5:
+            return (self.word.get(word, 0),)
+        # what grams_of() has
+        found = {get(w[k : k + 4]) for k in range(n - 3)}
+        if n > 5:
+            found |= {get(w[:5]), get(w[-5:])}
+        if n > 6:
+            found.add(get(w[:6]))
+        if n > 7:
+            found.add(get(w[:7]))
+        found.discard(None)
+        return (self.word.get(word, 0), *sorted([at[k] for k in sorted(found)[:GRAMS_OF_WORD]]))
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all texts' words end to end, and where each text's begin."""
@@ -287,7 +303,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> dict:
 
 
 def calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset so that 0.7 lies where the classes part with the fewest errors."""
+    """Slope (from the median distance) and offset so that 0.7 lies where the classes part with the fewest errors."""
     by = np.argsort(logit)
     wrong = np.concatenate([[0], np.cumsum(y[by] == 1)]) + np.concatenate([np.cumsum((y[by] == 0)[::-1])[::-1], [0]])
     edge = np.concatenate([[logit[by[0]] - 1], (logit[by[1:]] + logit[by[:-1]]) / 2, [logit[by[-1]] + 1]])
