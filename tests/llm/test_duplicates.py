@@ -216,8 +216,8 @@ def test_suffixes_of_long_texts(spark, monkeypatch):
     for d in data:
         whole = suffix.anchors(d, np.array([0, len(d)]))
         cut = [(at, suffix.anchors(p, s)) for at, p, s in suffix.pieces(d, np.array([0, len(d)]), suffix.LENGTH - 1)]
-        windows = sorted((at + int(b) + k) for at, x in cut for b, n in zip(x[4], x[5], strict=True) for k in range(n))
-        assert windows == list(range(len(d) - 99)) and sum(whole[5]) == len(windows)
+        windows = sorted((at + int(b) + k) for at, x in cut for b, n in zip(x[5], x[6], strict=True) for k in range(n))
+        assert windows == list(range(len(d) - 99)) and sum(whole[6]) == len(windows)
     monkeypatch.undo()
     rows = list(enumerate([texts[0] * 60, texts[2] + "q", texts[1]]))
     rows = [(i, t + prose(rng, 270_000 if i == 0 else 5)) for i, t in rows]  # the first is longer than two pieces
@@ -263,6 +263,87 @@ def test_fingerprints(docs, rows):
     assert plain == {i: got[i].fingerprint for i in plain}
 
 
+def slow_parse(data):
+    """Names that count for a fingerprint, symbol by symbol as the module's docstring says."""
+    M = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M
+        return x ^ (x >> 31)
+
+    step, out = 0x9E3779B97F4A7C15, []
+    names, level = [mix(b + 1) for b in data], 0
+    while names:
+        level += 1
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [x if n == 1 else mix((x + n * step) & M) for x, n in runs]
+        label, bits = names, 64
+        for _ in range(4):
+            left = [~label[0] & ((1 << bits) - 1), *label]
+            bit = [((x ^ y) & -(x ^ y)).bit_length() - 1 for x, y in zip(label, left, strict=False)]
+            label, bits = [2 * k + (x >> k & 1) for x, k in zip(label, bit, strict=True)], 8
+        inside = [-1, *label, -1]
+        opens = [k for k in range(len(names)) if k != 1 and (k == 0 or inside[k] < inside[k + 1] > inside[k + 2])]
+        groups = [names[a:b] for a, b in zip(opens, [*opens[1:], len(names)], strict=True)]
+        names = [mix((sum(mix((x + (k + 1) * step) & M) for k, x in enumerate(g)) + len(g) * 0xD1342543DE82EF95 + level) & M) for g in groups]
+        if level >= parsing.FIRST or len(names) == 1:
+            out += names
+        if len(names) == 1:
+            break
+    return out
+
+
+def slow_print(text):
+    """A fingerprint from slow_parse(): the least hash of each slot, empty slots borrowing from the next full one."""
+    M, n = (1 << 64) - 1, parsing.SLOTS
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M
+        return x ^ (x >> 31)
+
+    least = {}
+    for x in slow_parse(text.encode()):
+        h = mix((x + 0x9E3779B97F4A7C15) & M)
+        least[h % n] = min(h, least.get(h % n, M))
+    value = []
+    for k in range(n):
+        hop = next((j for j in range(n) if (k + j) % n in least), None)
+        value.append(M if hop is None else least[k] if hop == 0 else mix((least[(k + hop) % n] + hop) & M))
+    return "".join(f"{mix(v) >> 48:04x}" for v in value)
+
+
+def test_fingerprints_by_a_slow_parser(docs, rows):
+    got = {r.doc_id: r.fingerprint for r in parsing.fingerprints(docs).collect()}
+    assert got == {i: slow_print(t or "") for i, t, *_ in rows}
+
+
+def test_rows_of_one_id_are_dealt(spark):
+    """Rows without doc_id, of one doc_id, and equal rows, in many parts: every row has the next one's text."""
+    rng = random.Random(12)
+    rows = [(i, t) for i in (None, 7) for t in [prose(rng, 3) for _ in range(200)] + ["same"] * 300]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        parts = parsing.with_next(df).groupBy(F.spark_partition_id()).count().collect()
+        got = parsing.compared(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(parts) == 16 and max(r["count"] for r in parts) < 130
+    assert len(got) == 1000 and sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t)) for i, t in rows)
+    changed = sorted((r.edited_sha256, r.doc_id or 0) for r in got)
+    by = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").desc_nulls_last(), "h").collect()
+    want = sorted((hashlib.sha256(parsing.edited(a.text, b.text).encode()).hexdigest(), a.doc_id or 0) for a, b in zip(by, [*by[1:], by[0]], strict=True))
+    assert changed == want
+
+
 def test_equal_substrings_share_names():
     rng = random.Random(4)
     inner = prose(rng, 300)

@@ -12,8 +12,9 @@ of the whole text: SLOTS values of 16 bits in hexadecimal. The likeness of two f
 the Dice coefficient of the phrase sets.
 
 Null and empty texts have no phrases and the fingerprint of the empty text; two of them are wholly alike. Rows are
-in descending order of doc_id, nulls last, equal ids by text; each repeated row is a document of its own. A lone
-document's next document is itself. An empty table gives no rows.
+in descending order of doc_id, nulls last, rows of one id (or of none) by a hash of the text; each repeated row is a document of its own. A
+lone document's next document is itself. An empty table gives no rows. Rows are dealt by ranges of all that orders them, so that
+no doc_id, null or text fills a task by itself.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import common
+from tidewright.llm.suffix import bucket_of
 
 FIRST, SLOTS = 2, 64
 U = np.uint64
@@ -165,37 +167,57 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.texts_of(docs).mapInArrow(common.freed(scan), "doc_id long, fingerprint string")
 
 
+#: What orders the rows, ascending: no id, the id reversed, the text's hash, and a number that only parts equal rows.
+ORDER = ["no_id", "down", "hash", "salt"]
+#: Rows that the cuts between parts are taken from, about.
+SAMPLE_ROWS = 50_000
+
+
+def ordered(docs: DataFrame) -> DataFrame:
+    """ORDER, doc_id and text of every row."""
+    base = common.texts_of(docs)
+    down = F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long")))
+    return base.select(F.col("doc_id").isNull().cast("long").alias("no_id"), down.alias("down"), F.xxhash64("text").alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), "doc_id", "text")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows dealt by ranges of doc_id into parts, in order; each part ends with a spare row (tail), the document that follows its last."""
-    spark = docs.sparkSession
-    n = common.width(spark)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    found = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10000)).first()[0]
-    cuts = np.array(sorted(set(found or [])), np.int64)
-
-    def part_of(column: pa.Array) -> np.ndarray:  # part 0 has the largest ids; nulls go last
-        null = np.asarray(column.is_null())
-        return np.where(null, len(cuts), len(cuts) - np.searchsorted(cuts, np.asarray(column.fill_null(0)), "right")).astype(np.int32)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows dealt into parts in order; each part ends with a spare row (tail), the document that follows its last."""
+    rows = ordered(docs)
+    n = common.parts(docs)
+    step = max(1, docs.count() // SAMPLE_ROWS)
+    some = rows.select(ORDER).where(F.pmod(F.xxhash64("down", "salt"), F.lit(step)) == 0).toArrow()
+    keys = np.stack([some.column(c).to_numpy() for c in ORDER], axis=1)
+    keys = keys[np.lexsort(keys.T[::-1])]
+    cuts = np.unique(keys[np.linspace(0, len(keys) - 1, n + 1).astype(int)[1:-1]], axis=0) if len(keys) else keys  # in the rows' order
+
+    def part_of(b: pa.RecordBatch) -> np.ndarray:
+        return bucket_of([b.column(c).to_numpy() for c in ORDER], cuts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column("doc_id"))), b.column("doc_id")], ["part", "doc_id"])
+            part = part_of(b)
+            words = np.stack([b.column(c).to_numpy() for c in ORDER], axis=1)
+            by = np.lexsort((*words.T[::-1], part))
+            head = by[np.flatnonzero(np.diff(part[by], prepend=-1))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[head]), *(pa.array(words[head, k]) for k in range(len(ORDER)))], ["part", *ORDER])
 
-    heads = sorted((r.part, r.head) for r in ids.mapInArrow(common.freed(number), "part int, doc_id long").groupBy("part").agg(F.max("doc_id").alias("head")).collect())  # a row for each part
-    goes = {part: (heads[k - 1][0], head) for k, (part, head) in enumerate(heads)}  # a part's first document also closes the part before it
+    found = rows.select(ORDER).mapInArrow(common.freed(first), "part int, " + ", ".join(f"{c} long" for c in ORDER))
+    heads = sorted((r.part, tuple(r.x)) for r in found.groupBy("part").agg(F.min(F.struct(*ORDER)).alias("x")).collect())  # a row for each part
+    goes = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}  # a part's first document also closes the part before it
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "tail", *ORDER[2:], "doc_id", "text"]
         for b in common.blocks(batches):
-            part = part_of(b.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), np.int32)), *b.columns], ["part", "tail", "doc_id", "text"])
-            at = [i for i, (p, d) in enumerate(zip(part.tolist(), b.column("doc_id").to_pylist(), strict=True)) if goes[p][1] == d]
+            part = part_of(b)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), np.int32)), *(b.column(c) for c in names[2:])], names)
+            to = [goes.get(key) for key in zip(*(b.column(c).to_pylist() for c in ORDER), strict=True)]
+            at = [i for i, p in enumerate(to) if p is not None]
             if at:
                 some = b.take(pa.array(at))
-                to = [goes[p][0] for p in part[at].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.ones(len(at), np.int32)), *some.columns], ["part", "tail", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([to[i] for i in at], pa.int32()), pa.array(np.ones(len(at), np.int32)), *(some.column(c) for c in names[2:])], names)
 
-    dealt = common.texts_of(docs).mapInArrow(common.freed(deal), "part int, tail int, doc_id long, text string")
-    return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = rows.mapInArrow(common.freed(deal), "part int, tail int, hash long, salt long, doc_id long, text string")
+    return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "hash", "salt").select("part", "tail", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:

@@ -2,8 +2,9 @@
 
 Every string of LENGTH bytes holds an anchor: the place where the smallest hash of GRAM bytes in it
 begins. Equal strings have their anchor at the same place, so only suffixes that begin at anchors are
-sorted. A suffix's sort key is its leading 8 bytes, then a digest of its leading GRAM bytes, then a digest of
-the neighbourhood (all LENGTH-byte strings that have this anchor), then doc_id and place. Splitters sampled
+sorted. A suffix's sort key is its leading 8 bytes, then a digest of its leading GRAM bytes, then two digests of
+the neighbourhood (all LENGTH-byte strings that have this anchor) of 64 bits each and independent, then doc_id and place. Strings
+count as equal if the 8 bytes and all digests agree: by chance, two different ones do so with odds of 1 to 2^128. Splitters sampled
 from a bounded number of documents range-partition the keys; because doc_id and place are part of
 them, a suffix that a third of the corpus shares is split over many buckets. A bucket sorts by a multikey
 quicksort over the key's words and compares neighbours, and its first rows with the splitter that
@@ -39,7 +40,7 @@ LENGTH, GRAM, RUN = 100, 24, 8
 BUCKET_ROWS, SAMPLE_DOCS = 600_000, 2000
 #: Bytes that a task digests at a time. A longer text is cut into pieces that overlap; neighbourhoods cut apart are merely left open.
 PIECE = 1 << 20
-KEY = ["w", "g", "c", "doc", "place"]
+KEY = ["w", "g", "c", "e", "doc", "place"]
 #: Rows without doc_id have a doc from here on.
 NAMELESS = 1 << 62
 TAG_BITS, OFF_BITS, N_BITS = 16, 7, 8
@@ -51,8 +52,7 @@ def odd(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, n, np.uint64) * U(2) + U(1)
 
 
-BYTE, BASE = odd(11, 256), int(odd(12, 1)[0])
-INVERSE = pow(BASE, -1, 1 << 64)
+BYTES, BASES = (odd(11, 256), odd(13, 256)), (int(odd(12, 1)[0]), int(odd(14, 1)[0]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,13 +62,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Digests of any stretch of the bytes, from one running sum."""
+    """Digests of any stretch of the bytes, from one running sum. Those of kind 1 are independent of those of kind 0."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, kind: int = 0):
         n = len(data) + 1
-        self.up = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, BASE, U)]))
-        down = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, INVERSE, U)]))
-        self.sum = np.concatenate([np.zeros(1, U), np.cumsum(BYTE[data] * down[: len(data)], dtype=U)])
+        self.up = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, BASES[kind], U)]))
+        down = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, pow(BASES[kind], -1, 1 << 64), U)]))
+        self.sum = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[kind][data] * down[: len(data)], dtype=U)])
 
     def digest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sum[end] - self.sum[start]) * self.up[start])
@@ -83,11 +83,11 @@ def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each anchor: its text's number, leading bytes, digest of GRAM bytes, digest of the neighbourhood, the first place of the strings it stands for, their number, and how far after that place the anchor is."""
+    """For each anchor: its text's number, leading bytes, digest of GRAM bytes, two digests of the neighbourhood, the first place of the strings it stands for, their number, and how far after that place the anchor is."""
     size = np.diff(starts)
     long = np.flatnonzero(size >= LENGTH)
     if not len(long):
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
+        return tuple(np.zeros(0, np.int64) for _ in range(8))
     roll = Rolling(data)
     first = np.arange(len(data) - GRAM + 1)
     key = (roll.digest(first, first + GRAM) & ~U(0xFFFFFFFF)) | first.astype(U)
@@ -106,7 +106,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(new, len(p)))
     begin, at, text = p[new], at[new], text[new]
     near = mix(roll.digest(begin, begin + count - 1 + LENGTH) + (at - begin).astype(U) * U(0x9E3779B97F4A7C15) + count.astype(U))
-    return text, leading(data, at), roll.digest(at, at + GRAM).view(np.int64), near.view(np.int64), begin - starts[text], count, at - begin
+    return text, leading(data, at), roll.digest(at, at + GRAM).view(np.int64), near.view(np.int64), Rolling(data, 1).digest(begin, begin + count - 1 + LENGTH).view(np.int64), begin - starts[text], count, at - begin
 
 
 def named(docs: DataFrame, doc: str = "doc", tag: str = "tag") -> DataFrame:
@@ -150,12 +150,12 @@ def pieces(data: np.ndarray, starts: np.ndarray, more: int) -> Iterator[tuple[in
 def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in common.blocks(batches, size=PIECE):
         for at, data, starts in pieces(*common.raw(part.column("text")), LENGTH - 1):
-            text, w, g, c, place, n, off = anchors(data, starts)
+            text, w, g, c, e, place, n, off = anchors(data, starts)
             doc, tag = part.column("doc").to_numpy()[text], part.column("tag").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, g, c, doc, placed(place + at, tag, off, n))], KEY)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, g, c, e, doc, placed(place + at, tag, off, n))], KEY)
 
 
-ROWS = "w long, g long, c long, doc long, place long"
+ROWS = "w long, g long, c long, e long, doc long, place long"
 
 
 def multikey(words: list[np.ndarray]) -> np.ndarray:
@@ -191,20 +191,21 @@ def bucket_of(rows: list[np.ndarray], cuts: np.ndarray) -> np.ndarray:
     return low.astype(np.int32)
 
 
-def compared(w, g, c, doc, place, before: np.ndarray | None, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def compared(w, g, c, e, doc, place, before: np.ndarray | None, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket's rows in order: which repeat an earlier row, and which share leading bytes with a row of another neighbourhood."""
     n = len(w)
     spot = place >> LOW_BITS
     gram = np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])])
-    near = gram | np.concatenate([[True], c[1:] != c[:-1]])
+    near = gram | np.concatenate([[True], (c[1:] != c[:-1]) | (e[1:] != e[:-1])])
     first = np.maximum.accumulate(np.where(near, np.arange(n), 0))
     repeats = (doc != doc[first]) | (spot != spot[first])
     sizes = np.bincount(np.cumsum(gram) - 1, near)
     shares = (sizes > 1)[np.cumsum(gram) - 1]
     if before is not None:  # the row that closes the bucket before this one
         same = (w == before[0]) & (g == before[1])
-        shares |= same & (c != before[2])
-        repeats |= same & (c == before[2]) & ((doc != before[3]) | (spot != before[4] >> LOW_BITS))
+        equal = (c == before[2]) & (e == before[3])
+        shares |= same & ~equal
+        repeats |= same & equal & ((doc != before[4]) | (spot != before[5] >> LOW_BITS))
     if after is not None:  # the row that closes this one: its run may go on in the next
         shares |= (w == after[0]) & (g == after[1])
     return repeats, shares & ~repeats
@@ -233,14 +234,14 @@ def neighbours(rows: DataFrame, cuts: np.ndarray, make=None) -> DataFrame:
             for kind, mask in enumerate((repeats, shares)):
                 at = np.flatnonzero(mask)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(cols[3][at]), pa.array(cols[4][at])], ["kind", "doc", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(cols[4][at]), pa.array(cols[5][at])], ["kind", "doc", "place"])
 
     return rows.mapInArrow(common.freed(deal), f"pid int, {ROWS}").repartitionById(n, F.col("pid")).mapInArrow(common.freed(decide), "kind int, doc long, place long")
 
 
 def splitters(sample: DataFrame, n: int) -> np.ndarray:
     """n - 1 rows of a bounded sample that part it evenly."""
-    got = sample.toPandas()[KEY].to_numpy(np.int64) if n > 1 else np.zeros((0, 5), np.int64)
+    got = sample.toPandas()[KEY].to_numpy(np.int64) if n > 1 else np.zeros((0, len(KEY)), np.int64)
     if not len(got):
         return got
     got = got[np.lexsort(got.T[::-1])]
@@ -264,7 +265,7 @@ def runs(data: np.ndarray, starts: np.ndarray, text: np.ndarray, packed: np.ndar
     roll = Rolling(data)
     g = mix(roll.digest(core, core + LENGTH - RUN + 1) + j.astype(U))
     c = mix(roll.digest(begin, begin + n - 1 + LENGTH) + (off[row] - step).astype(U) * U(0x9E3779B97F4A7C15) + n.astype(U))
-    return text[row], leading(data, core), g.view(np.int64), c.view(np.int64), begin - base, n
+    return text[row], leading(data, core), g.view(np.int64), c.view(np.int64), Rolling(data, 1).digest(begin, begin + n - 1 + LENGTH).view(np.int64), begin - base, n
 
 
 def strings(data: np.ndarray, starts: np.ndarray, text: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -274,7 +275,8 @@ def strings(data: np.ndarray, starts: np.ndarray, text: np.ndarray, packed: np.n
     row = np.repeat(np.arange(len(count)), count)
     spot = (packed >> LOW_BITS)[row] + np.arange(len(row)) - (stop - count)[row]
     at = starts[text[row]] + spot
-    return text[row], leading(data, at), Rolling(data).digest(at, at + LENGTH).view(np.int64), np.zeros(len(at), np.int64), spot, np.ones(len(at), np.int64)
+    g, e = (Rolling(data, kind).digest(at, at + LENGTH).view(np.int64) for kind in range(2))
+    return text[row], leading(data, at), g, np.zeros(len(at), np.int64), e, spot, np.ones(len(at), np.int64)
 
 
 def tag_of(place: str = "place"):
@@ -294,8 +296,8 @@ def reopened(base: DataFrame, found: DataFrame, cut) -> DataFrame:
             for at, data, starts in pieces(whole, every, 4 * LENGTH):
                 spot = packed >> LOW_BITS
                 mine = (spot >= at) & (spot < at + PIECE) if len(data) < len(whole) else np.ones(len(spot), bool)
-                text, w, g, c, spot, n = cut(data, starts, owner[mine], packed[mine] - (at << LOW_BITS))
-                cols = (w, g, c, part.column("doc").to_numpy()[text], placed(spot + at, part.column("tag").to_numpy()[text], 0, n))
+                text, w, g, c, e, spot, n = cut(data, starts, owner[mine], packed[mine] - (at << LOW_BITS))
+                cols = (w, g, c, e, part.column("doc").to_numpy()[text], placed(spot + at, part.column("tag").to_numpy()[text], 0, n))
                 for k in range(0, len(text), 1 << 17):
                     yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 17)]) for x in cols], KEY)
 
