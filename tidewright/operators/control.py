@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def estimated(steps: DataFrame) -> DataFrame:
-    """Transitions from observed steps (s, a, s2, r): shares and mean rewards."""
-    n = steps.groupBy("s", "a", "s2").agg(F.count("*").alias("n"), F.avg("r").alias("r"))
+    """Transitions from observed steps (s, a, s2, r): shares and mean rewards. Rewards are summed as decimals, so that no order of rows changes the mean."""
+    n = steps.groupBy("s", "a", "s2").agg(F.count("*").alias("n"), (F.sum(F.col("r").cast("decimal(20,8)")).cast("double") / F.count("*")).alias("r"))
     total = n.groupBy("s", "a").agg(F.sum("n").alias("total"))
     return n.join(total, ["s", "a"]).select("s", "a", "s2", (F.col("n") / F.col("total")).alias("p"), "r", F.lit(False).alias("done"))
 
@@ -64,13 +65,13 @@ def returns(rewards: DataFrame, gamma: float) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint, in spark.checkpoint.dir or a folder of our own where none is set."""
+    """df from a reliable checkpoint, in spark.checkpoint.dir or, where none is set and one machine does all, a folder of our own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not base:
-            import tempfile
-
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = f"file://{tempfile.gettempdir()}/tidewright-{uuid.uuid4().hex}"
         context.setCheckpointDir(base)
     return df.checkpoint()

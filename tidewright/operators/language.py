@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 UNSEEN = 100.0
 
 
-def unigrams(words: DataFrame) -> DataFrame:
-    """words (key, w: array) to term, n, cost (-ln p)."""
-    n = words.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
+def unigrams(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """words (key, w: array) to term, n, cost (-ln p); of the asked terms (term, distinct) alone, if given."""
+    every = words.select(F.explode("w").alias("term"))
+    n = (every if asked is None else every.join(asked, "term", "left_semi")).groupBy("term").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total")) if asked is None else words.agg(F.sum(F.size("w")).alias("total"))
     return n.crossJoin(F.broadcast(total)).select("term", "n", (F.log("total") - F.log("n")).alias("cost"))  # total is one row
 
 
@@ -25,13 +26,20 @@ def pairs(words: DataFrame) -> DataFrame:
     return words.where(F.size("w") > 1).select(F.explode(F.slice(zipped, F.lit(1), F.size("w") - 1)).alias("p")).select(F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2"))
 
 
-def bigrams(words: DataFrame) -> DataFrame:
-    """w1, w2, n, cost: -ln p(w2 | w1), normalised by the bigrams that start with w1."""
-    n = pairs(words).groupBy("w1", "w2").agg(F.count("*").alias("n"))
+def bigrams(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """w1, w2, n, cost: -ln p(w2 | w1), normalised by the bigrams that start with w1; of the asked first words (w1, distinct) alone, if given."""
+    every = pairs(words)
+    n = (every if asked is None else every.join(asked, "w1", "left_semi")).groupBy("w1", "w2").agg(F.count("*").alias("n"))
     start = n.groupBy("w1").agg(F.sum("n").alias("total"))
     return n.join(start, "w1").select("w1", "w2", "n", (F.log("total") - F.log("n")).alias("cost"))
 
 
+def asked_models(queries: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """unigrams() and bigrams() of words as far as query_cost() of the queries (key, w) needs them."""
+    terms = queries.select(F.explode("w").alias("term")).distinct()
+    return unigrams(words, terms), bigrams(words, terms.withColumnRenamed("term", "w1"))
+
+
 def query_cost(queries: DataFrame, unigram: DataFrame, bigram: DataFrame) -> DataFrame:
     """queries (key, w) to key, cost: the first word's cost and those of all pairs; 0 without words."""
     first = queries.where(F.size("w") > 0).select("key", F.col("w")[0].alias("term"))
@@ -97,44 +105,44 @@ def neighbours(typed: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def weighted_neighbours(typed: DataFrame, dictionary: DataFrame, costs: dict[tuple[str, str], float], limit: float, most_terms: int = 200_000) -> DataFrame:
-    """word, term, cost: the cheapest edits under costs[(dictionary character, typed character)] (1 by default, _ for a gap), where at most limit. The dictionary travels to the tasks, so its size is checked."""
-    terms = [r.term for r in dictionary.select("term").distinct().orderBy("term").limit(most_terms + 1).collect()]
-    if len(terms) > most_terms:
-        raise ValueError(f"the dictionary has over {most_terms} terms")
-    trie: dict = {}
-    for t in terms:
-        node = trie
-        for c in t:
-            node = node.setdefault(c, {})
-        node[""] = t
-    shared = typed.sparkSession.sparkContext.broadcast(trie)
+    """word, term, cost: the cheapest edits under costs[(dictionary character, typed character)] (1 by default, _ for a gap), where at most limit. The dictionary is dealt into parts of
+    about most_terms; each part is a trie in one task, which searches it for all words."""
+    terms = dictionary.select("term").distinct()
+    parts = max(typed.sparkSession.sparkContext.defaultParallelism, -(-terms.count() // most_terms))
+    dealt = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
+    asked = typed.select("word").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def price(a: str, b: str) -> float:
         return 0.0 if a == b else costs.get((a, b), 1.0)
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for word in frame["word"]:
-                first = [0.0]
-                for c in word:
-                    first.append(first[-1] + price("_", c))
-                stack = [(shared.value, first)]
-                while stack:
-                    node, line = stack.pop()
-                    if "" in node and line[-1] <= limit:
-                        rows.append((word, node[""], line[-1]))
-                    for c, below in node.items():
-                        if not c:
-                            continue
-                        now = [line[0] + price(c, "_")]
-                        for k, w in enumerate(word, 1):
-                            now.append(min(line[k - 1] + price(c, w), line[k] + price(c, "_"), now[k - 1] + price("_", w)))
-                        if min(now) <= limit:
-                            stack.append((below, now))
-            yield pd.DataFrame(rows, columns=["word", "term", "cost"])
-
-    return typed.select("word").mapInPandas(scan, "word string, term string, cost double")
+    def search(terms: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        trie: dict = {}
+        for t in terms["term"]:
+            node = trie
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = t
+        rows = []
+        for word in words["word"]:
+            first = [0.0]
+            for c in word:
+                first.append(first[-1] + price("_", c))
+            stack = [(trie, first)]
+            while stack:
+                node, line = stack.pop()
+                if "" in node and line[-1] <= limit:
+                    rows.append((word, node[""], line[-1]))
+                for c, below in node.items():
+                    if not c:
+                        continue
+                    now = [line[0] + price(c, "_")]
+                    for k, w in enumerate(word, 1):
+                        now.append(min(line[k - 1] + price(c, w), line[k] + price(c, "_"), now[k - 1] + price("_", w)))
+                    if min(now) <= limit:
+                        stack.append((below, now))
+        return pd.DataFrame(rows, columns=["word", "term", "cost"])
+
+    return dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(search, "word string, term string, cost double")
 
 
 def shortlist(candidates: DataFrame, match_num: int = 8, max_diff: float = 3.0, alpha: float = 1.0, beta: float = 1.0):
@@ -148,14 +156,40 @@ def shortlist(candidates: DataFrame, match_num: int = 8, max_diff: float = 3.0,
     return seen.withColumn("stop", stop).where((F.col("stop") == 0) & (F.col("rank") <= match_num)).select("word", "term", "lm", "err", F.col("rank").cast("long").alias("rank"))
 
 
-def best_chain(candidates: DataFrame, unigram: DataFrame, bigram: DataFrame, length: int) -> DataFrame:
-    """The cheapest chain of candidates (key, pos, term) for queries of up to length words: key, cost. A step keeps the cheapest chain that ends in each candidate, so no product of candidate lists arises."""
-    state = candidates.where("pos = 0").join(unigram.select("term", "cost"), "term", "left").select("key", "term", F.coalesce("cost", F.lit(UNSEEN)).alias("cost"))
-    ends = candidates.groupBy("key").agg(F.max("pos").alias("last"))
-    done = state.join(ends.where("last = 0"), "key").groupBy("key").agg(F.min("cost").alias("cost"))
-    for pos in range(1, length):
-        step = candidates.where(F.col("pos") == pos).select("key", F.col("term").alias("next"))
-        both = state.join(step, "key").join(bigram.select(F.col("w1").alias("term"), F.col("w2").alias("next"), F.col("cost").alias("c")), ["term", "next"], "left")
-        state = both.groupBy("key", "next").agg(F.min(F.col("cost") + F.coalesce("c", F.lit(UNSEEN))).alias("cost")).withColumnRenamed("next", "term")
-        done = done.unionAll(state.join(ends.where(F.col("last") == pos), "key").groupBy("key").agg(F.min("cost").alias("cost")))
-    return done
+def best_chain(candidates: DataFrame, unigram: DataFrame, bigram: DataFrame) -> DataFrame:
+    """The cheapest chain of candidates (key, pos from 0, term, and maybe err, what a candidate costs by itself) over all positions: key, cost, chain. A step keeps the cheapest chain
+    that ends in each candidate, the first by its words on ties, so no product of candidate lists arises."""
+    if "err" not in candidates.columns:
+        candidates = candidates.withColumn("err", F.lit(0.0))
+    node = "struct<cost:double,chain:string>"
+    first = candidates.where("pos = 0").join(unigram.select("term", F.col("cost").alias("c")), "term", "left")
+    own = F.struct((F.coalesce("c", F.lit(UNSEEN)) + F.col("err")).alias("cost"), F.col("term").alias("chain"))
+    start = first.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", own))).cast(f"map<string,{node}>").alias("start"))
+    later = candidates.select("key", (F.col("pos") - 1).alias("pos"), F.col("term").alias("next"), "err")
+    edges = candidates.select("key", "pos", "term").join(later, ["key", "pos"]).join(bigram.select(F.col("w1").alias("term"), F.col("w2").alias("next"), F.col("cost").alias("c")), ["term", "next"], "left")
+    edges = edges.groupBy("key", "pos").agg(F.collect_list(F.struct("term", "next", (F.coalesce("c", F.lit(UNSEEN)) + F.col("err")).alias("c"))).alias("edges"))
+    steps = edges.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "edges"))).alias("steps"))
+
+    def step(state, s):
+        def best(word):
+            into = F.filter(s["edges"], lambda e: e["next"] == word)
+            return F.array_min(F.transform(into, lambda e: F.struct((state[e["term"]]["cost"] + e["c"]).alias("cost"), F.concat(state[e["term"]]["chain"], F.lit(" "), word).alias("chain"))))
+
+        words = F.array_distinct(F.transform(s["edges"], lambda e: e["next"]))
+        return F.map_from_arrays(words, F.transform(words, best)).cast(f"map<string,{node}>")
+
+    last = F.aggregate(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), F.col("start"), step)
+    return start.join(steps, "key", "left").select("key", F.array_min(F.map_values(last)).alias("x")).select("key", "x.cost", "x.chain")
+
+
+def edit_prices(pairs: DataFrame, errors: DataFrame) -> DataFrame:
+    """word, term, err of pairs (word, term) at most one edit apart: the sum of -ln p(typed | meant) over their characters under an error model (fix, orig, cost)."""
+    a, b = F.split("term", ""), F.split("word", "")
+    same = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    at = F.when(same > 0, same - 1).otherwise(F.length("term")).cast("int")
+    gap = lambda c: F.concat(F.substring(c, F.lit(1), at), F.lit("_"), F.substring(c, at + 1, F.length(c)))
+    meant = F.when(F.length("term") < F.length("word"), gap(F.col("term"))).otherwise(F.col("term"))
+    typed = F.when(F.length("term") > F.length("word"), gap(F.col("word"))).otherwise(F.col("word"))
+    each = pairs.select("word", "term", F.explode(F.arrays_zip(F.split(meant, "").alias("fix"), F.split(typed, "").alias("orig"))).alias("e")).select("word", "term", "e.*")
+    priced = each.join(errors.select("fix", "orig", "cost"), ["fix", "orig"], "left")
+    return priced.groupBy("word", "term").agg(F.sum(F.coalesce("cost", F.lit(UNSEEN))).alias("err"))

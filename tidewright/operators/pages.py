@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 import regex
@@ -48,29 +46,37 @@ def html_features(html: Column, frequent: list[str]) -> dict[str, Column]:
     }
 
 
-class Reader(HTMLParser):
-    """Text of a page by parsing: white space collapsed, a paragraph begins after a blank line, a break is a line."""
+#: Rewritings of a page, in order, to text with lines: white space collapses, a paragraph begins after a blank line, a break is a line.
+LINES = [
+    (r"(?s)<!--.*?-->|<[!?][^>]*>", " "),
+    (r"[ \t\r\n]+", " "),
+    (r"(?i)<p(?: [^>]*)?/?>|<br(?: [^>]*)?/>", "\n\n"),
+    (r"(?i)<br(?: [^>]*)?>", "\n"),
+    (r"<[^>]*>", " "),
+    (r" +", " "),
+    (r"\n ", "\n"),
+    (r"(?<=[^ \n])\n", " \n"),
+    (r"^[ \n]+|[ \n]+$", ""),
+]
+#: Character references that are replaced.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
 
-    def __init__(self):
-        super().__init__()
-        self.parts: list[str] = []
 
-    def handle_data(self, data: str) -> None:
-        if text := data.strip():
-            self.parts.append(regex.sub(r"[ \t\r\n]+", " ", text) + " ")
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.parts += {"p": ["\n\n"], "br": ["\n"]}.get(tag, [])
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.parts += {"p": ["\n\n"], "br": ["\n\n"]}.get(tag, [])
+def parsed_text(html: Column) -> Column:
+    for pattern, by in LINES:
+        html = F.regexp_replace(html, pattern, by)
+    for reference, by in REFERENCES.items():
+        html = F.replace(html, F.lit(reference), F.lit(by))
+    return html
 
 
 def read_html(html: str) -> str:
-    reader = Reader()
-    reader.feed(html)
-    reader.close()
-    return "".join(reader.parts).strip()
+    """parsed_text() of one string."""
+    for pattern, by in LINES:
+        html = regex.sub(pattern, by, html)
+    for reference, by in REFERENCES.items():
+        html = html.replace(reference, by)
+    return html
 
 
 def per_value(f, kind: str):
@@ -82,23 +88,20 @@ def per_value(f, kind: str):
     return F.pandas_udf(apply, kind)
 
 
-def parsed_text(html: Column) -> Column:
-    return per_value(lambda x: None if x is None else read_html(x), "string")(html)
-
-
 def compressed_size(text: Column) -> Column:
     return per_value(lambda x: len(zlib.compress((x or "").encode())), "long")(text)
 
 
-def lemmatised(words: DataFrame, column: str, lemma) -> DataFrame:
-    """words with lemma: each distinct word goes through the function once and is joined back."""
+def lemmatised(words: DataFrame, column: str, lemmas: DataFrame) -> DataFrame:
+    """words with lemma, from a dictionary (word, lemma) that has each word once; what it lacks is its own lemma. Distinct words are joined with it, and joined back."""
+    known = words.select(column).distinct().join(lemmas.select(F.col("word").alias(column), "lemma"), column, "left")
+    return words.join(known.withColumn("lemma", F.coalesce("lemma", column)), column)
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(lemma=[lemma(w) for w in frame[column]])
 
-    known = words.select(column).distinct().mapInPandas(scan, f"{column} string, lemma string")
-    return words.join(known, column)
+def plurals(words: DataFrame) -> DataFrame:
+    """A dictionary (word, lemma) from words (word) alone: a word of four letters or more with an s at its end is a form of the word without, if that occurs."""
+    every = words.select("word").distinct()
+    return every.where("length(word) > 3 and word like '%s'").withColumn("lemma", F.expr("substring(word, 1, length(word) - 1)")).join(every.select(F.col("word").alias("lemma")), "lemma", "left_semi").select("word", "lemma")
 
 
 def words_of(html: Column, to_text=S.visible_text, tokenise=S.alnum_tokens) -> Column:

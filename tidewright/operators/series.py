@@ -46,9 +46,11 @@ def box(df: DataFrame, key: list[str], size: int) -> DataFrame:
 
 
 def box_sweep(df: DataFrame, key: list[str], sizes) -> DataFrame:
-    """Mean square difference between smoothed and own values, for each size: one sort serves all sizes."""
+    """Mean square difference between smoothed and own values, for each size: one sort serves all sizes, and running sums any width."""
     w = ordered(key)
-    each = F.array(*(F.struct(F.lit(s).cast("long").alias("size"), (F.sum("v").over(w.rowsBetween(-(s // 2), s // 2)) / s).alias("smooth")) for s in sizes))
+    df = df.withColumns({"upto": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    smooth = lambda s: (F.coalesce(F.lead("upto", s // 2).over(w), "all") - F.coalesce(F.lag("upto", s // 2 + 1).over(w), F.lit(0.0))) / s
+    each = F.array(*(F.struct(F.lit(s).cast("long").alias("size"), smooth(s).alias("smooth")) for s in sizes))
     rows = df.withColumn("each", each).select("v", F.explode("each").alias("e"))
     return rows.groupBy("e.size").agg(F.avg((F.col("e.smooth") - F.col("v")) * (F.col("e.smooth") - F.col("v"))).alias("mse"))
 

@@ -10,7 +10,7 @@ from tidewright.plans.registry import query
 from tidewright.sources.tables import table
 
 BASE = """WITH RECURSIVE e AS (SELECT event_type AS s, CAST(floor(value) AS BIGINT) % 2 AS a, value / 100 AS r, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s2 FROM events),
-n AS (SELECT s, a, s2, count(*) AS n, avg(r) AS r FROM e WHERE s2 IS NOT NULL GROUP BY ALL),
+n AS (SELECT s, a, s2, count(*) AS n, sum(CAST(r AS DECIMAL(20, 8)))::double / count(*) AS r FROM e WHERE s2 IS NOT NULL GROUP BY ALL),
 p AS (SELECT s, a, s2, n::double / sum(n) OVER (PARTITION BY s, a) AS p, r FROM n)"""
 
 
@@ -46,11 +46,22 @@ def greedy_policy(spark, d):
     return C.greedy(p, C.evaluate(p, policy, 0.9, 6), 0.9)
 
 
+_W = "w(t, s, v) AS (SELECT 0, s, 0.0::double FROM (SELECT DISTINCT s FROM p WHERE a = 0) UNION ALL SELECT w.t + 1, p.s, sum(p.p * (p.r + 0.9::double * w.v)) FROM w JOIN p ON p.s2 = w.s WHERE p.a = 0 AND w.t < 400 GROUP BY w.t, p.s)"
+
+
+@query(BASE + ", " + _W + " SELECT s, round(v, 5) AS v FROM w WHERE t = 400")
+def policy_values(spark, d):
+    """Evaluation until no value moves by 1e-10. Every state has action 0."""
+    p = C.saved(process(spark, d))
+    policy = p.select("s").distinct().withColumn("a", F.lit(0).cast("long"))
+    return C.evaluate(p, policy, 0.9, 400, 1e-10).select("s", F.round("v", 5).alias("v"))
+
+
 @query()
 def policy_iteration(spark, d):
     p = C.saved(process(spark, d))
     out = None
-    for gamma in (0.9, 0.0):
+    for gamma in (1.0, 0.9, 0.5, 0.2, 0.0):
         best = C.improve(p, gamma).withColumn("gamma", F.lit(gamma))
         out = best if out is None else out.unionAll(best)
     return out

@@ -51,14 +51,15 @@ SELECT key, round(sum(cost), 5) AS cost FROM c GROUP BY key""")
 def query_cost(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), S.tokens(F.col("text")).alias("w"))
     known = words(spark, d)
-    return L.query_cost(asked, L.unigrams(known), L.bigrams(known)).withColumn("cost", F.round("cost", 5))
+    return L.query_cost(asked, *L.asked_models(asked, known)).withColumn("cost", F.round("cost", 5))
 
 
-@query()
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+')) AS t FROM benchmark), e AS (SELECT substr(t, i, 1) AS fix, CASE WHEN i = 2 THEN '_' ELSE substr(t, i, 1) END AS orig FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM t)), n AS (SELECT fix, orig, count(*) AS n FROM e GROUP BY ALL)
+SELECT fix, orig, n, round(ln(sum(n) OVER (PARTITION BY fix)) - ln(n), 6) + 0 AS cost FROM n""")
 def error_model(spark, d):
     """Corrections are benchmark words with their second letter lost, against the words."""
     w = table(spark, d, "benchmark").select(F.explode(S.tokens(F.col("text"))).alias("fixed"))
-    return L.error_model(w.select("fixed", F.concat(F.substring("fixed", 1, 1), F.expr("substring(fixed, 3)")).alias("original")))
+    return L.error_model(w.select("fixed", F.concat(F.substring("fixed", 1, 1), F.expr("substring(fixed, 3)")).alias("original"))).withColumn("cost", F.round("cost", 6) + 0)
 
 
 @query()

@@ -27,10 +27,9 @@ def activations(spark, d):
     return rows.select("vec_id", "i", F.round(N.sigmoid(x), 6).alias("sigmoid"), r(N.relu(x)).alias("relu"), r(N.elu(x)).alias("elu"), r(F.tanh(x)).alias("tanh"), F.round(g["sigmoid"], 6).alias("d_sigmoid"), F.round(g["tanh"], 6).alias("d_tanh"), g["relu"].alias("d_relu"), F.round(g["elu"], 6).alias("d_elu"))
 
 
-@query(VEC + ", x AS (SELECT vec_id, label, e[1:10] AS a FROM v), m AS (SELECT *, list_max(a) AS top FROM x), s AS (SELECT *, list_sum(list_transform(a, lambda q: exp(q - top))) AS z FROM m) SELECT vec_id, round(ln(z) + top - a[label + 1], 6) AS loss, list_position(a, top) - 1 AS best, round(exp(a[label + 1] - top) / z - 1, 6) AS gradient, CASE WHEN list_position(a, top) - 1 <> label THEN 1 ELSE 0 END AS wrong FROM s")
+@query(VEC + ", x AS (SELECT vec_id, label, e AS a FROM v), m AS (SELECT *, list_max(a) AS top FROM x), s AS (SELECT *, list_sum(list_transform(a, lambda q: exp(q - top))) AS z FROM m) SELECT vec_id, round(ln(z) + top - a[label + 1], 6) AS loss, list_position(a, top) - 1 AS best, round(exp(a[label + 1] - top) / z - 1, 6) AS gradient, CASE WHEN list_position(a, top) - 1 <> label THEN 1 ELSE 0 END AS wrong FROM s")
 def softmax_loss(spark, d):
-    a = F.slice("e", 1, 10)
-    v = vectors(spark, d).withColumn("a", a)
+    v = vectors(spark, d).withColumn("a", F.col("e"))
     best = N.argmax(F.col("a"))
     return v.select("vec_id", F.round(N.nll(F.col("a"), F.col("label")), 6).alias("loss"), best.alias("best"), F.round(F.get(N.nll_gradient(F.col("a"), F.col("label")), F.col("label")), 6).alias("gradient"), (best != F.col("label")).cast("int").alias("wrong"))
 
@@ -169,10 +168,9 @@ def initial_weights(spark, d):
     return w.select("id", F.col("z").alias("normal"), (F.col("z") * (2 / 74) ** 0.5).alias("xavier"), (F.col("z") * (2 / 64) ** 0.5).alias("he"))
 
 
-@query()
+@query(VEC + ", m AS (SELECT vec_id, e, list_max(e) AS top, ('0x' || left(md5('draw' || vec_id), 6))::BIGINT / 16777216.0::double AS u FROM v), z AS (SELECT *, list_sum(list_transform(e, lambda x: exp(x - top))) AS z FROM m), p AS (SELECT vec_id, u, unnest(e) AS x, generate_subscripts(e, 1) AS i, top, z FROM z), c AS (SELECT vec_id, u, round(sum(exp(x - top) / z) OVER (PARTITION BY vec_id ORDER BY i), 9) AS c FROM p) SELECT vec_id, least(sum(CASE WHEN c < u THEN 1 ELSE 0 END)::BIGINT, 63) AS drawn FROM c GROUP BY vec_id")
 def sampled_classes(spark, d):
-    """A class drawn from each vector's softmax, seeded by its id."""
-    p = N.softmax(F.slice("e", 1, 10))
-    u = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    up_to = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: N.total(F.slice("p", F.lit(1), i)))
-    return vectors(spark, d).withColumn("p", p).select("vec_id", F.least(F.size(F.filter(up_to, lambda c: c < u)), F.lit(9)).alias("drawn"))
+    """A class drawn from each vector's softmax, by a number that is a hash of its id."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("draw"), F.col("vec_id").cast("string"))), 1, 6), 16, 10).cast("double") / (1 << 24)
+    below = F.aggregate("p", F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + (F.round(s["sum"] + x, 9) < F.col("u")).cast("long")).alias("n")))["n"]
+    return vectors(spark, d).withColumn("p", N.softmax(F.col("e"))).withColumn("u", u).select("vec_id", F.least(below, (F.size("e") - 1).cast("long")).alias("drawn"))

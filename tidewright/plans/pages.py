@@ -50,7 +50,17 @@ def page_features(spark, d):
     return table(spark, d, "pages").select("page_id", *(c.alias(k) for k, c in P.html_features(F.col("html"), FREQUENT).items()))
 
 
-@query()
+def _lines(sql: str) -> str:
+    for pattern, by in P.LINES:
+        if pattern.startswith("(?<="):  # the pattern language of SQL looks behind by a group
+            pattern, by = r"([^ \n])\n", r"\1" + by
+        sql = f"regexp_replace({sql}, '{pattern}', '" + by.replace("\n", "' || chr(10) || '") + "', 'g')"
+    for reference, by in P.REFERENCES.items():
+        sql = f"replace({sql}, '{reference.replace(chr(39), chr(39) * 2)}', '{by.replace(chr(39), chr(39) * 2)}')"
+    return sql
+
+
+@query(f"SELECT page_id, {_lines('html')} AS text FROM pages")
 def page_text_parsed(spark, d):
     return table(spark, d, "pages").select("page_id", P.parsed_text(F.col("html")).alias("text"))
 
@@ -62,11 +72,11 @@ def page_compression(spark, d):
     return table(spark, d, "pages").select("page_id", F.round(n / P.compressed_size(F.col("html")), 6).alias("ratio"))
 
 
-@query()
+@query(f"WITH o AS (SELECT unnest({_WORDS}) AS word FROM pages), u AS (SELECT DISTINCT word FROM o) SELECT coalesce(l.word, o.word) AS lemma, count(*) AS n FROM o LEFT JOIN u l ON length(o.word) > 3 AND o.word LIKE '%s' AND l.word = left(o.word, length(o.word) - 1) GROUP BY ALL")
 def page_lemmas(spark, d):
-    """Words with their lemmas; without a lemmatiser at hand, words themselves."""
-    words = table(spark, d, "pages").select("page_id", F.explode(P.words_of(F.col("html"))).alias("word"))
-    return P.lemmatised(words, "word", str).groupBy("lemma").agg(F.count("*").alias("n"))
+    """Words by lemma, with a dictionary of plurals that the pages themselves show."""
+    words = table(spark, d, "pages").select(F.explode(P.words_of(F.col("html"))).alias("word"))
+    return P.lemmatised(words, "word", P.plurals(words)).groupBy("lemma").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -44,9 +44,9 @@ def box_smoothing(spark, d):
     return R.box(numbered(spark, d), ["user_id"], 71).select("user_id", "t", F.round("smooth", 6).alias("smooth"))
 
 
-@query(BASE + ", k AS (SELECT 2 * i + 3 AS size FROM range(0, 10) r(i)), " + "b AS (SELECT size, s.user_id, s.t, s.v, sum(o.v) / size AS smooth FROM s, k JOIN s o ON o.user_id = s.user_id AND abs(o.t - s.t) <= (size - 1) / 2 GROUP BY size, s.user_id, s.t, s.v) SELECT size, round(avg((smooth - v) * (smooth - v)), 4) AS mse FROM b GROUP BY size")
+@query(BASE + ", k AS (SELECT 2 * i + 3 AS size FROM range(0, 498) r(i)), " + "c AS (SELECT user_id, t, v, sum(v) OVER (PARTITION BY user_id ORDER BY t) AS upto, sum(v) OVER (PARTITION BY user_id) AS every FROM s), b AS (SELECT size, c.v, (coalesce(hi.upto, c.every) - coalesce(lo.upto, 0)) / size AS smooth FROM c CROSS JOIN k LEFT JOIN c hi ON hi.user_id = c.user_id AND hi.t = c.t + (size - 1) // 2 LEFT JOIN c lo ON lo.user_id = c.user_id AND lo.t = c.t - (size + 1) // 2) SELECT size, round(avg((smooth - v) * (smooth - v)), 4) AS mse FROM b GROUP BY size")
 def smoothing_sweep(spark, d):
-    return R.box_sweep(numbered(spark, d), ["user_id"], range(3, 23, 2)).select("size", F.round("mse", 4).alias("mse"))
+    return R.box_sweep(numbered(spark, d), ["user_id"], range(3, 998, 2)).select("size", F.round("mse", 4).alias("mse"))
 
 
 @query(BASE + " SELECT user_id, t, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS scaled FROM s")

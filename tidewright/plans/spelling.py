@@ -9,7 +9,7 @@ from tidewright.functions import strings as S
 from tidewright.operators import language as L
 from tidewright.plans.language import DOCS, words
 from tidewright.plans.registry import query
-from tidewright.plans.text import short_queries
+from tidewright.plans.text import whole_queries
 from tidewright.sources.tables import table
 
 CAND = DOCS + """, typed AS (SELECT DISTINCT left(t, 1) || substr(t, 3) AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+')) AS t FROM benchmark)),
@@ -46,10 +46,10 @@ def spell_shortlist(spark, d):
     return L.shortlist(c).select("word", "term", "rank")
 
 
-VARIANTS = DOCS + """, q AS (SELECT item_id, array_to_string((regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+'))[1:3], ' ') AS q FROM benchmark),
+VARIANTS = DOCS + """, q AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+'), ' ') AS q FROM benchmark),
 v AS (SELECT item_id, 0 AS gen, q AS variant FROM q
-  UNION ALL SELECT item_id, i, left(q, i - 1) || substr(q, i + 1) FROM q, range(1, 400) r(i) WHERE i <= length(q) AND substr(q, i, 1) = ' '
-  UNION ALL SELECT item_id, 1000 + i, left(q, i) || ' ' || substr(q, i + 1) FROM q, range(1, 400) r(i) WHERE i < length(q)),
+  UNION ALL SELECT item_id, i, left(q, i - 1) || substr(q, i + 1) FROM (SELECT *, unnest(range(1, length(q) + 1)) AS i FROM q) WHERE substr(q, i, 1) = ' '
+  UNION ALL SELECT item_id, 1000 + i, left(q, i) || ' ' || substr(q, i + 1) FROM (SELECT *, unnest(range(1, length(q))) AS i FROM q)),
 vw AS (SELECT item_id, gen, variant, regexp_extract_all(variant, '[A-Za-zА-Яа-я0-9]+') AS w FROM v),
 vo AS (SELECT item_id, gen, variant, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM vw),
 vp AS (SELECT item_id, gen, variant, pos, lag(term) OVER (PARTITION BY item_id, gen ORDER BY pos) AS w1, term AS w2 FROM vo),
@@ -60,41 +60,68 @@ SELECT item_id, CASE WHEN cost > 3000 THEN q ELSE best END AS fixed, cost FROM (
 @query(VARIANTS)
 def spell_best(spark, d):
     """The cheapest of a query and its joined and split variants, the earliest made on ties; the query itself where all are too unlikely."""
-    q = short_queries(spark, d)
+    q = whole_queries(spark, d)
     space = F.filter(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda i: F.substring("q", i, F.lit(1)) == " ")
     joined = F.transform(space, lambda i: F.struct(i.alias("gen"), F.concat(F.substring("q", F.lit(1), i - 1), F.substring("q", i + 1, F.length("q"))).alias("variant")))
     split = F.transform(S.split_variants(F.col("q")), lambda v, i: F.struct((i + 1001).alias("gen"), v.alias("variant")))
     every = F.concat(F.array(F.struct(F.lit(0).alias("gen"), F.col("q").alias("variant"))), joined, split)
     v = q.select("item_id", "q", F.explode(every).alias("x")).select("item_id", "q", "x.gen", "x.variant")
-    known = words(spark, d)
     keyed = v.withColumn("key", F.struct("item_id", "gen"))
-    cost = L.query_cost(keyed.select("key", S.tokens(F.col("variant")).alias("w")), L.unigrams(known), L.bigrams(known)).withColumn("cost", F.round("cost", 5))
+    asked = keyed.select("key", S.tokens(F.col("variant")).alias("w"))
+    cost = L.query_cost(asked, *L.asked_models(asked, words(spark, d))).withColumn("cost", F.round("cost", 5))
     best = keyed.join(cost, "key").groupBy("item_id", "q").agg(F.min_by("variant", F.struct("cost", "gen")).alias("best"), F.min("cost").alias("cost"))
     return best.select("item_id", F.when(F.col("cost") > 3000, F.col("q")).otherwise(F.col("best")).alias("fixed"), "cost")
 
 
-@query(CAND + """, q AS (SELECT item_id AS key, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT item_id, (regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+'))[1:3] AS w FROM benchmark)),
-c AS (SELECT key, pos, term FROM q JOIN cand ON cand.word = left(t, 1) || substr(t, 3)),
-n AS (SELECT key, max(pos) AS last FROM q GROUP BY key),
-full_keys AS (SELECT key FROM c JOIN n USING (key) GROUP BY key, last HAVING count(DISTINCT pos) = last + 1),
-chains AS (SELECT c0.key, coalesce(uni.cost, 100) + coalesce(b1.cost, 100) + coalesce(b2.cost, 100) AS cost FROM c c0 JOIN n ON n.key = c0.key AND n.last = 2 JOIN c c1 ON c1.key = c0.key AND c1.pos = 1 JOIN c c2 ON c2.key = c0.key AND c2.pos = 2
-  LEFT JOIN uni ON uni.term = c0.term LEFT JOIN big b1 ON b1.w1 = c0.term AND b1.w2 = c1.term LEFT JOIN big b2 ON b2.w1 = c1.term AND b2.w2 = c2.term WHERE c0.pos = 0)
-SELECT key, round(min(cost), 5) AS cost FROM chains JOIN full_keys USING (key) GROUP BY key""")
+@query(CAND.replace("WITH toks", "WITH RECURSIVE toks", 1) + """, q AS (SELECT item_id AS key, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+') AS w FROM benchmark)),
+c AS MATERIALIZED (SELECT key, pos, coalesce(term, left(t, 1) || substr(t, 3)) AS term FROM q LEFT JOIN cand ON cand.word = left(t, 1) || substr(t, 3)),
+b AS MATERIALIZED (SELECT w1, w2, cost FROM big WHERE w1 IN (SELECT term FROM c)),
+chain(key, pos, term, cost) AS (SELECT key, 0::BIGINT, term, coalesce(uni.cost, 100) FROM c LEFT JOIN uni USING (term) WHERE pos = 0
+  UNION ALL SELECT h.key, h.pos + 1, c.term, min(h.cost + coalesce(b.cost, 100)) FROM chain h JOIN c ON c.key = h.key AND c.pos = h.pos + 1 LEFT JOIN b ON b.w1 = h.term AND b.w2 = c.term GROUP BY h.key, h.pos, c.term),
+n AS (SELECT key, max(pos) AS last FROM q GROUP BY key)
+SELECT key, round(min(cost), 5) AS cost FROM chain JOIN n USING (key) WHERE pos = last GROUP BY key""")
 def spell_chain(spark, d):
-    """Cheapest sentences from each word's candidates, by dynamic programming over positions."""
-    w = short_queries(spark, d).select(F.col("item_id").alias("key"), F.posexplode(F.split("q", " ")).alias("pos", "t"))
-    found = candidates(spark, d).select("word", "term")
-    c = w.select("key", "pos", F.concat(F.substring("t", 1, 1), F.expr("substring(t, 3)")).alias("word")).join(found, "word").select("key", "pos", "term")
-    whole = w.groupBy("key").agg(F.max("pos").alias("last")).join(c.groupBy("key").agg(F.count_distinct("pos").alias("n")), "key").where("n = last + 1 and last = 2").select("key")
+    """Cheapest sentences from each word's candidates, by dynamic programming over positions; a word without candidates stays."""
+    w = whole_queries(spark, d).select(F.col("item_id").alias("key"), F.posexplode(F.split("q", " ")).alias("pos", "t"))
+    typed_ = w.select("key", "pos", F.concat(F.substring("t", 1, 1), F.expr("substring(t, 3)")).alias("word"))
+    c = typed_.join(candidates(spark, d).select("word", "term"), "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term"))
     known = words(spark, d)
-    return L.best_chain(c.join(whole, "key"), L.unigrams(known), L.bigrams(known), 3).withColumn("cost", F.round("cost", 5))
+    asked = c.select("term").distinct()
+    return L.best_chain(c, L.unigrams(known, asked), L.bigrams(known, asked.withColumnRenamed("term", "w1"))).select("key", F.round("cost", 5).alias("cost"))
 
 
-@query()
+@query(CAND + """, cut AS (SELECT term, left(term, i - 1) || substr(term, i + 1) AS word FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM dict) WHERE substr(term, i, 1) BETWEEN 'a' AND 'z')
+SELECT word, term, min(cost) AS cost FROM (SELECT word, term, 0.0::double AS cost FROM typed JOIN dict ON word = term UNION ALL SELECT word, term, 0.5::double FROM typed JOIN cut USING (word)) GROUP BY word, term""")
 def spell_weighted(spark, d):
     """Neighbours under weighted edits: a lost letter costs half."""
-    known = dictionary(spark, d).orderBy(F.desc("n"), "term").limit(20_000)  # the most frequent terms are the dictionary
-    return L.weighted_neighbours(typed(spark, d), known, {(c, "_"): 0.5 for c in "abcdefghijklmnopqrstuvwxyz"}, 0.5)
+    return L.weighted_neighbours(typed(spark, d), dictionary(spark, d), {(c, "_"): 0.5 for c in "abcdefghijklmnopqrstuvwxyz"}, 0.5)
+
+
+@query()
+def spell_corrected(spark, d):
+    """The corrector as a whole. Typed texts are benchmark texts whose every fourth word lacks its second letter; the error model is learned from such corrections. In one minimum stand the
+    text as typed, its layouts, joins and splits by the language model, and the best chain of shortlisted candidates by language model and error model; the text stays where all are too unlikely."""
+    w = whole_queries(spark, d).select(F.col("item_id").alias("key"), F.posexplode(F.split("q", " ")).alias("pos", "t"))
+    lost = F.concat(F.substring("t", 1, 1), F.expr("substring(t, 3)"))
+    w = w.withColumn("word", F.when((F.col("pos") % 4 == 3) & (F.length("t") > 2), lost).otherwise(F.col("t")))
+    texts = w.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("q"))
+    errors = L.error_model(w.select(F.col("word").alias("original"), F.col("t").alias("fixed")))
+    known = dictionary(spark, d)
+    pairs = L.neighbours(w.select("word").distinct(), known).select("word", "term")
+    scored = L.edit_prices(pairs, errors).join(known.select("term", F.col("cost").alias("lm")), "term")
+    short = L.shortlist(scored).select("word", "term", "err")
+    c = w.select("key", "pos", "word").join(short, "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term"), F.coalesce("err", F.lit(L.UNSEEN)).alias("err"))
+    q = F.col("q")
+    gens = F.concat(F.array(q), S.layout_variants(q), S.join_variants(q), S.split_variants(q))
+    v = texts.select("key", F.posexplode(gens).alias("gen", "variant"))
+    asked = v.select(F.struct("key", "gen").alias("key"), S.tokens(F.col("variant")).alias("w"))
+    corpus = words(spark, d)
+    terms = c.select("term").union(asked.select(F.explode("w"))).distinct()
+    uni, big = L.unigrams(corpus, terms), L.bigrams(corpus, terms.withColumnRenamed("term", "w1"))
+    priced = L.query_cost(asked, uni, big).select(F.col("key.key").alias("key"), F.col("key.gen").alias("gen"), "cost").join(v, ["key", "gen"]).select("key", "gen", "variant", "cost")
+    chains = L.best_chain(c, uni, big).select("key", F.lit(1 << 30).alias("gen"), F.col("chain").alias("variant"), "cost")
+    best = priced.unionByName(chains).groupBy("key").agg(F.min_by("variant", F.struct(F.round("cost", 5).alias("cost"), "gen")).alias("best"), F.round(F.min("cost"), 5).alias("cost"))
+    return best.join(texts, "key").select("key", F.col("q").alias("typed"), F.when(F.col("cost") > 3000, F.col("q")).otherwise(F.col("best")).alias("fixed"), "cost")
 
 
 @query(CAND + "SELECT word, count(*) AS n, max(rank) AS last FROM (SELECT word, row_number() OVER (PARTITION BY word ORDER BY term) AS rank FROM cand) GROUP BY word")

@@ -64,10 +64,10 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@query(f"SELECT doc_id, md5(translate(text, {_quoted(S.LATIN_KEYS)}, {_quoted(S.CYRILLIC_KEYS)})) AS switched, translate(translate(left(text, 40), {_quoted(S.LATIN_KEYS)}, {_quoted(S.CYRILLIC_KEYS)}), {_quoted(S.CYRILLIC_KEYS)}, {_quoted(S.LATIN_KEYS)}) AS back FROM documents")
+@query(f"SELECT doc_id, md5(translate(text, {_quoted(S.LATIN_KEYS)}, {_quoted(S.CYRILLIC_KEYS)})) AS switched, md5(translate(translate(text, {_quoted(S.LATIN_KEYS)}, {_quoted(S.CYRILLIC_KEYS)}), {_quoted(S.CYRILLIC_KEYS)}, {_quoted(S.LATIN_KEYS)})) AS back FROM documents")
 def layout_switch(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.md5(S.to_cyrillic(t).cast("binary")).alias("switched"), S.to_latin(S.to_cyrillic(F.substring(t, 1, 40))).alias("back"))
+    return table(spark, d, "documents").select("doc_id", F.md5(S.to_cyrillic(t).cast("binary")).alias("switched"), F.md5(S.to_latin(S.to_cyrillic(t)).cast("binary")).alias("back"))
 
 
 @query("SELECT item_id, left(text, 5) || '_' || substr(text, 6) AS inserted FROM benchmark")
@@ -75,22 +75,22 @@ def insert_character(spark, d):
     return table(spark, d, "benchmark").select("item_id", S.insert_at(F.col("text"), F.lit(5), F.lit("_")).alias("inserted"))
 
 
-QUERY_SQL = "SELECT item_id, array_to_string((regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+'))[1:3], ' ') AS q FROM benchmark"
+QUERY_SQL = "SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+'), ' ') AS q FROM benchmark"
 
 
-def short_queries(spark, d):
-    """item_id and q: benchmark texts as queries of three words."""
-    return table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(S.tokens(F.col("text")), 1, 3), " ").alias("q"))
+def whole_queries(spark, d):
+    """item_id and q: benchmark texts as queries, words parted by single spaces."""
+    return table(spark, d, "benchmark").select("item_id", F.array_join(S.tokens(F.col("text")), " ").alias("q"))
 
 
-@query(f"SELECT item_id, left(q, i) || ' ' || substr(q, i + 1) AS variant FROM ({QUERY_SQL}), range(1, 400) r(i) WHERE i < length(q)")
+@query(f"SELECT item_id, left(q, i) || ' ' || substr(q, i + 1) AS variant FROM (SELECT *, unnest(range(1, length(q))) AS i FROM ({QUERY_SQL}))")
 def split_variants(spark, d):
-    return short_queries(spark, d).select("item_id", F.explode(S.split_variants(F.col("q"))).alias("variant"))
+    return whole_queries(spark, d).select("item_id", F.explode(S.split_variants(F.col("q"))).alias("variant"))
 
 
-@query(f"SELECT item_id, left(q, i - 1) || substr(q, i + 1) AS variant FROM ({QUERY_SQL}), range(1, 400) r(i) WHERE i <= length(q) AND substr(q, i, 1) = ' '")
+@query(f"SELECT item_id, left(q, i - 1) || substr(q, i + 1) AS variant FROM (SELECT *, unnest(range(1, length(q) + 1)) AS i FROM ({QUERY_SQL})) WHERE substr(q, i, 1) = ' '")
 def join_variants(spark, d):
-    return short_queries(spark, d).select("item_id", F.explode(S.join_variants(F.col("q"))).alias("variant"))
+    return whole_queries(spark, d).select("item_id", F.explode(S.join_variants(F.col("q"))).alias("variant"))
 
 
 @query(f"""
@@ -100,12 +100,12 @@ SELECT item_id, array_to_string(list_transform(w, lambda x, j: CASE WHEN j = i T
 UNION ALL
 SELECT item_id, array_to_string(list_transform(w, lambda x, j: CASE WHEN j = i THEN translate(x, {_quoted(S.CYRILLIC_KEYS)}, {_quoted(S.LATIN_KEYS)}) ELSE x END), ' ') AS variant FROM m""")
 def layout_variants(spark, d):
-    return short_queries(spark, d).select("item_id", F.explode(S.layout_variants(F.col("q"))).alias("variant"))
+    return whole_queries(spark, d).select("item_id", F.explode(S.layout_variants(F.col("q"))).alias("variant"))
 
 
 @query(f"SELECT item_id, array_to_string(string_split(q, ' '), ' ') AS chained, length(trim('  ' || q || ' ')) AS n FROM ({QUERY_SQL})")
 def word_chain(spark, d):
-    return short_queries(spark, d).select("item_id", F.array_join(F.split("q", " "), " ").alias("chained"), F.length(F.trim(F.concat(F.lit("  "), F.col("q"), F.lit(" ")))).cast("long").alias("n"))
+    return whole_queries(spark, d).select("item_id", F.array_join(F.split("q", " "), " ").alias("chained"), F.length(F.trim(F.concat(F.lit("  "), F.col("q"), F.lit(" ")))).cast("long").alias("n"))
 
 
 @query("SELECT conv_id, turn, string_split(role || chr(9) || text, chr(9))[-1] AS fixed, trim(string_split(role || chr(9) || text, chr(9))[1]) AS quote FROM conversations")
