@@ -180,3 +180,77 @@ def test_partial_tiles_are_dropped(spark):
     df = spark.createDataFrame([(0, y, x, float(5 * y + x)) for y in range(5) for x in range(5)], "k int, y long, x long, v double")
     got = grids.pooled(df, "k", 2, 5, 5, F.max("v").alias("m")).count()
     assert got == 4
+
+
+def test_pages_that_are_rewritten(spark):
+    html = "<!-- c --><p>one  two<br>three<br/>four &amp; <b>five</b> six<p><p>seven<pre> a\n b</pre>"
+    want = "one two \nthree \n\nfour & five six \n\n\n\nseven a b"
+    assert spark.range(1).select(pages.parsed_text(F.lit(html)).alias("t")).first().t == want == pages.read_html(html)
+
+
+def test_lemmas(spark):
+    words = spark.createDataFrame([("cats",), ("cat",), ("cats",), ("bus",), ("glass",)], "word string")
+    got = pages.lemmatised(words, "word", pages.plurals(words)).collect()
+    assert sorted((r.word, r.lemma) for r in got) == [("bus", "bus"), ("cat", "cat"), ("cats", "cat"), ("cats", "cat"), ("glass", "glass")]
+
+
+def test_partial_reads_give_the_same_commands():
+    from tidewright.streaming import commands as C
+
+    log = "set a 0 0 5\r\nab\r\nc\r\nget a b\r\nfly\r\nadd b 0 0 0\r\n\r\nset c 0 0 x\r\nstats\r\n"
+    whole, rest = C.complete(log + "get")
+    assert rest == "get" and [(v, b, e) for v, _, b, e in whole] == [("set", "ab\r\nc", None), ("get", None, None), ("fly", None, "ERROR"), ("add", "", None), ("set", None, "CLIENT_ERROR"), ("stats", None, None)]
+    for size in range(1, 12):
+        held, out = "", []
+        for k in range(0, len(log), size):
+            found, held = C.complete(held + log[k : k + size])
+            out += found
+        assert out == whole and held == ""
+
+
+def test_partial_reads_as_a_stream(spark, tmp_path):
+    from tidewright.streaming import commands as C
+
+    reads = [("x", 0, "set a 0 0 3\r\nab"), ("y", 0, "get q\r\nget r\r\n"), ("x", 1, "c\r\nget"), ("x", 2, " a\r\n")]
+    for k, row in enumerate(reads):  # a batch each
+        spark.createDataFrame([row], "conn string, seq long, data string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("conn string, seq long, data string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    run = C.parsed_reads(stream).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = spark.read.schema(C.COMMANDS).parquet(f"file://{tmp_path}/out").collect()
+    assert sorted((r.conn, r.n, r.verb, r.body) for r in got) == [("x", 0, "set", "abc"), ("x", 1, "get", None), ("y", 0, "get", None), ("y", 1, "get", None)]
+
+
+def test_chains_against_all_products(spark):
+    """The cheapest chain with prices of its own, against every product of candidates."""
+    from itertools import product
+
+    uni = {"a": 1.0, "b": 2.0, "c": 0.5}
+    big = {("a", "b"): 0.3, ("b", "c"): 0.1, ("a", "c"): 2.0, ("c", "c"): 0.2}
+    lists = {1: [["a", "b"], ["b", "c"], ["c", "a"]], 2: [["b"]], 3: [["c", "x"], ["c"], ["c"], ["a", "b", "c"]]}
+    err = {"a": 0.2, "b": 0.0, "c": 0.7, "x": 0.0}
+    c = spark.createDataFrame([(k, p, t, err[t]) for k, ls in lists.items() for p, ts in enumerate(ls) for t in ts], "key long, pos int, term string, err double")
+    got = language.best_chain(c, spark.createDataFrame(list(uni.items()), "term string, cost double"), spark.createDataFrame([(*k, v) for k, v in big.items()], "w1 string, w2 string, cost double"))
+    price = lambda ws: uni.get(ws[0], 100.0) + sum(big.get(p, 100.0) for p in zip(ws, ws[1:], strict=False)) + sum(err[w] for w in ws)
+    for r in got.collect():
+        best = min(product(*lists[r.key]), key=lambda ws: (round(price(ws), 9), " ".join(ws)))
+        assert (r.chain, r.cost) == (" ".join(best), pytest.approx(price(best)))
+
+
+def test_edit_prices(spark):
+    errors = spark.createDataFrame([("a", "a", 0.1), ("b", "b", 0.2), ("b", "_", 1.0), ("_", "c", 3.0), ("a", "b", 2.0)], "fix string, orig string, cost double")
+    pairs = spark.createDataFrame([("aa", "aba"), ("abc", "ab"), ("bb", "ab"), ("ab", "ab"), ("zb", "ab")], "word string, term string")
+    got = {(r.word, r.term): r.err for r in language.edit_prices(pairs, errors).collect()}
+    assert got == pytest.approx({("aa", "aba"): 1.2, ("abc", "ab"): 3.3, ("bb", "ab"): 2.2, ("ab", "ab"): 0.3, ("zb", "ab"): 100.2})
+
+
+def test_restored_vectors(spark):
+    import numpy as np
+
+    x = np.random.default_rng(0).normal(size=(60, 5)) @ np.diag([5, 3, 1, 0.5, 0.1])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id int, e array<double>")
+    for k in (2, 5):
+        out, share = numeric.restored(df, "e", k)
+        values = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+        assert share.sum() == pytest.approx(values[:k].sum() / values.sum())
+        assert np.mean([r.error for r in out.collect()]) == pytest.approx(values[k:].sum() / 300, abs=1e-12)

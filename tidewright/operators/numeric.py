@@ -141,12 +141,28 @@ def trajectory(spark, objective: str, method: str, steps: int) -> DataFrame:
     return rows.select(F.lit(objective).alias("objective"), F.lit(method).alias("method"), "step", F.col("p.x").alias("x"), F.col("p.y").alias("y")).withColumn("loss", f(F.col("x"), F.col("y")))
 
 
-def principal(df: DataFrame, column: str, k: int):
-    """Principal components of arrays: df with pca, and the share of variance of each component. The input is centred first."""
+def components(df: DataFrame, column: str, k: int):
+    """Principal components of arrays: df with pca, the fitted model, and the means taken off the input first."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = df.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows).transform(rows)
+    scaler = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows)
+    centred = scaler.transform(rows)
     model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    return model.transform(centred).withColumn("pca", vector_to_array("_p")).drop("_v", "_c", "_p"), model.explainedVariance.toArray()
+    return model.transform(centred).withColumn("pca", vector_to_array("_p")).drop("_v", "_c", "_p"), model, scaler.mean.toArray()
+
+
+def principal(df: DataFrame, column: str, k: int):
+    """df with pca, and the share of variance of each component."""
+    out, model, _ = components(df, column, k)
+    return out, model.explainedVariance.toArray()
+
+
+def restored(df: DataFrame, column: str, k: int):
+    """df with restored, the arrays that k components give back, and error, their mean square distance; and the share of variance of each component."""
+    out, model, mean = components(df, column, k)
+    place = F.array(*(F.array(*map(F.lit, row)) for row in model.pc.toArray().tolist()))
+    back = F.zip_with(place, F.array(*map(F.lit, mean.tolist())), lambda row, m: dot(row, F.col("pca")) + m)
+    out = out.withColumn("restored", back)
+    return out.withColumn("error", total(F.zip_with("restored", column, lambda a, b: (a - b) * (a - b))) / F.size(column)), model.explainedVariance.toArray()

@@ -49,6 +49,41 @@ def dense_layer(spark, d):
     return N.dense(x, w, b, "vec_id").withColumn("y", r(F.col("y")))
 
 
+_CHAIN = VEC + """, x AS MATERIALIZED (SELECT vec_id, generate_subscripts(e, 1) - 1 AS i, unnest(e) AS x FROM v), w1 AS (SELECT i, o, sin((i * 4 + o)::double) / 8 AS w FROM range(0, 64) a(i), range(0, 4) b(o)), w2 AS (SELECT i, o, cos((i * 2 + o)::double) / 2 AS w FROM range(0, 4) a(i), range(0, 2) b(o)),
+h AS MATERIALIZED (SELECT vec_id, o, sum(x * w) + o * 0.1::double AS z FROM x JOIN w1 USING (i) GROUP BY vec_id, o),
+y AS MATERIALIZED (SELECT vec_id, w2.o, sum(tanh(z) * w) + w2.o * 0.1::double AS y FROM h JOIN w2 ON w2.i = h.o GROUP BY vec_id, w2.o),
+d2 AS MATERIALIZED (SELECT vec_id, o, 2 * (y - CASE WHEN label % 2 = o THEN 1 ELSE 0 END) / (count(*) OVER ()) AS d FROM y JOIN v USING (vec_id)),
+d1 AS MATERIALIZED (SELECT vec_id, h.o, sum(d * w) * (1 - tanh(any_value(z)) * tanh(any_value(z))) AS d FROM d2 JOIN w2 USING (o) JOIN h USING (vec_id) WHERE h.o = w2.i GROUP BY vec_id, h.o),
+every AS (SELECT 1 AS layer, i, o, w - 0.5::double * g AS w FROM w1 JOIN (SELECT i, o, sum(x * d) AS g FROM x JOIN d1 USING (vec_id) GROUP BY i, o) USING (i, o)
+UNION ALL SELECT 1, -1, o, o * 0.1::double - 0.5::double * sum(d) FROM d1 GROUP BY o
+UNION ALL SELECT 2, i, o, w - 0.5::double * g FROM w2 JOIN (SELECT h.o AS i, d2.o, sum(tanh(z) * d) AS g FROM h JOIN d2 USING (vec_id) GROUP BY h.o, d2.o) USING (i, o)
+UNION ALL SELECT 2, -1, o, o * 0.1::double - 0.5::double * sum(d) FROM d2 GROUP BY o)
+SELECT layer, i, o, round(w, 6) + 0 AS w FROM every"""
+
+
+@query(_CHAIN)
+def chain_step(spark, d):
+    """Weights after one step of gradient descent on the mean square error of two dense layers with tanh between them: 64 to 4 to 2, targets by the parity of the label. A bias has i = -1."""
+    from tidewright.operators import network as W
+
+    def layer(n: int, m: int, w) -> W.Dense:
+        grid = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("o"))
+        return W.Dense(grid.withColumn("w", w((F.col("i") * m + F.col("o")).cast("double"))), spark.range(m).select(F.col("id").alias("o"), (F.col("id") * 0.1).alias("b")))
+
+    layers = [layer(64, 4, lambda a: F.sin(a) / 8), layer(4, 2, lambda a: F.cos(a) / 2)]
+    net = W.Chain(layers[0], W.Activation("tanh"), layers[1])
+    v = vectors(spark, d)
+    x = v.select(F.col("vec_id").alias("key"), F.posexplode("e").alias("i", "x")).select("key", F.col("i").cast("long").alias("i"), "x")
+    target = v.select(F.col("vec_id").alias("key"), F.explode(F.array(*(F.struct(F.lit(o).cast("long").alias("i"), (F.col("label") % 2 == o).cast("double").alias("t")) for o in range(2)))).alias("q")).select("key", "q.*")
+    net.backward(W.mean_square(net.forward(x), target)[1])
+    net.step(0.5)
+    out = None
+    for k, one in enumerate(layers, 1):
+        rows = one.weights.unionAll(one.bias.select(F.lit(-1).cast("long"), "o", "b")).withColumn("layer", F.lit(k))
+        out = rows if out is None else out.unionAll(rows)
+    return out.select("layer", "i", "o", r(F.col("w")).alias("w"))
+
+
 @query(VEC + ", n AS (SELECT vec_id, e, list_sum(e) / len(e) AS m FROM v), s AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: (x - m) * (x - m))) / (len(e) - 1)) AS sd FROM n) SELECT vec_id, i - 1 AS i, round((e[i] - m) / (sd + 1e-6::double), 5) + 0 AS x FROM s, range(1, 65) r(i)")
 def layer_norm(spark, d):
     rows = vectors(spark, d).select("vec_id", F.posexplode(N.layer_norm(F.col("e"))).alias("i", "x"))
@@ -150,6 +185,17 @@ def principal_components(spark, d):
     return out.select("vec_id", "pca", F.lit(float(share.sum())).alias("explained"))
 
 
+@query()
+def principal_sweep(spark, d):
+    """For several numbers of components the share of variance up to there, and the mean square error of vectors restored from them."""
+    out = None
+    for k in (2, 8, 25, 64):
+        rest, share = N.restored(vectors(spark, d), "e", k)
+        one = rest.agg(F.round(F.avg("error"), 6).alias("mse")).select(F.lit(k).alias("k"), F.lit(round(float(share.sum()), 6)).alias("explained"), "mse")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query()
 def digit_classifier(spark, d):
     """A multilayer perceptron over embeddings, as the dense nets."""

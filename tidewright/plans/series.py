@@ -95,3 +95,24 @@ def roll_out(spark, d):
 def sessions(spark, d):
     e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
     return R.sessions(e, ["user_id"], ["us", "event_id"], "us", 3_600_000_000).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+LSTM = {"w": [0.5, -0.3, 0.2, 0.4, 0.6, -0.5, 0.3, 0.1], "u": [[0.1, 0.2, -0.1, 0.3, 0.2, -0.2, 0.1, 0.4], [-0.2, 0.1, 0.3, -0.1, 0.1, 0.3, -0.3, 0.2]], "b": [0.0, 0.1, 1.0, 1.0, 0.0, -0.1, 0.2, 0.0]}
+
+
+def _lstm_sql() -> str:
+    gate = lambda j: f"(x * {LSTM['w'][j]}::double + h0 * {LSTM['u'][0][j]}::double + h1 * {LSTM['u'][1][j]}::double + {LSTM['b'][j]}::double)"
+    up = lambda z: f"(1 / (1 + exp(-{z})))"
+    cell = [f"c{k} * {up(gate(2 + k))} + {up(gate(k))} * tanh({gate(4 + k)})" for k in range(2)]
+    return (
+        BASE.replace("WITH s", "WITH RECURSIVE s") + ", n AS (SELECT user_id, max(t) AS last FROM s GROUP BY user_id), w(user_id, t, h0, h1, c0, c1) AS (SELECT user_id, -1::BIGINT, 0.0::double, 0.0::double, 0.0::double, 0.0::double FROM n UNION ALL SELECT user_id, t, "
+        + ", ".join(f"{up(gate(6 + k))} * tanh({cell[k]})" for k in range(2)) + ", " + ", ".join(cell)
+        + " FROM (SELECT w.user_id, s.t, s.v / 1000 AS x, h0, h1, c0, c1 FROM w JOIN s ON s.user_id = w.user_id AND s.t = w.t + 1)) SELECT user_id, round(h0, 6) + 0 AS h0, round(h1, 6) + 0 AS h1 FROM w JOIN n USING (user_id) WHERE t = last"
+    )
+
+
+@query(_lstm_sql())
+def lstm_states(spark, d):
+    """The last hidden state of a cell of two units over each user's values."""
+    rows = numbered(spark, d).withColumn("v", F.col("v") / 1000)
+    return R.lstm(rows, ["user_id"], LSTM).select("user_id", *((F.round(F.get("h", F.lit(k)), 6) + 0).alias(f"h{k}") for k in range(2)))

@@ -13,6 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidewright.operators.control import saved
 
 OUT = "key string, seq long, reply string, value string"
+COMMANDS = "conn string, n long, verb string, args array<string>, body string, error string"
+#: Verbs of the protocol that carry a body, and the others.
+STORING, PLAIN = ("set", "add", "append", "prepend", "replace"), ("get", "gets", "stats", "delete")
+END = "\r\n"
 
 
 def applied(value: str | None, op: str, body: str) -> tuple[str | None, str]:
@@ -28,20 +32,62 @@ def applied(value: str | None, op: str, body: str) -> tuple[str | None, str]:
     return value, "NOT_STORED"
 
 
+def complete(buffer: str) -> tuple[list[tuple], str]:
+    """The commands (verb, args, body, error) that a connection's bytes hold so far, and what is left of them. A body that lacks its end, or a line, waits for more."""
+    out, at = [], 0
+    while (stop := buffer.find(END, at)) >= 0:
+        verb, *args = buffer[at:stop].split(" ")
+        after, body, error = stop + len(END), None, None
+        if verb in STORING:
+            if len(args) != 4 or not args[3].isdigit():
+                error = "CLIENT_ERROR"
+            else:
+                close = after + int(args[3])
+                if len(buffer) < close + len(END):
+                    break
+                body, after = buffer[after:close], close + len(END)
+                error = None if buffer[close:after] == END else "CLIENT_ERROR"
+        elif verb not in PLAIN:
+            error = "ERROR"
+        out.append((verb, args, body, error))
+        at = after
+    return out, buffer[at:]
+
+
+def read_on(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rest, n = state.get if state.exists else ("", 0)
+    rows = []
+    for data in pd.concat(frames).sort_values("seq")["data"]:
+        found, rest = complete(rest + data)
+        for command in found:
+            rows.append((key[0], n, *command))
+            n += 1
+    state.update((rest, n))
+    yield pd.DataFrame(rows, columns=["conn", "n", "verb", "args", "body", "error"])
+
+
+def parsed_reads(reads: DataFrame) -> DataFrame:
+    """A stream of partial reads (conn, seq, data) to the commands they complete, numbered by connection: several in a read, or one over several reads and batches."""
+    return reads.groupBy("conn").applyInPandasWithState(read_on, COMMANDS, "rest string, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    value = state.get[0] if state.exists else None
+    value, last = state.get if state.exists else (None, None)
     frame = pd.concat(frames).sort_values("seq")
+    if last is not None and len(frame) and frame["seq"].iloc[0] < last:
+        raise ValueError(f"a command of {key[0]} came after a later one was applied")
     rows = []
     for seq, op, body in frame[["seq", "op", "body"]].itertuples(index=False):
         value, reply = applied(value, op, body)
         rows.append((key[0], seq, reply, value))
-    state.update((value,))
+    state.update((value, int(frame["seq"].iloc[-1]) if len(frame) else last))
     yield pd.DataFrame(rows, columns=["key", "seq", "reply", "value"])
 
 
 def replies(commands: DataFrame) -> DataFrame:
-    """A stream of commands (key, seq, op, body) to a stream of replies and values; commands of a batch apply in order of seq."""
-    return commands.groupBy("key").applyInPandasWithState(step, OUT, "value string", "append", GroupStateTimeout.NoTimeout)
+    """A stream of commands (key, seq, op, body) to a stream of replies and values; commands of a batch apply in order of seq. A key's commands must come in order
+    from batch to batch: one that is late fails the stream, as no fold would be right."""
+    return commands.groupBy("key").applyInPandasWithState(step, OUT, "value string, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def corrected(lines: DataFrame, correct) -> DataFrame:
