@@ -127,6 +127,19 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), {"constant": 1.0}).count() == 0
 
 
+def test_toxicity_query(spark):
+    """The query end to end: held-out rows by labels it never saw, extra columns that clash, null ids."""
+    got = queries.op2_toxicity(spark, "/root/testdata/sf0.1").toPandas()
+    labels = common.table(spark, "/root/testdata/sf0.1", "labels").toPandas().set_index("doc_id")["toxic"]
+    assert len(got) == 10_000 and got.score.between(0, 1).all() and ((got.score >= 0.7) == (got.predicted == 1)).all()
+    held = got[got.held_out & got.doc_id.isin(labels.index)]
+    y = labels.loc[held.doc_id].to_numpy()
+    assert held.predicted[y == 1].mean() > 0.9 and held.predicted[y == 0].mean() < 0.02
+    docs = spark.createDataFrame([(None, "x", 5.0, 9), (2, "you fool " * 20_000, 1.0, 9)], "doc_id long, text string, score double, predicted int")
+    out = toxicity.score(docs, {"constant": 0.0})
+    assert out.columns == ["doc_id", "score", "predicted"] and {tuple(r) for r in out.collect()} == {(None, 0.0, 0), (2, 0.0, 0)}
+
+
 def test_language(spark):
     got = queries.op3_language(spark, DATA).collect()
     lang = {r.doc_id: r.lang for r in common.table(spark, DATA, "documents").collect()}

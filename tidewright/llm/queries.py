@@ -19,14 +19,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = toxicity.held_out(F.col("doc_id"))
+    out = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~out)
     return toxicity.score(docs, toxicity.train(docs.where(~out), labels)).withColumn("held_out", out)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = langid.held_out(F.col("doc_id"))
+    out = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
     return langid.identify(docs, langid.train(docs.where(~out))).withColumn("held_out", out)
 
 

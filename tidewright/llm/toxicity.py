@@ -7,7 +7,7 @@ GRAMS_OF_WORD that tell the classes apart best. Only documents carry labels, so
 each round every labelled document is represented by its worst windows under the network so far (in the first
 round, by those with the most telling n-grams), and the network is fitted to them.
 
-The network is fitted to a bounded sample of labelled rows (SAMPLE_DOCS of each class at most); all windows
+The network is fitted to a bounded sample of labelled rows (SAMPLE_DOCS toxic and twice as many others at most, of up to SAMPLE_CHARS); all windows
 of all texts are scored. Null and empty texts, and texts without a word, are one window of padding. Repeated
 rows are scored each. Labels that disagree for a doc_id count as toxic. With labels of one class or none, every
 score is 0 (or 1, if all are toxic).
@@ -35,6 +35,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 MAX_VOCAB, MAX_GRAMS, GRAMS_OF_WORD = 4000, 6000, 6
 #: Labelled documents of each class that the network is fitted to, at most.
 SAMPLE_DOCS, ROUNDS, EPOCHS, RATE = 1200, 4, 6, 0.01
+#: Characters of a document of that sample, at most: longer ones aren't drawn. They are scored whole.
+SAMPLE_CHARS = 100_000
 WORDS = regex.compile(r"[\p{L}\p{N}]+").findall
 MAX_PIECES = 300_000
 
@@ -324,7 +326,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         picked = some if picked is None else picked.union(some)
     if picked is None:
         return fit([], np.zeros(0, np.int64))
-    rows = common.texts_of(docs).join(F.broadcast(picked), "doc_id").orderBy("doc_id").collect()  # at most 3 SAMPLE_DOCS rows
+    known = common.texts_of(docs).where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
+    rows = known.join(F.broadcast(picked), "doc_id").limit(3 * SAMPLE_DOCS).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return fit([r.text or "" for r in rows], np.array([1 if r.toxic else 0 for r in rows], np.int64))
 
 
