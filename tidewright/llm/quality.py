@@ -112,15 +112,22 @@ def views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 class Logistic:
     """Features with a deviation of 1, or less where they hardly vary, and of 4 in STRONG columns; a weighted logistic loss with a quadratic penalty, full steps of Adam."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> Logistic:
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0) + 1e-3, 0.02)
+    def fit(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], penalty: float = 1e-3, steps: int = 120) -> Logistic:
+        """parts: features, labels, and whether a row counts (1 or 0); matrices are used in place."""
+        n = sum(float(use.sum()) for _, _, use in parts)
+        self.mean = sum(use @ x for x, _, use in parts) / n
+        square = sum(np.einsum("ij,ij,i->j", x, x, use) for x, _, use in parts) / n
+        self.scale = np.maximum(np.sqrt(np.maximum(square - self.mean**2, 0)) + 1e-3, 0.02)
         self.scale[TRIGRAMS:] /= 4
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
-        w, m, v = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
+        share = [max(1.0, sum(float(use[y == k].sum()) for _, y, use in parts)) for k in range(2)]
+        weights = [np.where(y == 1, 0.5 / share[1], 0.5 / share[0]).astype(np.float32) * use for _, y, use in parts]
+        w, m, v = (np.zeros(len(self.mean) + 1, np.float32) for _ in range(3))
         for t in range(1, steps + 1):
             self.w = w
-            d = weight * (1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30))) - y)
-            g = np.concatenate([[d.sum()], (d @ x - d.sum() * self.mean) / self.scale + penalty * w[1:]]).astype(np.float32)
+            ds = [weight * (1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30))) - y) for (x, y, _), weight in zip(parts, weights, strict=True)]
+            d = sum(float(one.sum()) for one in ds)
+            g = (sum(one @ x for one, (x, _, _) in zip(ds, parts, strict=True)) - d * self.mean) / self.scale + penalty * w[1:]
+            g = np.concatenate([[d], g]).astype(np.float32)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w = w - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -152,11 +159,11 @@ def cotrain(seen: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.n
     if len(set(y.tolist())) < 2 or len(set(y[~hold].tolist())) < 2:
         return None
     # a view's training rows: labelled ones, and those of the pool with the label that the other view gave
-    own, given = [np.flatnonzero(~hold)] * 2, [np.zeros(0, np.int64)] * 2
+    use, given = (~hold).astype(np.float32), [np.zeros(0, np.int64)] * 2
     told = [np.zeros(0, y.dtype)] * 2
     free = np.arange(len(pool[0]))
     for turn in range(rounds + 1):
-        made = [Logistic().fit(np.concatenate([seen[k][own[k]], pool[k][given[k]]]), np.concatenate([y[own[k]], told[k]])) for k in range(2)]
+        made = [Logistic().fit([(seen[k], y, use), (pool[k][given[k]], told[k], np.ones(len(told[k]), np.float32))]) for k in range(2)]
         if turn == rounds or not len(free):
             break
         n = max(1, int(SHARE * len(free)))
@@ -204,15 +211,31 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic] | Non
             both = np.concatenate([a, b], axis=1).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([r.tobytes() for r in both], pa.binary())], ["doc_id", "y", "x"])
 
+    common.release(docs.sparkSession)  # the driver holds the sample next
     rows = chosen.where(F.col("y").isNotNull() | some).mapInArrow(common.freed(scan), "doc_id long, y int, x binary").limit(LABELLED + UNLABELLED).toArrow()
     width = TRIGRAMS + STRONG + META
-    x = np.concatenate([np.zeros((0, width), np.float16), *(common.raw(c)[0].view(np.float16).reshape(-1, width) for c in rows.column("x").chunks)])
-    order = np.lexsort((x[:, 0], rows.column("doc_id").to_numpy()))
-    y = rows.column("y").fill_null(-1).to_numpy()[order]
+    ids, y = rows.column("doc_id").to_numpy(), rows.column("y").fill_null(-1).to_numpy()
+    chunks = rows.column("x").chunks
     del rows
-    pick = [order[y >= 0], order[y < 0]]
-    seen, pool = ((x[p, : TRIGRAMS + STRONG].astype(np.float32), x[p, TRIGRAMS + STRONG :].astype(np.float32)) for p in pick)
-    del x
+    blocks = lambda c: common.raw(c)[0].view(np.float16).reshape(-1, width)
+    order = np.lexsort((np.concatenate([np.zeros(0, np.float16), *(blocks(c)[:, 0] for c in chunks)]), ids))
+    place = np.empty(len(order), np.int64)  # of each row among the labelled ones, or among the others
+    y = y[order]
+    for mask in (y >= 0, y < 0):
+        place[order[mask]] = np.arange(mask.sum())
+    known = np.empty(len(order), bool)
+    known[order] = y >= 0
+    seen, pool = ((np.zeros((n, TRIGRAMS + STRONG), np.float32), np.zeros((n, META), np.float32)) for n in (int((y >= 0).sum()), int((y < 0).sum())))
+    at = 0
+    while chunks:
+        part = blocks(chunks.pop(0))
+        for k in range(0, len(part), 500):
+            some, here = part[k : k + 500], slice(at + k, at + min(k + 500, len(part)))
+            for mask, (text, meta) in ((known[here], seen), (~known[here], pool)):
+                text[place[here][mask]], meta[place[here][mask]] = some[mask][:, : TRIGRAMS + STRONG], some[mask][:, TRIGRAMS + STRONG :]
+        at += len(part)
+        del part, some
+    common.give_back()
     model = cotrain(seen, y[y >= 0].astype(np.float32), pool)
     del seen, pool
     common.give_back()

@@ -218,6 +218,24 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int, sets: list[n
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components with every node linked to its component's first, so that few rounds contract them."""
+    low = np.arange(n)
+    while len(a):
+        both = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, both)
+        np.minimum.at(new, b, both)
+        np.minimum.at(new, low[a], both)
+        np.minimum.at(new, low[b], both)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    to = np.flatnonzero(low != np.arange(n))
+    return to, low[to]
+
+
 TASK = ["g", "kind", "i", "j"]
 
 
@@ -237,7 +255,7 @@ def compared(tasks: DataFrame, radius: int) -> DataFrame:
                 held = both.column("grams").to_pylist()
                 sets = [np.frombuffer(held[k], np.uint64) for k in order.tolist()]
             alone = at[1] == 0 or at[1] == 1 and at[2] == at[3]
-            a, b = forest(fp, None, radius, sets) if alone else forest(fp[:cut], fp[cut:], radius, sets)
+            a, b = stars(len(node), *(forest(fp, None, radius, sets) if alone else forest(fp[:cut], fp[cut:], radius, sets)))
             return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
 
         held, at = [], None

@@ -241,7 +241,10 @@ def neighbours(rows: DataFrame, cuts: np.ndarray, make=None) -> DataFrame:
 
 def splitters(sample: DataFrame, n: int) -> np.ndarray:
     """n - 1 rows of a bounded sample that part it evenly."""
-    got = sample.toPandas()[KEY].to_numpy(np.int64) if n > 1 else np.zeros((0, len(KEY)), np.int64)
+    if n < 2:
+        return np.zeros((0, len(KEY)), np.int64)
+    rows = sample.select(KEY).toArrow()
+    got = np.stack([rows.column(c).to_numpy() for c in KEY], axis=1).astype(np.int64)
     if not len(got):
         return got
     got = got[np.lexsort(got.T[::-1])]
