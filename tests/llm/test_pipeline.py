@@ -1,5 +1,6 @@
 """Decontamination, and the pipeline as a whole."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -118,3 +119,68 @@ def test_decisions_take_effect(spark, staged):
     assert {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()} == held
     _, before, after = staged[4]
     assert before.select("doc_id", "text").exceptAll(after.select("doc_id", "text")).count() == 0
+
+
+def test_run_is_its_stages(spark, staged):
+    """run() gives the rows that the stages give one after the other."""
+    got = corpus_pipeline.run(spark, DATA)
+    assert got.columns == staged[-1][2].columns
+    assert sorted(got.select("doc_id", "text", "n_tokens").collect()) == sorted(staged[-1][2].select("doc_id", "text", "n_tokens").collect())
+
+
+def brute_template(text):
+    """A text's template words and values, by a plain reading of the module's docstring; texts here have no units and no names where a sentence starts."""
+    words, kinds = [], []
+    for k, w in enumerate(text.split(" ")):
+        bare = w.strip(".,!?")
+        if bare.isdigit():
+            words.append(bare)
+            kinds.append("#n")
+        elif bare[:1].isupper() and k:
+            words.append(bare.lower())
+            kinds.append("#m")
+        else:
+            words.append(bare.lower())
+            kinds.append(bare.lower())
+    return words, kinds
+
+
+def test_templates_against_brute_force(spark):
+    """Re-parameterised copies in random texts: windows, shares and slots at every shift, recomputed word by word."""
+    rng = random.Random(11)
+    plain = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(12) for b in range(12)]
+    name = lambda: "N" + "".join(rng.choices("abcdefgh", k=5))
+    items = []
+    for _ in range(6):
+        words = rng.choices(plain, k=rng.randint(8, 14))
+        for at in rng.sample(range(1, len(words)), 4):
+            words[at] = rng.choice([name(), str(rng.randint(1, 99))])
+        again = rng.sample(range(1, len(words)), 2)
+        words[again[1]] = words[again[0]]
+        items.append(" ".join(words))
+    docs = []
+    for _ in range(120):
+        words = rng.choice(items).split(" ")
+        swap = {}
+        for k, w in enumerate(words):
+            if w.isdigit() or w[0] == "N":
+                if w not in swap or rng.random() < 0.2:
+                    swap[w] = str(rng.randint(1, 99)) if w.isdigit() else name()
+                words[k] = swap[w]
+        for _ in range(rng.choice((0, 0, 0, 1, 3))):
+            words[rng.randrange(1, len(words))] = rng.choice(plain)
+        docs.append(" ".join([*rng.choices(plain, k=rng.randint(1, 6)), *words, *rng.choices(plain, k=rng.randint(0, 6))]))
+    want = set()
+    for d, doc in enumerate(docs):
+        w, k = brute_template(doc)
+        for i, item in enumerate(items):
+            iw, ik = brute_template(item)
+            windows = [a for a in range(len(ik) - 4) if any(x[0] != "#" for x in ik[a : a + 5])]
+            for shift in range(-len(ik), len(k)):
+                fit = [a for a in windows if 0 <= a + shift <= len(k) - 5 and k[a + shift : a + shift + 5] == ik[a : a + 5]]
+                both = {(iw[a + j], w[a + j + shift]) for a in fit for j in range(5) if ik[a + j][0] == "#"}
+                if fit and len(fit) >= 0.8 * len(windows) and len(both) == len({x for x, _ in both}):
+                    want.add((d, i))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert 20 < len(want) < 110 and got == want

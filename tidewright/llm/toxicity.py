@@ -35,8 +35,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 MAX_VOCAB, MAX_GRAMS, GRAMS_OF_WORD = 4000, 6000, 6
 #: Labelled documents of each class that the network is fitted to, at most.
 SAMPLE_DOCS, ROUNDS, EPOCHS, RATE = 1200, 4, 6, 0.01
-#: Documents wrongly called toxic that weigh as much as a toxic one missed, where the threshold is placed.
-MISS = 3
+#: What a share of others called toxic weighs against the same share of toxic documents missed, where the threshold is placed.
+BLAME = 2
 #: Characters of a document of that sample, at most: longer ones aren't drawn. They are scored whole.
 SAMPLE_CHARS = 100_000
 WORDS = regex.compile(r"[\p{L}\p{N}]+").findall
@@ -307,9 +307,10 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> dict:
 
 
 def calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (from the median distance) and offset so that 0.7 lies where the classes part with the fewest errors, a toxic document missed counting for MISS."""
+    """Slope (from the median distance) and offset so that 0.7 lies where the classes part best: with the least sum of the share of toxic documents missed and BLAME times the share of others called toxic."""
     by = np.argsort(logit)
-    wrong = MISS * np.concatenate([[0], np.cumsum(y[by] == 1)]) + np.concatenate([np.cumsum((y[by] == 0)[::-1])[::-1], [0]])
+    missed, blamed = np.concatenate([[0], np.cumsum(y[by] == 1)]), np.concatenate([np.cumsum((y[by] == 0)[::-1])[::-1], [0]])
+    wrong = missed * int((y == 0).sum()) + BLAME * blamed * int((y == 1).sum())
     edge = np.concatenate([[logit[by[0]] - 1], (logit[by[1:]] + logit[by[:-1]]) / 2, [logit[by[-1]] + 1]])
     least = edge[wrong == wrong.min()]
     cut = float((least.min() + least.max()) / 2)
