@@ -48,7 +48,8 @@ STAGES = [
     ("decontamination", keep_uncontaminated),
     ("encoding", encode),
 ]
-#: The classifier, the removal of byte strings and byte-pair merges can't be written in SQL; tests hold run() against brute force.
+#: The classifier, the removal of byte strings and byte-pair merges can't be written in SQL; tests hold each stage's operator against brute force, labels or
+#: a library, and run() against its stages.
 ORACLE_SQL = None
 
 
