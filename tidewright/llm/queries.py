@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, decontam, langid, parsing, quality, simhash, suffix, tokencount, tokenfile, toxicity
+from tidewright.llm import bpe, decontam, langid, parsing, quality, simhash, suffix, tokencount, tokenfile, toxicity, wordbpe
 from tidewright.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.compared(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_language, op4_token_file, op5_byte_bpe, op6_simhash, op7_suffix_dedup, op8_decontamination, op9_token_counts, op10_fingerprints)}
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return wordbpe.digests(wordbpe.decode(wordbpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_language, op4_token_file, op5_byte_bpe, op6_simhash, op7_suffix_dedup, op8_decontamination, op9_token_counts, op10_fingerprints, op11_word_bpe)}
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
