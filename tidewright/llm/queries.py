@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, decontam, langid, parsing, quality, rolling, simhash, suffix, tokencount, tokenfile, toxicity, wordbpe
+from tidewright.llm import bpe, centroids, decontam, langid, parsing, quality, rolling, simhash, suffix, tokencount, tokenfile, toxicity, wordbpe
 from tidewright.llm.common import table
 
 
@@ -65,13 +65,18 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(wordbpe.decode(wordbpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
 def op13_rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.distinct_users(table(spark, sf_dir, "clicks"), {"short": 15, "middle": 180, "long": 1440})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_language, op4_token_file, op5_byte_bpe, op6_simhash, op7_suffix_dedup, op8_decontamination, op9_token_counts, op10_fingerprints, op11_word_bpe, op13_rolling_users)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_language, op4_token_file, op5_byte_bpe, op6_simhash, op7_suffix_dedup, op8_decontamination, op9_token_counts, op10_fingerprints, op11_word_bpe, op12_centroids, op13_rolling_users)}
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op12_centroids": centroids.cluster_sql(k=40, rounds=5, seed=2),
     "op13_rolling_users": """
         WITH one AS (SELECT DISTINCT click_id, kind, client_id, CAST(floor(epoch_us(ts) / 60000000.0) AS BIGINT) AS minute FROM clicks WHERE ts IS NOT NULL AND kind IS NOT NULL),
         active AS (SELECT kind, client_id, minute, count(*) AS n FROM one WHERE client_id IS NOT NULL GROUP BY ALL),
