@@ -1,8 +1,10 @@
 """BPE by one table of distinct words, and decoding by a join of ids with pieces.
 
 encode: texts are split into words (pre-tokens) in blocks of documents. A block keeps the numbers of its words, at their positions, and lists each of its
-words once. The distinct words of all blocks are one table, in which each is encoded once; the blocks' words are joined with it, and what is found
-returns to its block, where each position takes its word's ids. A word that fills a third of the corpus has one row a block.
+words once. The blocks' lists are dealt and sorted by word, so that a task meets a word of all blocks in one run and encodes it once; the ids return
+to their blocks, where each position takes its word's ids. A word that fills a third of the corpus has one row a block. Blocks are
+dealt once, and both ways read this exchange. A block's key holds a hash of what is in it: should a lost task, when it runs again, get its rows in another order, its
+words don't meet other numbers, but an error is raised.
 
 decode: rows of about CHUNK_IDS ids list their distinct ids; these are joined with the table of pieces, a row for each id of the vocabulary. The table is
 broadcast: it is as large as the vocabulary, at most MAX_PIECES, whatever the corpus. The join keeps rows in their places, so no shuffle is needed to lay
@@ -17,11 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from public_tokenizers import PATTERN
 from pyspark import TaskContext
@@ -29,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import common, tokenfile
-from tidewright.llm.segments import Ragged, WordTable, byte_letters, gather
+from tidewright.llm.segments import Ragged, WordTable, byte_letters, gather, spread
 
 #: Bytes of text of a block; a longer text is a block by itself.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Ids of a chunk in decoding, about.
 CHUNK_IDS = 1 << 19
 #: Largest vocabulary whose pieces are broadcast.
@@ -72,7 +76,7 @@ def placed(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     """A row for each block: its words, most frequent first, its documents, how many words each has, and the words' numbers by position."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, find = TaskContext.get().partitionId() << 32, splitter(path)
+        task, find = TaskContext.get().partitionId(), splitter(path)
         for k, part in enumerate(common.blocks(batches, size=block_bytes)):
             table = WordTable(None, find)
             words, size, code, n = table.numbers(part.column("text"))
@@ -81,50 +85,75 @@ def placed(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
             rank = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
             rank[order] = np.arange(len(order))
             names = pa.array(list(table.words), pa.string()).take(pa.array(order))
-            numbers = zstandard.compress(rank[flat].tobytes(), 1)
-            cells = [pa.array([base + k], pa.int64()), pa.array([names], pa.list_(pa.string())), pa.array([part.column("doc_id")], pa.list_(pa.int64())), pa.array([np.diff(starts).tobytes()], pa.binary()), pa.array([numbers], pa.binary())]
+            body, sizes = rank[flat].tobytes(), np.diff(starts).tobytes()
+            key = xxhash.xxh64_intdigest(b"".join([np.array([task, k]).tobytes(), sizes, body, *map(bytes, names.buffers()[1:])])) - (1 << 63)
+            cells = [pa.array([key], pa.int64()), pa.array([names], pa.list_(pa.string())), pa.array([part.column("doc_id")], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([zstandard.compress(body, 1)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cells, ["block", "words", "doc_ids", "sizes", "numbers"])
 
     return common.texts_of(docs).mapInArrow(common.freed(scan), "block long, words array<string>, doc_ids array<long>, sizes binary, numbers binary")
 
 
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a block: block, the word's number in it, word."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            words = batch.column("words").slice(k, 1).flatten()
+            key, no = np.full(len(words), batch.column("block")[k].as_py(), np.int64), np.arange(len(words), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(no), words], ["block", "no", "word"])
+
+
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """The distinct words of column word, each with its ids."""
+    """For rows of block, no and word in order of word: block, and packed in some rows for each block the numbers, how many ids each has, and these. Each distinct word is encoded once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, strings = tokenfile.table(path), set(special(path))
+        table, strings, last = tokenfile.table(path), set(special(path)), (None, None)
         for batch in batches:
-            found = [table.whole(w) if w in strings else table.encode(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").distinct().mapInArrow(common.freed(scan), "word string, ids array<int>")
+            coded = batch.column("word").dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            found = [last[1] if w == last[0] else table.whole(w) if w in strings else table.encode(w) for w in names]
+            last = (names[-1], found[-1]) if names else last
+            ids = Ragged(np.int32)
+            ids.add(np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
+            block = batch.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            code, no = coded.indices.to_numpy().astype(np.int64)[order], batch.column("no").to_numpy()[order]
+            keys, begin = np.unique(block[order], return_index=True)
+            flat, at = gather(ids.flat, ids.ends, code, np.diff([*begin, len(code)]))
+            n = np.diff(ids.ends)[code].astype(np.int32)
+            cuts = [*begin.tolist(), len(code)]
+            cells = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x, cut in ((no, cuts), (n, cuts), (flat, at.tolist()))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c, pa.binary()) for c in cells)], ["block", "no", "n", "ids"])
+
+    return words.mapInArrow(common.freed(scan), "block long, no binary, n binary, ids binary")
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and ids (array<int>) of every row. Writes the blocks to the shared folder: runs a job."""
-    blocks = common.kept(placed(docs, path, block_bytes), "word-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("no", "word"))
-    found = words.join(encoded_words(words, path), "word").groupBy("block").agg(F.collect_list(F.struct("no", "ids")).alias("found"))
+    """doc_id and ids (array<int>) of every row."""
+    n = common.parts(docs)
+    blocks = placed(docs, path, block_bytes).repartition(n, "block")
+    words = blocks.mapInArrow(listed, "block long, no int, word string").repartition(n, "word").sortWithinPartitions("word")
+    found = encoded_words(words, path).groupBy("block").agg(F.collect_list(F.struct("no", "n", "ids")).alias("found"))  # at most a row for each of the block's words
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 got, table = row.column("found").flatten(), Ragged(np.int32)
-                order = pc.sort_indices(got.field("no"))
-                ids = got.field("ids").take(order)
-                table.add(ids.flatten().to_numpy(), np.asarray(pc.list_value_length(ids)).astype(np.int64))
+                no, many, ids = (np.frombuffer(b"".join(got.field(c).to_pylist()), np.int32) for c in ("no", "n", "ids"))
+                if len(no) != row.column("n_words")[0].as_py() or len(np.unique(no)) != len(no):
+                    raise RuntimeError("a block doesn't meet its words: its rows came in another order when a task ran again")
+                order = np.argsort(no)
+                ends = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+                table.add(ids[spread(ends[order], many[order].astype(np.int64))], many[order].astype(np.int64))
                 sizes = np.frombuffer(row.column("sizes")[0].as_py(), np.int64)
                 body = zstandard.decompress(row.column("numbers")[0].as_py())
-                total = int(sizes.sum())
-                numbers = np.frombuffer(body, np.uint16 if len(body) == 2 * total else np.uint32).astype(np.int64)
-                if total and int(numbers.max()) >= len(got):
-                    raise RuntimeError("a block's words don't belong to its numbers")
+                numbers = np.frombuffer(body, np.uint16 if len(no) <= 1 << 16 else np.uint32).astype(np.int64)
                 flat, starts = gather(table.flat, table.ends, numbers, sizes)
                 yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
 
-    whole = blocks.select("block", "doc_ids", "sizes", "numbers").join(found, "block", "left")
-    return whole.select("doc_ids", "sizes", "numbers", "found").mapInArrow(common.freed(lay), "doc_id long, ids array<int>")
+    every = blocks.mapInArrow(lambda batches: batches, blocks.schema)  # keeps all columns, so that there is one exchange
+    whole = every.select("block", F.size("words").alias("n_words"), "doc_ids", "sizes", "numbers").join(found, "block", "left")
+    return whole.select("n_words", "doc_ids", "sizes", "numbers", "found").mapInArrow(common.freed(lay), "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +173,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     """doc_id, ids, id_bytes (the ids as little-endian unsigned 32-bit integers) and decoded of rows of doc_id and ids; null ids are none."""
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         for batch in batches:
             ids = batch.column("ids").fill_null([])
@@ -200,7 +229,7 @@ def decode(encoded: DataFrame, path: str, chunk_ids: int = CHUNK_IDS) -> DataFra
         if head is not None:
             yield done()
 
-    rows = encoded.select("doc_id", "ids").mapInArrow(listed, "seq long, doc_ids array<long>, sizes binary, codes binary, n long, id int")
+    rows = encoded.select("doc_id", "ids").mapInArrow(chunks, "seq long, doc_ids array<long>, sizes binary, codes binary, n long, id int")
     joined = rows.join(F.broadcast(pieces(encoded.sparkSession, path)), "id", "left").select("doc_ids", "sizes", "codes", "n", "id", "piece")
     return joined.mapInArrow(common.freed(lay), "doc_id long, ids array<int>, id_bytes binary, decoded string")
 
