@@ -55,6 +55,10 @@ def test_more_than_65536_words_in_a_block(spark, library):
     check(spark, [(1, " ".join(f"q{k}z" for k in range(70_000))), (2, "q1z q2z")], library)
 
 
+def test_no_words_at_all(spark, library):
+    check(spark, [(1, None), (2, ""), (None, None)], library)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert wordbpe.digests(wordbpe.decode(wordbpe.encode(none, JSON), JSON)).count() == 0

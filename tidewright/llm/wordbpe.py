@@ -1,10 +1,12 @@
 """BPE by one table of distinct words, and decoding by a join of ids with pieces.
 
 encode: texts are split into words (pre-tokens) in blocks of documents. A block keeps the numbers of its words, at their positions, and lists each of its
-words once. The blocks' lists are dealt and sorted by word, so that a task meets a word of all blocks in one run and encodes it once; the ids return
-to their blocks, where each position takes its word's ids. A word that fills a third of the corpus has one row a block. Blocks are
-dealt once, and both ways read this exchange. A block's key holds a hash of what is in it: should a lost task, when it runs again, get its rows in another order, its
-words don't meet other numbers, but an error is raised.
+words once. The lists are dealt by a hash of the word, so that a task meets a word of all blocks; its part of the table of distinct words encodes the word once. The ids
+return to their blocks, where each position takes its word's ids. A word that fills a third of the corpus is listed once a block. Lists travel packed, for each block and
+part of the table. Blocks are dealt once, and both ways read this exchange. A block's key holds a hash of what is in it: should a lost task, when it
+runs again, get its rows in another order, its words don't meet other numbers, but an error is raised.
+
+A task holds its part of the table: the distinct words over the number of parts, which grows with the stored input up to PARTS.
 
 decode: rows of about CHUNK_IDS ids list their distinct ids; these are joined with the table of pieces, a row for each id of the vocabulary. The table is
 broadcast: it is as large as the vocabulary, at most MAX_PIECES, whatever the corpus. The join keeps rows in their places, so no shuffle is needed to lay
@@ -17,9 +19,9 @@ doc_id and text are left aside.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import common, tokenfile
+from tidewright.llm.bpe import pack, unpack
 from tidewright.llm.segments import Ragged, WordTable, byte_letters, gather, spread
 
 #: Bytes of text of a block; a longer text is a block by itself.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Parts of the table of distinct words, at most: more would leave a list of a few words for each block and part.
+PARTS = 16_384
+LISTS = pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary()), ("no", pa.binary())]))
 #: Ids of a chunk in decoding, about.
 CHUNK_IDS = 1 << 19
 #: Largest vocabulary whose pieces are broadcast.
@@ -72,8 +78,8 @@ def splitter(path: str) -> Callable[[str], list[str]]:
     return words
 
 
-def placed(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each block: its words, most frequent first, its documents, how many words each has, and the words' numbers by position."""
+def placed(docs: DataFrame, path: str, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each block: its documents, how many words each has, the words' numbers by position, and for each part of the table the block's words, in order, and their numbers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, find = TaskContext.get().partitionId(), splitter(path)
@@ -82,78 +88,96 @@ def placed(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
             words, size, code, n = table.numbers(part.column("text"))
             flat, starts = gather(words, np.concatenate([[0], np.cumsum(size)]), code, n)
             order = np.argsort(-np.bincount(flat, minlength=len(table.words)), kind="stable")
-            rank = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
+            rank = np.empty(len(order), np.uint32)  # frequent words get small numbers
             rank[order] = np.arange(len(order))
-            names = pa.array(list(table.words), pa.string()).take(pa.array(order))
-            body, sizes = rank[flat].tobytes(), np.diff(starts).tobytes()
-            key = xxhash.xxh64_intdigest(b"".join([np.array([task, k]).tobytes(), sizes, body, *map(bytes, names.buffers()[1:])])) - (1 << 63)
-            cells = [pa.array([key], pa.int64()), pa.array([names], pa.list_(pa.string())), pa.array([part.column("doc_id")], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([zstandard.compress(body, 1)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cells, ["block", "words", "doc_ids", "sizes", "numbers"])
+            held: dict[int, list] = {}
+            for w, no in zip((w.encode() for w in table.words), rank.tolist(), strict=True):
+                held.setdefault(zlib.crc32(w) % parts, []).append((w, no))
+            lists = []
+            for p, own in held.items():
+                own.sort()
+                lists.append({"part": p, "words": pack([w for w, _ in own]), "no": zstandard.compress(np.array([no for _, no in own], np.uint32).tobytes(), 1)})
+            numbers, sizes = zstandard.compress(planes(rank[flat]), 1), np.diff(starts).tobytes()
+            key = xxhash.xxh64_intdigest(b"".join([np.array([task, k]).tobytes(), sizes, numbers, *(x["words"] for x in lists)])) - (1 << 63)
+            cells = [pa.array([key], pa.int64()), pa.array([part.column("doc_id")], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([numbers], pa.binary()), pa.array([lists], LISTS)]
+            yield pa.RecordBatch.from_arrays(cells, ["block", "doc_ids", "sizes", "numbers", "lists"])
+
+    return common.texts_of(docs).mapInArrow(common.freed(scan), "block long, doc_ids array<long>, sizes binary, numbers binary, lists array<struct<part int, words binary, no binary>>")
+
 
-    return common.texts_of(docs).mapInArrow(common.freed(scan), "block long, words array<string>, doc_ids array<long>, sizes binary, numbers binary")
+def planes(numbers: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes, and so on: these compress better."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of a block: block, the word's number in it, word."""
+    """A row for each list of a block: block, part, words."""
     for batch in batches:
         for k in range(batch.num_rows):
-            words = batch.column("words").slice(k, 1).flatten()
-            key, no = np.full(len(words), batch.column("block")[k].as_py(), np.int64), np.arange(len(words), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(no), words], ["block", "no", "word"])
+            lists = batch.column("lists").slice(k, 1).flatten()
+            key = np.full(len(lists), batch.column("block")[k].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), lists.field("part"), lists.field("words")], ["block", "part", "words"])
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """For rows of block, no and word in order of word: block, and packed in some rows for each block the numbers, how many ids each has, and these. Each distinct word is encoded once."""
+def encoded_lists(lists: DataFrame, path: str) -> DataFrame:
+    """block, part and words, dealt by part, to block, part and the ids of these words. A task encodes a distinct word once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, strings, last = tokenfile.table(path), set(special(path)), (None, None)
+        table, strings = tokenfile.table(path), {s.encode() for s in special(path)}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            found = [last[1] if w == last[0] else table.whole(w) if w in strings else table.encode(w) for w in names]
-            last = (names[-1], found[-1]) if names else last
-            ids = Ragged(np.int32)
-            ids.add(np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
-            block = batch.column("block").to_numpy()
-            order = np.argsort(block, kind="stable")
-            code, no = coded.indices.to_numpy().astype(np.int64)[order], batch.column("no").to_numpy()[order]
-            keys, begin = np.unique(block[order], return_index=True)
-            flat, at = gather(ids.flat, ids.ends, code, np.diff([*begin, len(code)]))
-            n = np.diff(ids.ends)[code].astype(np.int32)
-            cuts = [*begin.tolist(), len(code)]
-            cells = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x, cut in ((no, cuts), (n, cuts), (flat, at.tolist()))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c, pa.binary()) for c in cells)], ["block", "no", "n", "ids"])
-
-    return words.mapInArrow(common.freed(scan), "block long, no binary, n binary, ids binary")
+            out = []
+            for words in batch.column("words").to_pylist():
+                words = unpack(words)
+                for w in words:
+                    if w not in known:
+                        text = w.decode()
+                        known[w] = np.array(table.whole(text) if w in strings else table.encode(text), table.dtype).tobytes()
+                out.append(pack(list(map(known.__getitem__, words))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), pa.array(out, pa.binary())], ["block", "part", "ids"])
+
+    return lists.mapInArrow(common.freed(scan), "block long, part int, ids binary")
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and ids (array<int>) of every row."""
     n = common.parts(docs)
-    blocks = placed(docs, path, block_bytes).repartition(n, "block")
-    words = blocks.mapInArrow(listed, "block long, no int, word string").repartition(n, "word").sortWithinPartitions("word")
-    found = encoded_words(words, path).groupBy("block").agg(F.collect_list(F.struct("no", "n", "ids")).alias("found"))  # at most a row for each of the block's words
+    parts = min(n, PARTS)
+    blocks = placed(docs, path, parts, block_bytes).repartition(n, "block")
+    lists = blocks.mapInArrow(listed, "block long, part int, words binary").repartition(parts, "part")
+    found = encoded_lists(lists, path).groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("found"))  # a row for each of the block's lists
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dtype = tokenfile.table(path).dtype
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                got, table = row.column("found").flatten(), Ragged(np.int32)
-                no, many, ids = (np.frombuffer(b"".join(got.field(c).to_pylist()), np.int32) for c in ("no", "n", "ids"))
-                if len(no) != row.column("n_words")[0].as_py() or len(np.unique(no)) != len(no):
+                got = {x["part"]: x["ids"] for x in row.column("found")[0].as_py() or ()}
+                lists = row.column("lists")[0].as_py()
+                if len(got) != len(lists):
                     raise RuntimeError("a block doesn't meet its words: its rows came in another order when a task ran again")
-                order = np.argsort(no)
-                ends = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
-                table.add(ids[spread(ends[order], many[order].astype(np.int64))], many[order].astype(np.int64))
+                no, many, flat = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, dtype)]
+                for x in lists:
+                    body = zstandard.decompress(got[x["part"]])
+                    n = int(np.frombuffer(body, np.uint32, 1)[0])
+                    no.append(np.frombuffer(zstandard.decompress(x["no"]), np.uint32))
+                    many.append(np.frombuffer(body, np.uint32, n, 4).astype(np.int64) // dtype().itemsize)
+                    flat.append(np.frombuffer(body, dtype, offset=4 + 4 * n))
+                no, many, flat = np.concatenate(no), np.concatenate(many), np.concatenate(flat)
+                order, ends, table = np.argsort(no), np.concatenate([[0], np.cumsum(many)]), Ragged(np.int32)
+                table.add(flat[spread(ends[order], many[order])], many[order])
                 sizes = np.frombuffer(row.column("sizes")[0].as_py(), np.int64)
-                body = zstandard.decompress(row.column("numbers")[0].as_py())
-                numbers = np.frombuffer(body, np.uint16 if len(no) <= 1 << 16 else np.uint32).astype(np.int64)
-                flat, starts = gather(table.flat, table.ends, numbers, sizes)
-                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+                numbers = from_planes(zstandard.decompress(row.column("numbers")[0].as_py()))
+                out, starts = gather(table.flat, table.ends, numbers, sizes)
+                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out))], ["doc_id", "ids"])
 
     every = blocks.mapInArrow(lambda batches: batches, blocks.schema)  # keeps all columns, so that there is one exchange
-    whole = every.select("block", F.size("words").alias("n_words"), "doc_ids", "sizes", "numbers").join(found, "block", "left")
-    return whole.select("n_words", "doc_ids", "sizes", "numbers", "found").mapInArrow(common.freed(lay), "doc_id long, ids array<int>")
+    whole = every.select("block", "doc_ids", "sizes", "numbers", F.transform("lists", lambda x: F.struct(x["part"].alias("part"), x["no"].alias("no"))).alias("lists"))
+    return whole.join(found, "block", "left").select("doc_ids", "sizes", "numbers", "lists", "found").mapInArrow(common.freed(lay), "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
