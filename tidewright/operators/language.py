@@ -73,7 +73,8 @@ def aligned(typed: str, fixed: str) -> list[tuple[str, str]]:
 
 
 def error_model(corrections: DataFrame, order: int = 1) -> DataFrame:
-    """corrections (original, fixed) to fix, orig, n, cost: -ln p(orig | fix) of characters, or with order 2 of pairs of them after ^; = parts words."""
+    """corrections (original, fixed) to fix, orig, n, cost: -ln p(orig | fix) of characters, or with order 2 of each two that follow each other, ^ ending a
+    text. = parts words: it is a character by itself, but in no pair."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -81,7 +82,8 @@ def error_model(corrections: DataFrame, order: int = 1) -> DataFrame:
             for original, fixed in zip(frame["original"], frame["fixed"], strict=True):
                 edits = aligned(original.replace(" ", "="), fixed.replace(" ", "="))
                 if order == 2:
-                    edits = [(a[0] + b[0], a[1] + b[1]) for a, b in zip([("^", "^"), *edits], edits, strict=False)]
+                    two = zip(edits, [*edits[1:], ("^", "^")], strict=True)
+                    edits = [(a[0] + b[0], a[1] + b[1]) for a, b in two if "=" not in (*a, *b)]
                 rows += edits
             yield pd.DataFrame(rows, columns=["fix", "orig"])
 

@@ -62,7 +62,10 @@ def error_model(spark, d):
     return L.error_model(w.select("fixed", F.concat(F.substring("fixed", 1, 1), F.expr("substring(fixed, 3)")).alias("original"))).withColumn("cost", F.round("cost", 6) + 0)
 
 
-@query()
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+')) AS t FROM benchmark), g AS (SELECT t || '^' AS f, CASE WHEN length(t) = 1 THEN t || '^' WHEN substr(t, 1, 1) = substr(t, 2, 1) THEN '_' || substr(t, 2) || '^' ELSE left(t, 1) || '_' || substr(t, 3) || '^' END AS o FROM t),
+e AS (SELECT substr(f, i, 2) AS fix, substr(o, i, 2) AS orig FROM (SELECT f, o, unnest(range(1, length(f))) AS i FROM g)), n AS (SELECT fix, orig, count(*) AS n FROM e GROUP BY ALL)
+SELECT fix, orig, n, round(ln(sum(n) OVER (PARTITION BY fix)) - ln(n), 6) + 0 AS cost FROM n""")
 def error_model_pairs(spark, d):
+    """The same corrections by pairs of characters; of two equal letters the first is the lost one."""
     w = table(spark, d, "benchmark").select(F.explode(S.tokens(F.col("text"))).alias("fixed"))
-    return L.error_model(w.select("fixed", F.concat(F.substring("fixed", 1, 1), F.expr("substring(fixed, 3)")).alias("original")), 2)
+    return L.error_model(w.select("fixed", F.concat(F.substring("fixed", 1, 1), F.expr("substring(fixed, 3)")).alias("original")), 2).withColumn("cost", F.round("cost", 6) + 0)

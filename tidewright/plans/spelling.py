@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import strings as S
+from tidewright.operators import correction as K
 from tidewright.operators import language as L
 from tidewright.plans.language import DOCS, words
 from tidewright.plans.registry import query
@@ -97,20 +98,43 @@ def spell_weighted(spark, d):
     return L.weighted_neighbours(typed(spark, d), dictionary(spark, d), {(c, "_"): 0.5 for c in "abcdefghijklmnopqrstuvwxyz"}, 0.5)
 
 
+def learned(spark, d):
+    """Edits learned from misspelt conversations, which no query corrects."""
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(S.tokens(F.col("text"))).alias("pos", "t"))
+    known = K.misspelt(said, "conv_id", "turn", "pos").select(F.col("word").alias("original"), F.col("t").alias("fixed"))
+    return K.edits(L.error_model(known), L.error_model(known, 2), limit=6.0)
+
+
+def misspelt_items(spark, d):
+    """key, pos, t, word: benchmark texts by word, and as they are typed."""
+    w = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.posexplode(S.tokens(F.col("text"))).alias("pos", "t"))
+    return K.misspelt(w, "key", "pos")
+
+
+@query()
+def spell_searched(spark, d):
+    """What the learned errors make of each misspelt word, best first: up to 8 terms."""
+    found = K.best_matches(misspelt_items(spark, d).select("word"), dictionary(spark, d), learned(spark, d))
+    return found.select("word", "term", F.round("lm", 6).alias("lm"), F.round("err", 6).alias("err"), "rank")
+
+
+@query()
+def spell_accuracy(spark, d):
+    """Of the words that are misspelt and whose right form the dictionary has: how many the search gives first, and at all."""
+    known = dictionary(spark, d)
+    w = misspelt_items(spark, d).where("word <> t").select("word", "t").join(known.select(F.col("term").alias("t")), "t", "left_semi")
+    found = K.best_matches(w.select("word"), known, learned(spark, d)).select("word", F.col("term").alias("t"), "rank")
+    return w.join(found, ["word", "t"], "left").agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 1).alias("first"), F.count("rank").alias("listed"))
+
+
 @query()
 def spell_corrected(spark, d):
-    """The corrector as a whole. Typed texts are benchmark texts whose every fourth word lacks its second letter; the error model is learned from such corrections. In one minimum stand the
-    text as typed, its layouts, joins and splits by the language model, and the best chain of shortlisted candidates by language model and error model; the text stays where all are too unlikely."""
-    w = whole_queries(spark, d).select(F.col("item_id").alias("key"), F.posexplode(F.split("q", " ")).alias("pos", "t"))
-    lost = F.concat(F.substring("t", 1, 1), F.expr("substring(t, 3)"))
-    w = w.withColumn("word", F.when((F.col("pos") % 4 == 3) & (F.length("t") > 2), lost).otherwise(F.col("t")))
+    """The corrector as a whole, for misspelt benchmark texts. In one minimum stand the text as typed, its layouts, joins and splits, and the best chain of each word's terms, all priced by the
+    language model alone; errors learned from other texts only choose the terms (limit 6, 8 terms, 3 apart). A word without terms stays, and so does a text where all are too unlikely."""
+    w = misspelt_items(spark, d)
     texts = w.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("q"))
-    errors = L.error_model(w.select(F.col("word").alias("original"), F.col("t").alias("fixed")))
-    known = dictionary(spark, d)
-    pairs = L.neighbours(w.select("word").distinct(), known).select("word", "term")
-    scored = L.edit_prices(pairs, errors).join(known.select("term", F.col("cost").alias("lm")), "term")
-    short = L.shortlist(scored).select("word", "term", "err")
-    c = w.select("key", "pos", "word").join(short, "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term"), F.coalesce("err", F.lit(L.UNSEEN)).alias("err"))
+    short = K.best_matches(w.select("word"), dictionary(spark, d), learned(spark, d)).select("word", "term")
+    c = w.select("key", "pos", "word").join(short, "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term"))
     q = F.col("q")
     gens = F.concat(F.array(q), S.layout_variants(q), S.join_variants(q), S.split_variants(q))
     v = texts.select("key", F.posexplode(gens).alias("gen", "variant"))
