@@ -39,7 +39,7 @@ from tidewright.llm.bpe import pack, unpack
 from tidewright.llm.segments import Ragged, WordTable, byte_letters, gather, spread
 
 #: Bytes of text of a block; a longer text is a block by itself.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Parts of the table of distinct words, at most: more would leave a list of a few words for each block and part.
 PARTS = 16_384
 LISTS = pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary()), ("no", pa.binary())]))
@@ -175,9 +175,8 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
                 out, starts = gather(table.flat, table.ends, numbers, sizes)
                 yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out))], ["doc_id", "ids"])
 
-    every = blocks.mapInArrow(lambda batches: batches, blocks.schema)  # keeps all columns, so that there is one exchange
-    whole = every.select("block", "doc_ids", "sizes", "numbers", F.transform("lists", lambda x: F.struct(x["part"].alias("part"), x["no"].alias("no"))).alias("lists"))
-    return whole.join(found, "block", "left").select("doc_ids", "sizes", "numbers", "lists", "found").mapInArrow(common.freed(lay), "doc_id long, ids array<int>")
+    # lay takes all columns, so that none is pruned below and both ways have one exchange
+    return blocks.join(found, "block", "left").mapInArrow(common.freed(lay), "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
