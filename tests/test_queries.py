@@ -38,6 +38,6 @@ def test_against_sql(spark, duck, name):
     assert got == sorted([[plain(x[i]) for i in at] for x in found.fetchall()], key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"policy_iteration", "page_spam"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0

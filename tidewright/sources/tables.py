@@ -57,6 +57,11 @@ def write_model(counts: DataFrame, path: str) -> None:
     counts.write.mode("overwrite").parquet(path)
 
 
+def read_model(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_model() stored: counts, costs or trees, with their schema."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def model_json(counts: DataFrame) -> DataFrame:
     """One JSON object for each row of a model, for interchange."""
     return counts.select(F.to_json(F.struct(*counts.columns)).alias("value"))
