@@ -80,6 +80,12 @@ def test_reach_covers_every_price():
     assert K.reach({("a", ""): 0.0}, 1.0)[0] > 1000
 
 
+def test_parts_hold_every_length_once(monkeypatch):
+    monkeypatch.setattr(K, "MOST_TERMS", 10)
+    parts = K.parts_of({1: 2, 2: 3, 4: 4, 5: 3, 6: 25, 8: 1})
+    assert parts == [(1, 4, 0, 1), (5, 5, 1, 1), (6, 6, 2, 3), (8, 8, 5, 1)] and K.parts_of({}) == []
+
+
 def test_equal_scores_come_by_term():
     search = K.Search(K.Trie([("ab", 1.0), ("aa", 1.0), ("ac", 1.0)]), {("a", "x"): 0.5, ("b", "x"): 0.5, ("c", "x"): 0.5}, 6.0, 1.0, 1.0)
     assert [t for t, _, _ in search.best("ax", 2)] == ["aa", "ab"]

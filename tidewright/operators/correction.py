@@ -4,8 +4,8 @@ An error model (fix, orig, cost) of single characters and of pairs of them gives
 end of a word; what is typed right costs nothing. A term's price for a word is that of the cheapest edits that turn it into the word, and its score alpha * lm + beta * price,
 where lm is the term's own cost.
 
-The dictionary is dealt by length and hash into parts of about MOST_TERMS terms, and words into chunks of about MOST_WORDS; a word only goes to lengths that its limit can pay for. A task
-holds one part as a trie whose nodes know the least lm below them, and takes from a priority queue the state (node, place in the word) with the least possible score. So terms come
+The dictionary is dealt by length, and where one length has too many by hash, into parts of about MOST_TERMS terms, and words into chunks of at most about MOST_WORDS; a word only goes to
+parts whose lengths its limit can pay for. Few large parts are better than many, since each is searched for its own k best. A task holds one part as a trie whose nodes know the least lm below them, and takes from a priority queue the state (node, place in the word) with the least possible score. So terms come
 in order of their scores, and the search ends with the k-th.
 
 Words and terms that are null are left out; an empty word finds what is cheap enough to lose. Equal scores are ordered by term; repeated words and terms count once (the
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import language as L
 
-MOST_TERMS, MOST_WORDS = 50_000, 20_000
+MOST_TERMS, MOST_WORDS = 150_000, 20_000
 #: Edits that are sent to all tasks, at most.
 MOST_EDITS = 500_000
 #: Longer terms share a band.
@@ -142,21 +142,33 @@ def reach(costs: Edits, limit: float) -> tuple[int, int]:
     return tuple(int(min(x + 1e-9, 1_000_000)) for x in (longer, shorter))
 
 
+def parts_of(sizes: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """Least and greatest length, first number and count of parts for each range of lengths, from how many terms each length has: neighbours share a part while they fit."""
+    out, first, low, total = [], 0, None, 0
+    for band in sorted(sizes):
+        if low is not None and total + sizes[band] > MOST_TERMS:
+            out.append((low, last, first, max(1, -(-total // MOST_TERMS))))
+            first, low, total = first + out[-1][3], None, 0
+        low, last, total = band if low is None else low, band, total + sizes[band]
+    return [*out, (low, last, first, max(1, -(-total // MOST_TERMS)))] if low is not None else out
+
+
 def best_matches(typed: DataFrame, dictionary: DataFrame, costs: Edits, limit: float = 6.0, match_num: int = 8, max_diff: float = 3.0, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
     """word, term, lm, err, rank: for each of the typed words (column word) terms of the dictionary (term, cost) in order of alpha lm + beta err with err at most the limit,
     cut before the first whose err is over the best's by max_diff, at most match_num. beta must be above 0."""
     if beta <= 0:
         raise ValueError("beta must be above 0")
     longer, shorter = reach(costs, limit)
-    band = lambda c: F.least(F.length(c), F.lit(LONGEST))
-    terms = dictionary.where("term is not null").groupBy("term").agg(F.min("cost").alias("lm")).withColumn("band", band("term"))
-    sizes = terms.groupBy("band").agg(F.ceil(F.count("*") / MOST_TERMS).cast("int").alias("subs"))
+    spark = typed.sparkSession
+    terms = dictionary.where("term is not null").groupBy("term").agg(F.min("cost").alias("lm")).withColumn("band", F.least(F.length("term"), F.lit(LONGEST)))
     words = typed.where("word is not null").select("word").distinct()
-    chunks = max(1, -(-words.count() // MOST_WORDS))
-    dealt = terms.join(F.broadcast(sizes), "band").withColumn("sub", F.pmod(F.xxhash64("term"), "subs").cast("int")).drop("subs").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))  # sizes: LONGEST + 1 rows at most
-    low, high = F.least(F.greatest(F.length("word") - shorter, F.lit(0)), F.lit(LONGEST)), F.least(F.length("word") + longer, F.lit(LONGEST))
-    asked = words.select("word", F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(low, high)).alias("band")).join(F.broadcast(sizes), "band")
-    asked = asked.select("word", "band", "chunk", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    parts = parts_of({r.band: r.n for r in terms.groupBy("band").agg(F.count("*").alias("n")).collect()})  # LONGEST + 1 rows at most
+    bands = F.broadcast(spark.createDataFrame([(b, first, subs) for low, high, first, subs in parts for b in range(low, high + 1)], "band int, first int, subs int"))
+    ranges = F.broadcast(spark.createDataFrame(parts, "low int, high int, first int, subs int"))  # as many at most
+    chunks = max(1, -(-words.count() // MOST_WORDS), spark.sparkContext.defaultParallelism // max(1, sum(p[3] for p in parts)))
+    dealt = terms.join(bands, "band").withColumn("part", F.col("first") + F.pmod(F.xxhash64("term"), "subs").cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    near = (F.least(F.length("word") - shorter, F.lit(LONGEST)) <= F.col("high")) & (F.length("word") + longer >= F.col("low"))
+    asked = words.join(ranges, near).select("word", F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("subs") - 1)).alias("part"))
 
     def search(terms: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -165,8 +177,8 @@ def best_matches(typed: DataFrame, dictionary: DataFrame, costs: Edits, limit: f
             rows = [(w, *m) for w in words["word"] for m in own.best(w, match_num)]
         return pd.DataFrame(rows, columns=["word", "term", "lm", "err"])
 
-    keys = ["band", "sub", "chunk"]
-    each = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "word string, term string, lm double, err double")
+    keys = ["part", "chunk"]
+    each = dealt.select("term", "lm", *keys).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "word string, term string, lm double, err double")
     return L.shortlist(each, match_num, max_diff, alpha, beta)
 
 
