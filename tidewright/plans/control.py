@@ -57,14 +57,22 @@ def policy_values(spark, d):
     return C.evaluate(p, policy, 0.9, 400, 1e-10).select("s", F.round("v", 5).alias("v"))
 
 
-@query()
+GAMMAS = (1.0, 0.9, 0.5, 0.2, 0.0)
+#: Turns of policy iteration, one after the other: values of the policy, then the best actions by them.
+_TURNS = ", ".join(f"""w{k}(gamma, t, s, v) AS (SELECT gamma, 0, s, 0.0::double FROM a{k} UNION ALL
+  SELECT w.gamma, w.t + 1, a.s, sum(q.p * (q.r + w.gamma * w.v)) FROM w{k} w JOIN q ON q.s2 = w.s JOIN a{k} a ON a.gamma = w.gamma AND a.s = q.s AND a.a = q.a WHERE w.t < 3000 GROUP BY w.gamma, w.t, a.s),
+v{k} AS MATERIALIZED (SELECT gamma, s, v FROM w{k} WHERE t = 3000),
+a{k + 1} AS MATERIALIZED (SELECT gamma, s, arg_min(a, (-g, a)) AS a FROM (SELECT v.gamma, q.s, q.a, round(sum(q.p * (q.r + v.gamma * v.v)), 9) AS g FROM q JOIN v{k} v ON v.s = q.s2 GROUP BY ALL) GROUP BY gamma, s)""" for k in range(4))
+
+
+@query(BASE.replace("WHERE s2 IS NOT NULL ", "").replace("lead(event_type)", "lead(event_type, 1, '-')") + f""", q AS MATERIALIZED (SELECT s, a, s2, p, r FROM p UNION ALL SELECT '-', 0, '-', 1, 0),
+a0 AS MATERIALIZED (SELECT gamma, s, min(a) AS a FROM q, (SELECT unnest([{", ".join(f"{g}::double" for g in GAMMAS)}]) AS gamma) GROUP BY ALL), {_TURNS}
+SELECT gamma, s, a3.a, round(v, 5) AS v FROM a3 JOIN v3 USING (gamma, s) WHERE s <> '-'""")
 def policy_iteration(spark, d):
-    p = C.saved(process(spark, d))
-    out = None
-    for gamma in (1.0, 0.9, 0.5, 0.2, 0.0):
-        best = C.improve(p, gamma).withColumn("gamma", F.lit(gamma))
-        out = best if out is None else out.unionAll(best)
-    return out
+    """The best actions and their values at each discount, where a user's last event ends the episode."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select(F.col("event_type").alias("s"), (F.floor("value") % 2).alias("a"), (F.col("value") / 100).alias("r"), F.lead("event_type").over(w).alias("s2"))
+    return C.improve(C.estimated(e), list(GAMMAS)).select("gamma", "s", "a", F.round("v", 5).alias("v"))
 
 
 @query("WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS r FROM events), g AS (SELECT user_id, sum(pow(0.9::double, t) * r) AS g FROM e GROUP BY user_id) SELECT round(avg(g), 5) AS mean_return, count(*) AS episodes FROM g")
