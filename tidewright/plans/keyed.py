@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import keyed as K
@@ -73,3 +74,38 @@ def command_stream(spark, d):
     from tidewright.streaming import commands as stream
 
     return stream.fold_once(commands, spark, d)
+
+
+def reads(spark, d):
+    """conn, seq, data: an event is a command of one of 16 connections on its user's key. A read holds the second half of the connection's last command and the first half of the next."""
+    e = table(spark, d, "events").where("event_id is not null and user_id is not null")
+    u, body = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    verb = F.coalesce(*(F.when(F.col("event_type") == a, b) for a, b in VERBS.items()))
+    stores = F.concat(verb, F.lit(" k"), u, F.lit(" 0 60 "), F.length(body).cast("string"), F.lit("\r\n"), body, F.lit("\r\n"))
+    asks = F.concat(F.lit("get k"), u, F.lit(" k"), (F.col("user_id") + 1).cast("string"), F.lit("\r\n"))
+    text = F.when(F.col("event_id") % 3 == 0, asks).when(verb == "delete", F.concat(F.lit("delete k"), u, F.lit("\r\n"))).otherwise(stores)
+    c = e.select((F.pmod("user_id", F.lit(16))).cast("string").alias("conn"), F.col("event_id").alias("seq"), text.alias("text"))
+    w = Window.partitionBy("conn").orderBy("seq")
+    half = F.floor(F.length("text") / 2).cast("int")
+    c = c.select("conn", "seq", F.substring("text", F.lit(1), half).alias("head"), F.substring("text", half + 1, F.length("text")).alias("tail"))
+    data = F.concat(F.coalesce(F.lag("tail").over(w), F.lit("")), F.col("head"), F.when(F.lead("seq").over(w).isNull(), F.col("tail")).otherwise(""))
+    return c.select("conn", "seq", data.alias("data"))
+
+
+_PARTS = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in VERBS.items()) + " END"
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, user_id % 16 AS conn, CASE WHEN event_id % 3 = 0 THEN 'get' ELSE {_PARTS} END AS op, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1 AS n FROM events),
+x AS (SELECT *, coalesce(lead(event_id) OVER (PARTITION BY conn ORDER BY event_id), event_id) AS seq FROM e),
+c AS (SELECT conn, n, seq, op, user_id AS key, 0 AS pos, event_id::varchar AS body FROM x UNION ALL SELECT conn, n, seq, op, user_id + 1, 1, NULL FROM x WHERE op = 'get'),
+a AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('set', 'add') THEN true WHEN op = 'delete' THEN false END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq, n, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS present FROM c),
+g AS (SELECT *, sum(CASE WHEN op = 'set' OR op = 'add' AND NOT present OR op = 'replace' AND present OR op = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq, n, pos ROWS UNBOUNDED PRECEDING) AS era FROM a),
+v AS (SELECT *, string_agg(CASE WHEN op = 'set' OR op = 'add' AND NOT present OR op IN ('replace', 'append') AND present THEN body END, '') OVER (PARTITION BY key, era ORDER BY seq, n, pos ROWS UNBOUNDED PRECEDING) AS value FROM g),
+t AS (SELECT conn, n, op, pos, CASE op WHEN 'set' THEN 'STORED' WHEN 'add' THEN CASE WHEN present THEN 'NOT_STORED' ELSE 'STORED' END WHEN 'delete' THEN CASE WHEN present THEN 'DELETED' ELSE 'NOT_FOUND' END
+  WHEN 'get' THEN CASE WHEN present THEN 'VALUE k' || key || ' 0 ' || length(value) || chr(13) || chr(10) || value || chr(13) || chr(10) ELSE '' END ELSE CASE WHEN present THEN 'STORED' ELSE 'NOT_STORED' END END AS text FROM v)
+SELECT conn::varchar AS conn, n, string_agg(text, '' ORDER BY pos) || CASE WHEN op = 'get' THEN 'END' ELSE '' END || chr(13) || chr(10) AS reply FROM t GROUP BY conn, n, op""")
+def reply_stream(spark, d):
+    """What each connection is answered, by chained stateful operators that stop and go on twice. A command arrives with the read that completes it."""
+    from tidewright.streaming import replies
+
+    return replies.answer(reads(spark, d))
