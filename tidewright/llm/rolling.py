@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Minutes of a span, about; what a window has from the span before is read twice.
-SPAN = 4 * 1440
+SPAN = 2 * 1440
 #: Days from 0001-01-01 to 1970-01-01.
 DAYS = 719_162
 
