@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -106,14 +106,20 @@ def returns(rewards: DataFrame, gamma: float) -> DataFrame:
     return rewards.groupBy("episode").agg(F.sum(F.pow(F.lit(gamma), F.col("step")) * F.col("r")).alias("g"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint, in spark.checkpoint.dir or, where none is set and one machine does all, a folder of our own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder's name in spark.checkpoint.dir or, where none is set and one machine does all, in a folder of our own."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = f"file://{tempfile.gettempdir()}/tidewright-{uuid.uuid4().hex}"
         context.setCheckpointDir(base)
+    return f"{context.getCheckpointDir().rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession, "")
     return df.checkpoint()

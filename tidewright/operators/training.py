@@ -12,7 +12,6 @@ Rows whose vector or label is null, or whose vector has another length than the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.control import saved
+from tidewright.operators.control import shared_folder
 
 Layers = list
 Weights = list[np.ndarray]
@@ -161,11 +160,7 @@ def train(rows: DataFrame, test: DataFrame, nets: dict[str, Layers], size: int,
     classes = {layers[-1][1] for layers in nets.values()}
     if len(classes) > 1:
         raise ValueError("the networks differ in how many classes they tell apart")
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        saved(spark.range(1))
-        base = spark.sparkContext.getCheckpointDir()
-    place = f"{base}/training-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "training")
     step = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(steps)).cast("int")
     lots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // steps)
     known = usable(rows, size, *classes).withColumn("step", step).withColumn("lot", F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(lots)))

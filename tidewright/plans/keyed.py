@@ -109,3 +109,20 @@ def reply_stream(spark, d):
     from tidewright.streaming import replies
 
     return replies.answer(reads(spark, d))
+
+
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, round(sum(value), 4) AS total FROM events WHERE event_id IS NOT NULL GROUP BY event_type""")
+def log_stream(spark, d):
+    """Events as JSON lines of a log that grows, read by a stream that stops and goes on from its offsets: sums of what came through."""
+    from tidewright.operators.control import shared_folder
+    from tidewright.sources import linelog
+
+    e = table(spark, d, "events").where("event_id is not null").select("event_id", "event_type", F.col("value").cast("string").alias("value"))
+    cut = e.agg(F.percentile("event_id", 0.5)).first()[0] or 0
+    place = shared_folder(spark, "log")
+    for k, part in enumerate((e.where(F.col("event_id") <= cut), e.where(F.col("event_id") > cut))):
+        part.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{place}/in/{k}")
+        stream = linelog.stream(spark, f"{place}/in")
+        stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    came = spark.read.schema(linelog.SCHEMA).parquet(f"{place}/out").select(F.from_json("value", "event_id long, event_type string, value string").alias("e")).select("e.*")
+    return came.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import contextlib
 import json
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidewright.operators.control import saved
+from tidewright.operators.control import shared_folder
 from tidewright.streaming.commands import END, complete
 
 OUT = "conn string, n long, reply string"
@@ -209,11 +208,7 @@ def state_by_rocksdb(spark: SparkSession) -> Iterator[None]:
 def answer(reads: DataFrame, starts: int = 3) -> DataFrame:
     """The replies to the reads (conn, seq, data) of a table, which reach the stream in so many pieces, by seq; the stream stops after each and goes on from its checkpoint. Runs the stream."""
     spark = reads.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        saved(spark.range(1))
-        base = spark.sparkContext.getCheckpointDir()
-    place = f"{base}/replies-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "replies")
     cuts = reads.agg(F.percentile("seq", [k / starts for k in range(1, starts)])).first()[0] or []
     piece = sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0))
     with state_by_rocksdb(spark):
