@@ -75,7 +75,7 @@ def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1,
             x.append(np.stack([np.searchsorted(e, values[:, k], "right") for k, e in enumerate(edges)], axis=1).astype(np.uint8))
             y.append(b.column("label").to_numpy().astype(np.float64))
         x, y = np.concatenate(x), np.concatenate(y)
-        margin, places = np.zeros(len(y)), x + np.arange(n_features) * width
+        margin, columns = np.zeros(len(y)), [x[:, f].astype(np.intp) for f in range(n_features)]
         out = []
 
         def summed(own: np.ndarray) -> np.ndarray:
@@ -92,13 +92,18 @@ def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1,
             for level in range(depth):
                 rank = np.full(2 ** (level + 1), -1)
                 rank[np.array(nodes) - (2**level - 1)] = np.arange(len(nodes))
-                live = np.flatnonzero(at >= 0)
-                cells = (rank[at[live] - (2**level - 1)] * n_features * width)[:, None] + places[live]
-                own = np.stack([np.bincount(cells.ravel(), np.repeat(w[live], n_features), len(nodes) * n_features * width) for w in weights])
-                g, h = summed(own.reshape(2, len(nodes), n_features, width))
+                live = at >= 0
+                first = np.where(live, rank[at - (2**level - 1)], 0) * width
+                masked = [np.where(live, w, 0.0) for w in weights]
+                own = np.empty((2, len(nodes), n_features, width))
+                for f, column in enumerate(columns):
+                    cells = first + column
+                    for k, w in enumerate(masked):
+                        own[k, :, f] = np.bincount(cells, w, len(nodes) * width).reshape(-1, width)
+                g, h = summed(own)
                 below, totals = [], {}
                 for k, (node, split) in enumerate(zip(nodes, best_splits(g, h, l2, least_weight), strict=True)):
-                    here = live[at[live] == node]
+                    here = np.flatnonzero(at == node)
                     if split is None:
                         value = -rate * float(g[k, 0].sum()) / (float(h[k, 0].sum()) + l2)
                         out.append((tree, node, None, None, value))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import strings as S
 from tidewright.operators import boosting as B
+from tidewright.operators import control as C
 from tidewright.operators import pages as P
 from tidewright.plans.registry import query
 from tidewright.sources.tables import table
@@ -91,8 +92,8 @@ def marked(spark, d):
 
 def spam_split(spark, d):
     """Training pages, the first two thirds by page_id, and the others."""
-    rows = marked(spark, d)
-    cut = table(spark, d, "pages").agg(F.percentile("page_id", 0.67)).first()[0]
+    rows = C.saved(marked(spark, d))  # the pages are taken apart once
+    cut = rows.agg(F.percentile("page_id", 0.67)).first()[0]
     return rows.where(F.col("page_id") <= cut), rows.where(F.col("page_id") > cut)
 
 
