@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.control import saved
+
 #: Cost of what a model has never seen.
 UNSEEN = 100.0
 
@@ -34,6 +37,36 @@ def bigrams(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return n.join(start, "w1").select("w1", "w2", "n", (F.log("total") - F.log("n")).alias("cost"))
 
 
+GENERATED = """
+WITH RECURSIVE said MAX RECURSION LEVEL {levels} AS (
+  SELECT key, 0 AS pos, term FROM {starts}
+  UNION ALL
+  SELECT s.key, s.pos + 1, n.w2 FROM said s JOIN {next} n ON n.w1 = s.term
+  WHERE s.pos < {steps} AND conv(substring(md5(concat('{seed}', ':', s.key, ':', s.pos)), 1, 8), 16, 10)::bigint % n.total BETWEEN n.low AND n.high - 1)
+SELECT key, pos, term FROM said"""
+
+
+def successors(words: DataFrame) -> DataFrame:
+    """w1, w2, low, high, total: a number from 0 below total, the bigrams that start with w1, falls to one w2; frequent ones first, then by word."""
+    n = pairs(words).groupBy("w1", "w2").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("w1").orderBy(F.desc("n"), "w2")
+    high = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return n.select("w1", "w2", (high - F.col("n")).alias("low"), high.alias("high"), F.sum("n").over(Window.partitionBy("w1")).alias("total"))
+
+
+def generated(starts: DataFrame, words: DataFrame, steps: int, seed: int = 0) -> DataFrame:
+    """key, pos, term: from each start (key, distinct, and term) up to so many words more, each drawn from the bigrams of the word before, by recursive SQL. The draw is the first 32 bits of md5 of
+    "seed:key:pos" modulo the number of those bigrams, so it is the same wherever it is made. A text ends with a word that nothing follows; a null start stays alone."""
+    spark, tag = starts.sparkSession, uuid.uuid4().hex
+    names = {"starts": f"_starts_{tag}", "next": f"_next_{tag}"}
+    saved(starts.select("key", "term")).createOrReplaceTempView(names["starts"])
+    saved(successors(words)).createOrReplaceTempView(names["next"])
+    out = spark.sql(GENERATED.format(steps=steps, levels=steps + 2, seed=seed, **names))
+    for name in names.values():
+        spark.catalog.dropTempView(name)
+    return out
+
+
 def asked_models(queries: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """unigrams() and bigrams() of words as far as query_cost() of the queries (key, w) needs them."""
     terms = queries.select(F.explode("w").alias("term")).distinct()
@@ -149,8 +182,6 @@ def weighted_neighbours(typed: DataFrame, dictionary: DataFrame, costs: dict[tup
 
 def shortlist(candidates: DataFrame, match_num: int = 8, max_diff: float = 3.0, alpha: float = 1.0, beta: float = 1.0):
     """candidates (word, term, lm, err) in order of alpha lm + beta err, cut before the first whose err is over the best's by max_diff, at most match_num."""
-    from pyspark.sql import Window
-
     own = candidates.groupBy("word", "term").agg(F.min("lm").alias("lm"), F.min("err").alias("err"))
     order = Window.partitionBy("word").orderBy(F.col("lm") * alpha + F.col("err") * beta, "term")
     seen = own.withColumns({"rank": F.row_number().over(order), "best": F.first("err").over(order)})

@@ -37,16 +37,20 @@ def gradients(x: Column) -> dict[str, Column]:
     return {"sigmoid": s * (1 - s), "relu": (x > 0).cast("double"), "elu": F.when(x > 0, 1.0).otherwise(F.exp(x)), "tanh": 1 - t * t}
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once for each row, however often f names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def softmax(a: Column) -> Column:
     """With the greatest value taken off first."""
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / total(e))
+    e = bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return bound(e, lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def nll(a: Column, label: Column) -> Column:
     """-ln softmax(a)[label], by the log of the sum of exponentials."""
-    top = F.array_max(a)
-    return F.log(total(F.transform(a, lambda x: F.exp(x - top)))) + top - F.get(a, label)
+    return bound(F.array_max(a), lambda top: F.log(total(F.transform(a, lambda x: F.exp(x - top)))) + top - F.get(a, label))
 
 
 def nll_gradient(a: Column, label: Column) -> Column:
@@ -67,10 +71,10 @@ def one_hot(label: Column, n: int) -> Column:
 
 
 def layer_norm(a: Column, eps: float = 1e-6) -> Column:
-    n = F.size(a)
-    mean = total(a) / n
-    spread = F.sqrt(total(F.transform(a, lambda x: (x - mean) * (x - mean))) / (n - 1))
-    return F.transform(a, lambda x: (x - mean) / (spread + eps))
+    def spread(mean: Column) -> Column:
+        return F.sqrt(total(F.transform(a, lambda x: (x - mean) * (x - mean))) / (F.size(a) - 1))
+
+    return bound(total(a) / F.size(a), lambda mean: bound(spread(mean), lambda s: F.transform(a, lambda x: (x - mean) / (s + eps))))
 
 
 def padded(a: Column, n: Column, value) -> Column:

@@ -69,3 +69,13 @@ def error_model_pairs(spark, d):
     """The same corrections by pairs of characters; of two equal letters the first is the lost one."""
     w = table(spark, d, "benchmark").select(F.explode(S.tokens(F.col("text"))).alias("fixed"))
     return L.error_model(w.select("fixed", F.concat(F.substring("fixed", 1, 1), F.expr("substring(fixed, 3)")).alias("original")), 2).withColumn("cost", F.round("cost", 6) + 0)
+
+
+@query(TALK.replace("WITH toks", "WITH RECURSIVE toks", 1) + """, nx AS MATERIALIZED (SELECT w1, w2, sum(n) OVER o - n AS low, sum(n) OVER o AS high, sum(n) OVER (PARTITION BY w1) AS total FROM big WINDOW o AS (PARTITION BY w1 ORDER BY n DESC, w2 ROWS UNBOUNDED PRECEDING)),
+said(key, pos, term) AS (SELECT item_id, 0, regexp_extract(lower(text), '[A-Za-zА-Яа-я0-9]+') FROM benchmark WHERE regexp_matches(lower(text), '[A-Za-zА-Яа-я0-9]')
+  UNION ALL SELECT s.key, s.pos + 1, w2 FROM said s JOIN nx ON nx.w1 = s.term WHERE s.pos < 12 AND ('0x' || left(md5('7:' || s.key || ':' || s.pos), 8))::BIGINT % total BETWEEN low AND high - 1)
+SELECT key, pos, term FROM said""")
+def generated_text(spark, d):
+    """Texts that begin as the benchmark's do and go on for up to 12 words as conversations would."""
+    starts = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.get(S.tokens(F.col("text")), F.lit(0)).alias("term")).where("term is not null")
+    return L.generated(starts, talk(spark, d), 12, 7)

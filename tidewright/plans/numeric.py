@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.operators import control as C
 from tidewright.operators import numeric as N
 from tidewright.plans.registry import query
 from tidewright.sources.tables import table
@@ -233,3 +234,38 @@ def training_curves(spark, d):
     _, curves = training.train(rows.where(~apart), rows.where(apart), nets, size=64, epochs=5, steps=8, rate=0.02, seed=1)
     out = spark.createDataFrame(curves, "net string, epoch int, train_loss double, train_accuracy double, test_loss double, test_accuracy double")
     return out.select("net", "epoch", *(F.round(c, 4).alias(c) for c in out.columns[2:]))
+
+
+def embedding_blocks(spark, d):
+    """The embeddings as blocks of a matrix with a row for each; rows are numbered by hash parts, so that none is numbered twice and no task numbers all."""
+    from tidewright.operators import matrix as M
+
+    v = table(spark, d, "embeddings").where("embedding is not null").select(F.col("embedding").cast("array<double>").alias("values"), F.col("vec_id"))
+    numbered = v.select(F.monotonically_increasing_id().alias("row"), "values")  # any order of rows gives the same products
+    return M.blocked(C.saved(numbered))
+
+
+@query("WITH v AS (SELECT list_transform(embedding, lambda x: x::double) AS e FROM embeddings) SELECT i, j, round(sum(e[i + 1] * e[j + 1]), 5) + 0 AS v FROM v, range(0, 64) a(i), range(0, 64) b(j) GROUP BY i, j")
+def gram_matrix(spark, d):
+    """Products of all pairs of components, summed over the embeddings, as a product of block matrices."""
+    from tidewright.operators import matrix as M
+
+    x = embedding_blocks(spark, d)
+    return M.cells(M.product(M.transposed(x), x)).select(F.col("r").alias("i"), F.col("c").alias("j"), r(F.col("v"), 5).alias("v"))
+
+
+@query()
+def explained_shares(spark, d):
+    """Share and running share of variance of every principal component, from the matrix of products alone."""
+    import numpy as np
+
+    from tidewright.operators import matrix as M
+
+    x = C.saved(embedding_blocks(spark, d))
+    gram = np.zeros((M.SIZE, M.SIZE))
+    for c in M.cells(M.product(M.transposed(x), x)).collect():  # 64 x 64 numbers
+        gram[c.r, c.c] = c.v
+    v = table(spark, d, "embeddings").where("embedding is not null").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("c", "x"))
+    sums = {s.c: (s.x, s.n) for s in v.groupBy("c").agg(F.sum("x").alias("x"), F.count("*").alias("n")).collect()}  # 64 rows
+    found = M.shares(gram, np.array([sums[k][0] for k in range(M.SIZE)]), max(n for _, n in sums.values()))
+    return spark.createDataFrame([(k, round(p, 6), round(q, 6)) for k, p, q in found], "k int, share double, running double")
