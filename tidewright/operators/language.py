@@ -112,16 +112,16 @@ def error_model(corrections: DataFrame, order: int = 1) -> DataFrame:
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for original, fixed in zip(frame["original"], frame["fixed"], strict=True):
+            for original, fixed, times in zip(frame["original"], frame["fixed"], frame["times"], strict=True):
                 edits = aligned(original.replace(" ", "="), fixed.replace(" ", "="))
                 if order == 2:
                     two = zip(edits, [*edits[1:], ("^", "^")], strict=True)
                     edits = [(a[0] + b[0], a[1] + b[1]) for a, b in two if "=" not in (*a, *b)]
-                rows += edits
-            yield pd.DataFrame(rows, columns=["fix", "orig"])
+                rows += [(*e, times) for e in edits]
+            yield pd.DataFrame(rows, columns=["fix", "orig", "times"]).groupby(["fix", "orig"], as_index=False, sort=False)["times"].sum()
 
-    known = corrections.where("original is not null and fixed is not null").select("original", "fixed")
-    n = known.mapInPandas(scan, "fix string, orig string").groupBy("fix", "orig").agg(F.count("*").alias("n"))
+    known = corrections.where("original is not null and fixed is not null").groupBy("original", "fixed").agg(F.count("*").alias("times"))  # each is aligned once
+    n = known.mapInPandas(scan, "fix string, orig string, times long").groupBy("fix", "orig").agg(F.sum("times").alias("n"))
     total = n.groupBy("fix").agg(F.sum("n").alias("total"))
     return n.join(total, "fix").select("fix", "orig", "n", (F.log("total") - F.log("n")).alias("cost"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import strings as S
+from tidewright.operators import control as C
 from tidewright.operators import correction as K
 from tidewright.operators import language as L
 from tidewright.plans.language import DOCS, words
@@ -114,14 +115,14 @@ def misspelt_items(spark, d):
 @query()
 def spell_searched(spark, d):
     """What the learned errors make of each misspelt word, best first: up to 8 terms."""
-    found = K.best_matches(misspelt_items(spark, d).select("word"), dictionary(spark, d), learned(spark, d))
+    found = K.best_matches(misspelt_items(spark, d).select("word"), C.saved(dictionary(spark, d)), learned(spark, d))
     return found.select("word", "term", F.round("lm", 6).alias("lm"), F.round("err", 6).alias("err"), "rank")
 
 
 @query()
 def spell_accuracy(spark, d):
     """Of the words that are misspelt and whose right form the dictionary has: how many the search gives first, and at all."""
-    known = dictionary(spark, d)
+    known = C.saved(dictionary(spark, d))
     w = misspelt_items(spark, d).where("word <> t").select("word", "t").join(known.select(F.col("term").alias("t")), "t", "left_semi")
     found = K.best_matches(w.select("word"), known, learned(spark, d)).select("word", F.col("term").alias("t"), "rank")
     return w.join(found, ["word", "t"], "left").agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 1).alias("first"), F.count("rank").alias("listed"))
@@ -133,15 +134,15 @@ def spell_corrected(spark, d):
     language model alone; errors learned from other texts only choose the terms (limit 6, 8 terms, 3 apart). A word without terms stays, and so does a text where all are too unlikely."""
     w = misspelt_items(spark, d)
     texts = w.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("q"))
-    short = K.best_matches(w.select("word"), dictionary(spark, d), learned(spark, d)).select("word", "term")
-    c = w.select("key", "pos", "word").join(short, "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term"))
+    short = K.best_matches(w.select("word"), C.saved(dictionary(spark, d)), learned(spark, d)).select("word", "term")
+    c = C.saved(w.select("key", "pos", "word").join(short, "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term")))
     q = F.col("q")
     gens = F.concat(F.array(q), S.layout_variants(q), S.join_variants(q), S.split_variants(q))
     v = texts.select("key", F.posexplode(gens).alias("gen", "variant"))
     asked = v.select(F.struct("key", "gen").alias("key"), S.tokens(F.col("variant")).alias("w"))
     corpus = words(spark, d)
-    terms = c.select("term").union(asked.select(F.explode("w"))).distinct()
-    uni, big = L.unigrams(corpus, terms), L.bigrams(corpus, terms.withColumnRenamed("term", "w1"))
+    terms = C.saved(c.select("term").union(asked.select(F.explode("w"))).distinct())
+    uni, big = C.saved(L.unigrams(corpus, terms)), C.saved(L.bigrams(corpus, terms.withColumnRenamed("term", "w1")))  # both serve variants and chains
     priced = L.query_cost(asked, uni, big).select(F.col("key.key").alias("key"), F.col("key.gen").alias("gen"), "cost").join(v, ["key", "gen"]).select("key", "gen", "variant", "cost")
     chains = L.best_chain(c, uni, big).select("key", F.lit(1 << 30).alias("gen"), F.col("chain").alias("variant"), "cost")
     best = priced.unionByName(chains).groupBy("key").agg(F.min_by("variant", F.struct(F.round("cost", 5).alias("cost"), "gen")).alias("best"), F.round(F.min("cost"), 5).alias("cost"))
