@@ -90,3 +90,37 @@ def test_streamed_lines(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r.fixed for r in spark.sql("select * from lines").collect()) == ["one", "two"]
+
+
+def test_crawled_days_are_resumed_by_folders(spark, tmp_path):
+    rows = [(f"2019-04-0{k % 3 + 1}", f"doc.{k:04}.dat", f"http://{k}", f"<p>{k}") for k in range(12)]
+    T.write_crawl_days(spark.createDataFrame(rows, "day string, file string, url string, html string"), str(tmp_path / "crawl"))
+    whole = T.crawl_days(spark, str(tmp_path / "crawl"))
+    assert sorted(map(tuple, whole.collect())) == sorted(rows)
+    rest = T.crawl_days(spark, str(tmp_path / "crawl"), "2019-04-02", "doc.0004.dat")
+    earlier = [r for r in rows if r[:2] <= ("2019-04-02", "doc.0004.dat")]
+    assert sorted([*earlier, *map(tuple, rest.collect())]) == sorted(rows)
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "(day#" in plan.split("PartitionFilters", 1)[1]
+    assert not any("day=2019-04-01" in f.f for f in rest.select(F.input_file_name().alias("f")).collect())
+
+
+def test_models_stored_as_json(spark, tmp_path):
+    import json
+
+    (tmp_path / "lm.json").write_text(json.dumps(({"a": 1.5, "é": 2.0}, {"a": {"b": 0.5, "a": 1.0}}, 3, {"a": 2})))
+    one, two = T.read_model_json(spark, str(tmp_path / "lm.json"), "language")
+    assert sorted(map(tuple, one.collect())) == [("a", 1.5), ("é", 2.0)] and sorted(map(tuple, two.collect())) == [("a", "a", 1.0), ("a", "b", 0.5)]
+    (tmp_path / "em.json").write_text(json.dumps(({"a": {"_": 0.25}}, {"ab": {"ba": 3.0}}, {"a": 4.0}, {"ab": 1.0})))
+    one, two = T.read_model_json(spark, str(tmp_path / "em.json"), "errors")
+    assert [*map(tuple, one.collect()), *map(tuple, two.collect())] == [("a", "_", 0.25), ("ab", "ba", 3.0)]
+
+
+def test_a_fitted_model_comes_back(spark, tmp_path):
+    from pyspark.ml.feature import PCA, PCAModel
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.createDataFrame([([float(k), float(k * k), 1.0],) for k in range(9)], "x array<double>").select(array_to_vector("x").alias("v"))
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(rows)
+    T.saved(model, str(tmp_path / "pca"))
+    assert T.loaded(PCAModel, str(tmp_path / "pca")).transform(rows).collect() == model.transform(rows).collect()

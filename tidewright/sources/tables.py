@@ -32,6 +32,19 @@ def crawl(spark: SparkSession, paths: list[str], first: str | None = None) -> Da
     return raw.select("file", F.trim(F.substring_index("value", "\n", 1)).alias("url"), F.when(cut > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise("").alias("html"))
 
 
+def write_crawl_days(pages: DataFrame, path: str) -> None:
+    """day, file, url and html as folders of days."""
+    pages.select("day", "file", "url", "html").write.mode("append").partitionBy("day").parquet(path)
+
+
+def crawl_days(spark: SparkSession, path: str, first_day: str | None = None, after: str = "") -> DataFrame:
+    """day, file, url and html of crawled days, from first_day on, and of that day only files after the given one. Folders of earlier days aren't opened."""
+    rows = spark.read.schema("file string, url string, html string, day string").parquet(path)
+    if first_day is not None:
+        rows = rows.where((F.col("day") >= first_day) & ((F.col("day") > first_day) | (F.col("file") > after)))
+    return rows.select("day", "file", "url", "html")
+
+
 def write_zones(docs: DataFrame, path: str) -> None:
     """The parsed-document store: doc_id, title, headers, body."""
     docs.select("doc_id", "title", "headers", "body").write.mode("overwrite").parquet(path)
@@ -62,6 +75,22 @@ def read_model(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def read_model_json(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The two cost tables of a model stored as one JSON array of objects: of a language model (term, cost) and (w1, w2, cost), of an error model (fix, orig, cost) of characters and of pairs.
+    kind: "language" or "errors". Such a file is one document, read by one task; Parquet (read_model) has no such bound."""
+    if kind not in ("language", "errors"):
+        raise ValueError(f"no kind of model: {kind}")
+    parts = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("p"))
+
+    def nested(k: int, outer: str, inner: str) -> DataFrame:
+        each = parts.select(F.explode(F.from_json(F.get("p", F.lit(k)), "map<string,map<string,double>>")).alias(outer, "m"))
+        return each.select(outer, F.explode("m").alias(inner, "cost"))
+
+    if kind == "errors":
+        return nested(0, "fix", "orig"), nested(1, "fix", "orig")
+    return parts.select(F.explode(F.from_json(F.get("p", F.lit(0)), "map<string,double>")).alias("term", "cost")), nested(1, "w1", "w2")
+
+
 def model_json(counts: DataFrame) -> DataFrame:
     """One JSON object for each row of a model, for interchange."""
     return counts.select(F.to_json(F.struct(*counts.columns)).alias("value"))
@@ -134,3 +163,8 @@ def batches(df: DataFrame, size: int, seed: int, key: str) -> DataFrame:
 
 def saved(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def loaded(kind, path: str):
+    """What saved() stored, by its class: a fitted model, or a pipeline of them."""
+    return kind.load(path)
