@@ -194,24 +194,30 @@ def replies(reads: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def state_by_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams that start inside keep their state as transformWithState needs it."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_by_rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Streams that start inside keep their state as transformWithState needs it, in so many partitions if given. Each partition of each operator is a database of some 4 MB at least; those of a stream
+    that has stopped go at the next maintenance."""
+    set_to = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.maintenanceInterval": "5s"}
+    if partitions:
+        set_to["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in set_to}
+    for name, value in set_to.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def answer(reads: DataFrame, starts: int = 3) -> DataFrame:
-    """The replies to the reads (conn, seq, data) of a table, which reach the stream in so many pieces, by seq; the stream stops after each and goes on from its checkpoint. Runs the stream."""
+def answer(reads: DataFrame, starts: int = 3, part_rows: int = 25_000) -> DataFrame:
+    """The replies to the reads (conn, seq, data) of a table, which reach the stream in so many pieces, by seq; the stream stops after each and goes on from its checkpoint. State has a partition for about
+    part_rows reads, as a stream keeps its number of partitions. Runs the stream."""
     spark = reads.sparkSession
     place = shared_folder(spark, "replies")
     cuts = reads.agg(F.percentile("seq", [k / starts for k in range(1, starts)])).first()[0] or []
     piece = sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0))
-    with state_by_rocksdb(spark):
+    with state_by_rocksdb(spark, max(2, -(-reads.count() // part_rows))):
         for k in range(starts):
             reads.where(piece == k).write.mode("append").parquet(f"{place}/in")
             stream = spark.readStream.schema(reads.schema).parquet(f"{place}/in")
