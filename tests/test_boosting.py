@@ -87,10 +87,10 @@ def test_learns_rows_it_never_saw(spark):
 def test_more_rows_than_the_bound_and_odd_rows(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).drop("score")
     assert B.train(df, trees=3, most_rows=50).count() > 3
-    odd = spark.createDataFrame([(1, [None, float("nan")], 1), (2, [5.0, 1.0], 0), (3, None, 1), (4, [1.0, 2.0], None)], "key long, features array<double>, label int")
+    odd = spark.createDataFrame([(1, [None, float("nan")], 1), (2, [5.0, 1.0], 0), (3, None, 1), (4, [1.0, 2.0], None), (5, [2.0], 1), (6, [], 0)], "key long, features array<double>, label int")
     model = B.train(odd, trees=2)
-    assert {r.key: r.prediction for r in B.scored(odd, model).collect()}.keys() == {1, 2, 3, 4}
-    assert [r.score for r in B.scored(odd, B.train(odd.limit(0))).collect()] == [0.5] * 4
+    assert {r.key: r.prediction for r in B.scored(odd, model).collect()}.keys() == {1, 2, 3, 4, 5, 6}
+    assert [r.score for r in B.scored(odd, B.train(odd.limit(0))).collect()] == [0.5] * 6
     assert B.scored(odd.limit(0), model).count() == 0
 
 

@@ -64,7 +64,7 @@ def test_search_finds_what_pricing_all_terms_finds(spark, monkeypatch, seed, lim
     monkeypatch.setattr(K, "MOST_WORDS", 7)
     terms, words, costs = some(seed)
     typed = spark.createDataFrame([(w, 1) for w in [*words, *words, None]], "word string, cost int")
-    known = spark.createDataFrame([*terms.items(), *((t, c + 1) for t, c in terms.items()), (None, 0.0)], "term string, cost double")
+    known = spark.createDataFrame([*terms.items(), *((t, c + 1) for t, c in terms.items()), (None, 0.0), ("abcd", None)], "term string, cost double")
     got = K.best_matches(typed, known, costs, limit, match_num, max_diff, alpha, beta)
     assert sorted((r.word, r.term, r["rank"], round(r.lm, 6), round(r.err, 6)) for r in got.collect()) == sorted(every(words, terms, costs, limit, match_num, max_diff, alpha, beta))
 

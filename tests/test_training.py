@@ -90,7 +90,7 @@ def test_nets_side_by_side_are_as_alone_and_learn(spark):
 
 
 def test_rows_that_cannot_be_used(spark):
-    rows = [(1, [1.0, 2.0], 0, ""), (None, [1.0, 2.0], 1, ""), (2, None, 0, ""), (3, [1.0], 0, ""), (4, [None, 1.0], 0, ""), (5, [1.0, 1.0], None, ""), (6, [1.0, 1.0], 9, "")]
+    rows = [(1, [1.0, 2.0], 0, ""), (None, [1.0, 2.0], 1, ""), (2, None, 0, ""), (3, [1.0], 0, ""), (4, [None, 1.0], 0, ""), (5, [1.0, 1.0], None, ""), (6, [1.0, 1.0], 9, ""), (7, [float("inf"), 1.0], 0, ""), (8, [float("nan"), 1.0], 0, "")]
     df = spark.createDataFrame(rows, SCHEMA)
     net = {"n": [("dense", 2)]}
     assert T.usable(df, 2, 2).count() == 2

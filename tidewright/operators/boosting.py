@@ -8,7 +8,7 @@ Training takes at most `most_rows` rows, those of the least hash where there are
 number of rows. The model is a table (tree, node, feature, threshold, value): node n has children 2n + 1 (feature < threshold) and 2n + 2; a leaf has no feature.
 
 Loss is logistic; a leaf is -rate * G / (H + l2); a split needs a positive gain and `least_weight` hessian on both sides; the first feature and bin win ties. Null or NaN features
-count as 0 and null labels are left out. Without rows of training the model is one empty leaf, and scores are 0.5.
+count as 0, and so do those that a shorter array lacks; null labels are left out. Without rows of training the model is one empty leaf, and scores are 0.5.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ def clean(column: str = "features"):
     return F.transform(column, lambda x: F.when(F.isnan(x), 0.0).otherwise(F.coalesce(x, F.lit(0.0))))
 
 
+def filled(column, n: int):
+    """n features, 0 where there are fewer."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.get(column, k), F.lit(0.0)))
+
+
 def bin_edges(rows: DataFrame, n_features: int, bins: int) -> list[np.ndarray]:
     """Thresholds between bins of each feature: exact quantiles, each once; below the first is bin 0."""
     shares = [k / bins for k in range(1, bins)]
@@ -62,7 +67,8 @@ def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1,
         known = known.where(F.xxhash64("key") <= cut)
     if not n:
         return spark.createDataFrame([(0, 0, None, None, 0.0)], MODEL)
-    n_features = known.agg(F.max(F.size("features"))).first()[0]
+    n_features = max(1, known.agg(F.max(F.size("features"))).first()[0])
+    known = known.withColumn("features", filled("features", n_features))
     edges = bin_edges(known, n_features, bins)
     tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-min(n, most_rows) // TASK_ROWS)))
     width = max(map(len, edges), default=0) + 1
@@ -159,6 +165,4 @@ def scored(rows: DataFrame, model: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array((score > 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "prediction"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("prediction", T.IntegerType())])
-    n = int(feature.max(initial=-1)) + 1
-    whole = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda k: F.coalesce(F.get(clean(), k), F.lit(0.0)))
-    return rows.withColumn("_clean", whole).mapInArrow(scan, schema)
+    return rows.withColumn("_clean", filled(clean(), max(1, int(feature.max(initial=-1)) + 1))).mapInArrow(scan, schema)

@@ -8,7 +8,7 @@ The dictionary is dealt by length, and where one length has too many by hash, in
 parts whose lengths its limit can pay for. Few large parts are better than many, since each is searched for its own k best. A task holds one part as a trie whose nodes know the least lm below them, and takes from a priority queue the state (node, place in the word) with the least possible score. So terms come
 in order of their scores, and the search ends with the k-th.
 
-Words and terms that are null are left out; an empty word finds what is cheap enough to lose. Equal scores are ordered by term; repeated words and terms count once (the
+Words and terms that are null, and terms without cost, are left out; an empty word finds what is cheap enough to lose. Equal scores are ordered by term; repeated words and terms count once (the
 term's least lm).
 """
 
@@ -160,7 +160,7 @@ def best_matches(typed: DataFrame, dictionary: DataFrame, costs: Edits, limit: f
         raise ValueError("beta must be above 0")
     longer, shorter = reach(costs, limit)
     spark = typed.sparkSession
-    terms = dictionary.where("term is not null").groupBy("term").agg(F.min("cost").alias("lm")).withColumn("band", F.least(F.length("term"), F.lit(LONGEST)))
+    terms = dictionary.where("term is not null and cost is not null").groupBy("term").agg(F.min("cost").alias("lm")).withColumn("band", F.least(F.length("term"), F.lit(LONGEST)))
     words = typed.where("word is not null").select("word").distinct()
     parts = parts_of({r.band: r.n for r in terms.groupBy("band").agg(F.count("*").alias("n")).collect()})  # LONGEST + 1 rows at most
     bands = F.broadcast(spark.createDataFrame([(b, first, subs) for low, high, first, subs in parts for b in range(low, high + 1)], "band int, first int, subs int"))

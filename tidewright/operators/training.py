@@ -7,7 +7,7 @@ networks, whatever the rows; several networks are trained in one pass over a bat
 A network is a list of layers: ("dense", outputs), and "sigmoid", "tanh", "relu" or "elu" between them; the last outputs go through a softmax, and the loss is the negative
 logarithm of the label's share. Its weights are a list of arrays, a matrix and a bias for each dense layer.
 
-Rows whose vector or label is null, or whose vector has another length than the first network takes, or a null in it, are left out. Empty batches make no step. Equal keys share a batch.
+Rows whose vector or label is null, or whose vector has another length than the first network takes, or a null or no finite number in it, are left out. Empty batches make no step. Equal keys share a batch.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ STEPS = {"momentum": gradient_step, "adam": adam_step}
 
 def usable(rows: DataFrame, size: int, classes: int) -> DataFrame:
     x = F.col("x").cast("array<double>")
-    return rows.select("key", x.alias("x"), F.col("y").cast("long").alias("y")).where((F.size("x") == size) & ~F.exists("x", lambda e: e.isNull() | F.isnan(e)) & F.col("y").between(0, classes - 1))
+    return rows.select("key", x.alias("x"), F.col("y").cast("long").alias("y")).where((F.size("x") == size) & ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.col("y").between(0, classes - 1))
 
 
 def train(rows: DataFrame, test: DataFrame, nets: dict[str, Layers], size: int, epochs: int, steps: int, rate: float, optimiser: str = "adam", seed: int = 0) -> tuple[dict[str, Weights], list[tuple]]:
