@@ -14,6 +14,9 @@ from tidewright.plans.registry import query
 from tidewright.plans.text import whole_queries
 from tidewright.sources.tables import table
 
+#: Terms that are sent to all tasks, at most, to pick a corpus's n-grams.
+MOST_ASKED = 500_000
+
 CAND = DOCS + """, typed AS (SELECT DISTINCT left(t, 1) || substr(t, 3) AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+')) AS t FROM benchmark)),
 dict AS (SELECT term, cost FROM uni WHERE n >= 5),
 cand AS (SELECT word, term, levenshtein(word, term) AS distance, cost FROM typed JOIN dict ON abs(length(word) - length(term)) <= 1 WHERE levenshtein(word, term) <= 1)
@@ -142,6 +145,8 @@ def spell_corrected(spark, d):
     asked = v.select(F.struct("key", "gen").alias("key"), S.tokens(F.col("variant")).alias("w"))
     corpus = words(spark, d)
     terms = C.saved(c.select("term").union(asked.select(F.explode("w"))).distinct())
+    if terms.count() <= MOST_ASKED:
+        terms = F.broadcast(terms)  # else the corpus is shuffled to them
     uni, big = C.saved(L.unigrams(corpus, terms)), C.saved(L.bigrams(corpus, terms.withColumnRenamed("term", "w1")))  # both serve variants and chains
     priced = L.query_cost(asked, uni, big).select(F.col("key.key").alias("key"), F.col("key.gen").alias("gen"), "cost").join(v, ["key", "gen"]).select("key", "gen", "variant", "cost")
     chains = L.best_chain(c, uni, big).select("key", F.lit(1 << 30).alias("gen"), F.col("chain").alias("variant"), "cost")
