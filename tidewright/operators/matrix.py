@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.numeric import bound
+
 SIZE = 64
 BLOCKS = "i long, j long, values array<double>"
 #: Blocks of the result that a task holds before it passes on what it has.
@@ -25,14 +27,15 @@ def blocked(rows: DataFrame, size: int = SIZE) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(j.cast("long").alias("j"), F.slice("values", j * size + 1, size).alias("part")))
     cut = rows.where(F.size("values") > 0).select(F.floor(F.col("row") / size).cast("long").alias("i"), F.pmod("row", F.lit(size)).alias("at"), F.explode(parts).alias("p"))
     held = cut.groupBy("i", F.col("p.j").alias("j")).agg(F.map_from_entries(F.collect_list(F.struct("at", "p.part"))).alias("m"))  # size rows at most
-    cell = lambda k, c: F.coalesce(F.get(F.element_at("m", k.cast("long")), c), F.lit(0.0))
     inside = F.sequence(F.lit(0), F.lit(size - 1))
-    return held.select("i", "j", F.flatten(F.transform(inside, lambda k: F.transform(inside, lambda c: cell(k, c)))).alias("values"))
+    full = lambda part: F.transform(inside, lambda c: F.coalesce(F.get(part, c), F.lit(0.0)))
+    filled = bound(F.col("m"), lambda m: F.flatten(F.transform(inside, lambda k: bound(F.element_at(m, k.cast("long")), full))))
+    return held.select("i", "j", filled.alias("values"))
 
 
 def transposed(a: DataFrame, size: int = SIZE) -> DataFrame:
     inside = F.sequence(F.lit(0), F.lit(size * size - 1))
-    return a.select(F.col("j").alias("i"), F.col("i").alias("j"), F.transform(inside, lambda k: F.get("values", (k % size) * size + F.floor(k / size).cast("int"))).alias("values"))
+    return a.select(F.col("j").alias("i"), F.col("i").alias("j"), bound(F.col("values"), lambda v: F.transform(inside, lambda k: F.get(v, (k % size) * size + F.floor(k / size).cast("int")))).alias("values"))
 
 
 def product(a: DataFrame, b: DataFrame, size: int = SIZE) -> DataFrame:
