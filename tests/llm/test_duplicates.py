@@ -344,6 +344,21 @@ def test_rows_of_one_id_are_dealt(spark):
     assert changed == want
 
 
+def test_rows_that_come_in_another_order_each_time(spark):
+    """A source that mixes its rows anew with each reading loses none, equal rows and rows without doc_id included."""
+    rng = random.Random(21)
+    rows = [(rng.choice([None, i]), prose(rng, 4)) for i in range(250)] + [(3, "twice")] * 25 + [(None, None)] * 25
+
+    def mixed(frames):
+        for f in frames:
+            yield f.sample(frac=1)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = parsing.compared(df).collect()
+    got = parsing.compared(df.mapInPandas(mixed, df.schema)).collect()
+    assert len(got) == 300 and sorted(map(str, got)) == sorted(map(str, plain))
+
+
 def test_equal_substrings_share_names():
     rng = random.Random(4)
     inner = prose(rng, 300)

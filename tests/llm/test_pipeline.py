@@ -28,6 +28,26 @@ def test_templates(spark):
     assert decontam.clean(docs, bench(spark)).columns == docs.columns
 
 
+def test_copies_in_other_case(spark):
+    """Names are words where nothing is capitalised, or everything. Other numbers, or another word near the end (6), leave enough windows; other words for a name in two places (4) don't."""
+    low, high = ITEM.lower(), ITEM.upper()
+    texts = [low, high, f"Then we read {low} and went on", f"THEN WE READ {high} AND WENT ON", low.replace("berlin", "lyon"), low.replace("10", "7"), low.replace("the train from berlin", "the train from lyon"), ITEM.replace("Munich", "munich"), low.replace("10", "7").replace("4 hours", "5 hours").replace("train", "bus")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in decontam.contaminated(docs, bench(spark)).collect()}
+    assert got == {0, 1, 2, 3, 5, 6, 7}
+    assert {r.doc_id for r in decontam.clean(docs, bench(spark)).collect()} == {4, 8}
+
+
+def test_names_are_read_alike_on_both_sides_of_the_broadcast(spark, monkeypatch):
+    """Reading words as names only next to an item's names leaves out nothing that is found without."""
+    anna = OTHER.replace("Lyon", "Oslo")
+    texts = [f"Said. {ITEM}", f"Berlin is far. {OTHER}!", f'"{anna}"', ITEM.lower(), "Berlin and Munich and Berlin, 10 of 300", f"Anna said that {OTHER}", ITEM.replace("from Berlin", "from\nBerlin")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small = sorted(map(str, decontam.contaminated(docs, bench(spark)).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert len(small) == 6 and sorted(map(str, decontam.contaminated(docs, bench(spark)).collect())) == small
+
+
 def test_each_copy_is_judged(spark):
     """Copies behind one that isn't consistent, and copies with words put in, whose halves lie at different shifts."""
     bad = OTHER.replace("the train from Lyon", "the train from Nice")

@@ -4,7 +4,8 @@ Numbers, units after numbers, and names (capitalised words inside a sentence) be
 else is lower-cased and stripped of punctuation. What is left is a text's template. Whether a capitalised word elsewhere (at the start
 of a text, a sentence, a line or a quotation) is a name, an item tells by itself: it is one if it is capitalised inside a sentence of the item
 too. A document's windows are read both ways, with such a word as a name and as itself, in all combinations; so is an item's first word if it isn't known as
-a name, because in a document it may stand inside a sentence. Templates are cut into windows of
+a name, because in a document it may stand inside a sentence. Each window of an item with names is also looked for with these as plain words, as a copy in lower
+or upper case has them; other values are recognised only where names are capitalised. Templates are cut into windows of
 WINDOW words, and the windows of documents are joined by hash with those of the benchmark. A document
 holds an item if at least SHARE of the item's windows occur in it and its slots are consistent: where these windows are
 laid over each other, each value of the item stands for one value in the document throughout, as in a
@@ -105,10 +106,14 @@ def item_windows(items: DataFrame) -> DataFrame:
     seen = lambda kinds, i: F.struct(i.alias("item_at"), gram(kinds, i).alias("gram"))
     says = lambda i: F.exists(F.slice("item_kinds", i + 1, WINDOW), lambda k: ~k.startswith(SLOT))
     own = F.transform(F.filter(starts, says), lambda i: seen(F.col("item_kinds"), i))
+    # a copy in other case has words where the item has names
+    folded = F.transform("item_words", lambda x: F.when(x.startswith("#m") | x.startswith("#s"), F.substring(x, 3, 1 << 30)).otherwise(F.regexp_replace(x, "^(#[nu]).*", "$1")))
+    named = lambda i: F.exists(F.slice("item_kinds", i + 1, WINDOW), lambda k: k == NAME)
+    cased = F.transform(F.filter(starts, lambda i: says(i) & named(i)), lambda i: seen(folded, i))
     # not where that leaves slots alone
     open_first = F.get("item_words", F.lit(0)).startswith("#s") & F.exists(F.slice("item_kinds", 2, WINDOW - 1), lambda k: ~k.startswith(SLOT))
     first = F.array(seen(F.concat(F.array(F.lit(NAME)), F.slice("item_kinds", 2, WINDOW)), F.lit(0)))
-    w = w.withColumn("bare", F.size(own) == 0).withColumn("windows", F.when(F.col("bare"), F.array(F.struct(F.lit(0).alias("item_at"), bare_gram(F.col("item_words")).alias("gram")))).otherwise(F.array_union(own, F.when(open_first, first).otherwise(F.slice(own, 1, 0)))))
+    w = w.withColumn("bare", F.size(own) == 0).withColumn("windows", F.when(F.col("bare"), F.array(F.struct(F.lit(0).alias("item_at"), bare_gram(F.col("item_words")).alias("gram")))).otherwise(F.array_union(F.array_union(own, cased), F.when(open_first, first).otherwise(F.slice(own, 1, 0)))))
     return w.select("item_id", "item_words", "item_kinds", F.when(F.col("bare"), F.size("item_words")).otherwise(F.least(F.lit(WINDOW), F.size("item_words"))).alias("length"), "bare", "windows")
 
 

@@ -13,7 +13,8 @@ the Dice coefficient of the phrase sets.
 
 Null and empty texts have no phrases and the fingerprint of the empty text; two of them are wholly alike. Rows are
 in descending order of doc_id, nulls last, rows of one id (or of none) by a hash of the text; each repeated row is a document of its own. A
-lone document's next document is itself. An empty table gives no rows. Rows are dealt by ranges of all that orders them, so that
+lone document's next document is itself. An empty table gives no rows. Rows are dealt by ranges of what orders them, which is
+read off the row itself, so that the rows of docs may come in another order each time; equal rows are counted before they are dealt. So
 no doc_id, null or text fills a task by itself.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,25 +169,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.texts_of(docs).mapInArrow(common.freed(scan), "doc_id long, fingerprint string")
 
 
-#: What orders the rows, ascending: no id, the id reversed, the text's hash, and a number that only parts equal rows.
-ORDER = ["no_id", "down", "hash", "salt"]
+#: What orders the rows, ascending: no id, the id reversed, the text's hash. Only a row's own values, so that it has the same place each time it is read.
+ORDER = ["no_id", "down", "hash"]
+#: Kinds of dealt rows: a document, the one after a part's last, further copies of a document.
+OWN, TAIL, COPIES = range(3)
 #: Rows that the cuts between parts are taken from, about.
 SAMPLE_ROWS = 50_000
+#: Rows of a batch of equal ones that are written out.
+OUT_ROWS = 4096
 
 
 def ordered(docs: DataFrame) -> DataFrame:
     """ORDER, doc_id and text of every row."""
     base = common.texts_of(docs)
     down = F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long")))
-    return base.select(F.col("doc_id").isNull().cast("long").alias("no_id"), down.alias("down"), F.xxhash64("text").alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), "doc_id", "text")
+    return base.select(F.col("doc_id").isNull().cast("long").alias("no_id"), down.alias("down"), F.xxhash64("text").alias("hash"), "doc_id", "text")
+
+
+def repeats(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's rows, those that come first with their doc_id and text; those of them with further copies, and how many these are."""
+    keys = np.stack([b.column(c).to_numpy() for c in ORDER], axis=1)
+    if len(np.unique(keys, axis=0)) == len(keys):
+        none = np.zeros(0, np.int64)
+        return np.arange(len(keys)), none, none
+    seen: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
+        seen.setdefault(key, []).append(k)
+    more = [(at[0], len(at) - 1) for at in seen.values() if len(at) > 1]
+    return np.array([at[0] for at in seen.values()]), np.array([k for k, _ in more], np.int64), np.array([n for _, n in more], np.int64)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows dealt into parts in order; each part ends with a spare row (tail), the document that follows its last."""
+    """part, kind, doc_id, text and n: rows dealt into parts in order, each ended by the document that follows its last (TAIL). Of equal rows that a task
+    reads together one is dealt in order; the next document of the others is itself, so they are one row with their number n, in any part (COPIES)."""
     rows = ordered(docs)
     n = common.parts(docs)
     step = max(1, docs.count() // SAMPLE_ROWS)
-    some = rows.select(ORDER).where(F.pmod(F.xxhash64("down", "salt"), F.lit(step)) == 0).toArrow()
+    some = rows.select(ORDER).where(F.pmod(F.xxhash64("down", "hash"), F.lit(step)) == 0).distinct().toArrow()
     keys = np.stack([some.column(c).to_numpy() for c in ORDER], axis=1)
     keys = keys[np.lexsort(keys.T[::-1])]
     cuts = np.unique(keys[np.linspace(0, len(keys) - 1, n + 1).astype(int)[1:-1]], axis=0) if len(keys) else keys  # in the rows' order
@@ -206,18 +226,26 @@ def with_next(docs: DataFrame) -> DataFrame:
     goes = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}  # a part's first document also closes the part before it
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "tail", *ORDER[2:], "doc_id", "text"]
-        for b in common.blocks(batches):
-            part = part_of(b)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), np.int32)), *(b.column(c) for c in names[2:])], names)
+        names = ["part", "kind", "hash", "doc_id", "text", "n"]
+        task = TaskContext.get().partitionId()
+
+        def rows_at(b: pa.RecordBatch, at: np.ndarray, part: np.ndarray, kind: int, n: np.ndarray) -> pa.RecordBatch:
+            some = b.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(len(at), kind, np.int32)), *(some.column(c) for c in names[2:5]), pa.array(n, pa.int64())], names)
+
+        for number, b in enumerate(common.blocks(batches)):
+            once, twice, n = repeats(b)
+            one = np.ones(len(b), np.int64)
+            yield rows_at(b, once, part_of(b)[once], OWN, one[once])
+            if len(twice):
+                yield rows_at(b, twice, (twice + 7919 * number + 104729 * task) % (len(cuts) + 1), COPIES, n)
             to = [goes.get(key) for key in zip(*(b.column(c).to_pylist() for c in ORDER), strict=True)]
-            at = [i for i, p in enumerate(to) if p is not None]
-            if at:
-                some = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array([to[i] for i in at], pa.int32()), pa.array(np.ones(len(at), np.int32)), *(some.column(c) for c in names[2:])], names)
+            at = np.array([i for i in once.tolist() if to[i] is not None], np.int64)
+            if len(at):
+                yield rows_at(b, at, np.array([to[i] for i in at.tolist()]), TAIL, one[at])
 
-    dealt = rows.mapInArrow(common.freed(deal), "part int, tail int, hash long, salt long, doc_id long, text string")
-    return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "hash", "salt").select("part", "tail", "doc_id", "text")
+    dealt = rows.mapInArrow(common.freed(deal), "part int, kind int, hash long, doc_id long, text string, n long")
+    return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "kind", F.col("doc_id").desc_nulls_last(), "hash").select("part", "kind", "doc_id", "text", "n")
 
 
 def edited(text: str, following: str) -> str:
@@ -229,34 +257,53 @@ def compared(docs: DataFrame) -> DataFrame:
     """For every row its fingerprint, its edited text's, and its likeness to that and to the next document's."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Lists of rows of about a block's size; the last of each is the first of the next, and of a part's last list its tail."""
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple[int, int, int]]]]:
+        """Documents (doc_id, text) of about a block's size with what to compare in them: a document, the next one, and for how many rows."""
         held, size, part = [], 0, None
+        copies, n_copies, much = [], [], 0
+        follow = lambda rows: (rows, [(k, k + 1, 1) for k in range(len(rows) - 1)])
+        apart = lambda: (copies, [(k, k, n) for k, n in enumerate(n_copies)])
         for b in batches:
-            for p, tail, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for p, kind, doc, text, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = text or ""
                 if p != part:
                     held, size, part = [], 0, p
-                if tail:
+                if kind == COPIES:
+                    copies.append((doc, text))
+                    n_copies.append(n)
+                    much += len(text)
+                    if much > common.BLOCK_BYTES // 2:
+                        yield apart()
+                        copies, n_copies, much = [], [], 0
+                elif kind == TAIL:
                     if held:
-                        yield [*held, (doc, text)]
+                        yield follow([*held, (doc, text)])
                     held = []
-                    continue
-                held.append((doc, text))
-                size += len(text)
-                if size > common.BLOCK_BYTES // 2 and len(held) > 1:
-                    yield held
-                    held, size = held[-1:], len(text)
+                else:
+                    held.append((doc, text))
+                    size += len(text)
+                    if size > common.BLOCK_BYTES // 2 and len(held) > 1:
+                        yield follow(held)
+                        held, size = held[-1:], len(text)
+        if copies:
+            yield apart()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in rows_of(batches):
+        for rows, asked in runs_of(batches):
             texts = [t for _, t in rows]
-            changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+            changed = [edited(texts[a], texts[b]) for a, b, _ in asked]
             both = of_texts([*texts, *changed])
-            own, new = both[: len(texts)], both[len(texts) :]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([d for d, _ in rows[:-1]], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                pa.array(hexes(own[:-1])), pa.array(hexes(new)), pa.array(likeness(own[:-1], new)), pa.array(likeness(own[:-1], own[1:])),
+            left, right, n = np.array(asked).T
+            own, new = both[left], both[len(texts) :]
+            found = pa.RecordBatch.from_arrays([
+                pa.array([rows[a][0] for a in left], pa.int64()), pa.array([len(texts[a]) for a in left], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
+                pa.array(hexes(own)), pa.array(hexes(new)), pa.array(likeness(own, new)), pa.array(likeness(own, both[right])),
             ], names)
+            if (n == 1).all():
+                yield found
+                continue
+            end = np.cumsum(n)
+            for at in range(0, int(end[-1]), OUT_ROWS):
+                yield found.take(pa.array(np.searchsorted(end, np.arange(at, min(at + OUT_ROWS, int(end[-1]))), "right")))
 
     return with_next(docs).mapInArrow(common.freed(scan), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -155,6 +155,8 @@ class Transducer:
             self.states.append(key)
             if to == len(self.next):
                 self.next = np.concatenate([self.next, np.full((max(1024, len(self.next) // 4), self.next.shape[1]), -1, np.int32)])
+        if not -8 <= gain < 8:  # what four bits hold
+            raise ValueError(f"the vocabulary changes a count by {gain} at one byte")
         self.next[state, symbol] = to * 16 + gain + 8
 
     def run(self, data: np.ndarray, flags: np.ndarray, start: np.ndarray, end: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
