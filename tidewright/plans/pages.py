@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import strings as S
 from tidewright.operators import boosting as B
 from tidewright.operators import control as C
+from tidewright.operators import lemmas as L
 from tidewright.operators import pages as P
 from tidewright.plans.registry import query
 from tidewright.sources.tables import table
@@ -81,6 +82,52 @@ def page_lemmas(spark, d):
     return P.lemmatised(words, "word", P.plurals(words)).groupBy("lemma").agg(F.count("*").alias("n"))
 
 
+ENDINGS = ("s", "es", "ed", "ing", "er", "en", "ly")
+_DICTIONARY = f"""o AS (SELECT unnest({_WORDS}) AS word FROM pages), u AS (SELECT word, count(*) AS n_pages FROM o GROUP BY word),
+f AS (SELECT word, length(e) AS k, left(word, length(word) - length(e)) AS stem FROM u, (SELECT unnest({list(ENDINGS)}) AS e) WHERE ends_with(word, e) AND length(word) >= 3 + length(e)),
+g AS (SELECT word, max(k) AS k FROM f WHERE stem IN (SELECT word FROM u) GROUP BY word),
+d AS (SELECT word, n_pages, left(word, length(word) - coalesce(k, 0)) AS lemma, ('0x' || left(md5(word), 4))::int % 100 < 67 AS known FROM u LEFT JOIN g USING (word)),
+p AS (SELECT word, lemma, list_max(list_filter(range(0, least(length(word), length(lemma)) + 1), lambda i: left(word, i) = left(lemma, i))) AS same FROM d WHERE known),
+c AS (SELECT right(word, k) AS suffix, CASE WHEN length(word) - k <= same THEN substr(lemma, length(word) - k + 1) END AS replacement, count(*) AS n FROM p, (SELECT unnest(range(1, {L.LONGEST + 1})) AS k) WHERE k <= length(word) GROUP BY ALL),
+r AS (SELECT suffix, replacement, n, CAST(sum(n) OVER (PARTITION BY suffix) AS BIGINT) AS n_words FROM c QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY replacement IS NULL, n DESC, replacement) = 1),
+rules AS (SELECT * FROM r WHERE replacement IS NOT NULL AND n >= {L.SUPPORT})"""
+_RULED = f"""{_DICTIONARY}, a AS (SELECT d.word, arg_max(replacement, k) AS ending, max(k) AS k FROM d, (SELECT unnest(range(1, {L.LONGEST + 1})) AS k), rules WHERE k <= length(word) AND suffix = right(word, k) GROUP BY d.word),
+ruled AS (SELECT d.*, coalesce(nullif(left(d.word, length(d.word) - a.k) || a.ending, ''), d.word) AS guess FROM d LEFT JOIN a USING (word))"""
+
+
+def page_dictionary(spark, d):
+    """word, n_pages (how often the pages have it), lemma as the pages attest it, and known: whether rules may learn from it (two words in three)."""
+    words = table(spark, d, "pages").select(F.explode(P.words_of(F.col("html"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_pages"))
+    words = C.saved(words)  # the pages are taken apart once
+    part = F.conv(F.left(F.md5(F.col("word").cast("binary")), F.lit(4)), 16, 10).cast("int") % 100
+    return words.join(L.attested(words, ENDINGS), "word").withColumn("known", part < 67)
+
+
+@query(f"WITH {_DICTIONARY} SELECT suffix, replacement, n, n_words FROM rules")
+def lemma_rules(spark, d):
+    """Suffix rules that two thirds of the pages' dictionary teach."""
+    return L.learned(page_dictionary(spark, d).where("known"))
+
+
+def ruled(spark, d):
+    words = C.saved(page_dictionary(spark, d))
+    return words.join(L.applied(words, L.learned(words.where("known"))).withColumnRenamed("lemma", "guess"), "word")
+
+
+@query(f"WITH {_RULED} SELECT known, count(*) AS n, count(*) FILTER (guess = lemma) AS n_right, count(*) FILTER (word = lemma) AS n_unchanged, round(count(*) FILTER (guess = lemma)::double / count(*), 6) AS accuracy FROM ruled GROUP BY known")
+def lemma_accuracy(spark, d):
+    """How often the rules give a word's lemma, for the words they learned from and for the others; beside it, how many words are their own."""
+    right = F.count_if(F.col("guess") == F.col("lemma"))
+    return ruled(spark, d).groupBy("known").agg(F.count("*").alias("n"), right.alias("n_right"), F.count_if(F.col("word") == F.col("lemma")).alias("n_unchanged"), F.round(right / F.count("*"), 6).alias("accuracy"))
+
+
+@query(f"WITH {_RULED} SELECT CASE WHEN known THEN lemma ELSE guess END AS lemma, CAST(sum(n_pages) AS BIGINT) AS n FROM ruled GROUP BY 1")
+def page_lemmas_learned(spark, d):
+    """Words by lemma: known words by the dictionary, the others by the rules it teaches."""
+    lemma = F.when(F.col("known"), F.col("lemma")).otherwise(F.col("guess"))
+    return ruled(spark, d).groupBy(lemma.alias("lemma")).agg(F.sum("n_pages").alias("n"))
+
+
 def marked(spark, d):
     """page_id, features, label: pages by URL and markup; 1 where the visible text has a run of three marks for every four words. No feature counts marks."""
     pages = table(spark, d, "pages")
