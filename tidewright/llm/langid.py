@@ -8,7 +8,7 @@ grams in all languages together. Beyond that the same model stays a table: each
 by order, and each document's grams with their costs. Both ways give the same results.
 
 A text's language is the one whose model has the lowest cross-entropy for each character. Its score is the
-posterior of that language, with a temperature fitted on a held-back fiftieth of the training documents, scored by a model without
+posterior of that language, with a temperature fitted on all documents of a held-back fold (a fiftieth of the training documents by their id), scored by a model without
 them. A text whose cross-entropy is above the REJECT quantile that its language has on these is marked as rejected. The final model
 counts them too.
 
@@ -36,8 +36,8 @@ from tidewright.llm import common
 ORDER = 4
 #: Grams of all languages that are collected and broadcast at most; 16 bytes each, and as much for their contexts at worst.
 BROADCAST_GRAMS = 4_000_000
-#: Documents that temperature and rejection are fitted on, at most.
-FIT_DOCS, REJECT = 4000, 0.995
+#: The quantile of rejection, the steps its histogram has, and what temperatures are tried.
+REJECT, STEP, TEMPERATURES = 0.995, 0.001, np.geomspace(0.005, 1, 24).tolist()
 WORDS = regex.compile(r"\p{L}+").findall
 U = np.uint64
 MAX_PIECES, MAX_KNOWN = 400_000, 1_000_000
@@ -175,12 +175,6 @@ class Scorer:
         return common.sums(self.table[code], starts) / np.maximum(n, 1)[:, None], n
 
 
-def posterior(entropy: np.ndarray, temperature: float) -> np.ndarray:
-    odds = -(entropy - entropy.min(axis=1, keepdims=True)) / temperature
-    p = np.exp(odds)
-    return p / p.sum(axis=1, keepdims=True)
-
-
 def models_of(counts: DataFrame, column: str, langs: list[str]) -> dict[str, KneserNey]:
     """The model of each language as arrays. counts: at most BROADCAST_GRAMS rows."""
     every = counts.where(F.col(column) > 0).select("lang", "gram", F.col(column).alias("n")).toArrow()
@@ -213,6 +207,27 @@ def tables_of(counts: DataFrame, column: str, langs: list[str]) -> dict:
     return {"orders": orders, "floor": [floor.get(k + 1, 1.0) for k in range(len(langs))]}
 
 
+def fitted(scored: DataFrame, langs: list[str]) -> dict:
+    """temperature and limits from all rows of scored (lang, entropy by langs): the temperature of TEMPERATURES with the least mean loss, and for each language the REJECT quantile of the entropies of its
+    rows that are read right, in steps of STEP, where there are 20. Sums and a histogram of each language come to the driver."""
+    scored = scored.withColumn("k", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")).where("k > 0")  # lang is the name of a language with a model
+    scored = common.kept(scored.select("k", F.transform("entropy", lambda e: e - F.array_min("entropy")).alias("over"), F.array_min("entropy").alias("low")), "scored")
+    own = F.element_at("over", F.col("k"))
+    odds = lambda t: F.aggregate("over", F.lit(0.0), lambda a, e: a + F.exp(-e / t))
+    loss = [F.avg(F.least(own / t + F.log(odds(t)), F.lit(-np.log(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
+    losses = scored.agg(*loss).first()
+    out = {"limits": {}}
+    if losses[0] is not None:
+        out["temperature"] = float(TEMPERATURES[int(np.argmin(losses))])
+    right = scored.where(F.array_position("over", 0.0) == F.col("k")).groupBy("k", F.floor(F.col("low") / STEP).alias("step")).agg(F.count("*").alias("n")).toPandas()
+    for k, mine in right.sort_values("step").groupby("k"):
+        upto = mine["n"].cumsum().to_numpy()
+        if upto[-1] >= 20:
+            at = int(np.searchsorted(upto, REJECT * upto[-1]))
+            out["limits"][langs[k - 1]] = float((mine["step"].iloc[at] + 1) * STEP) + 0.05
+    return out
+
+
 def train(docs: DataFrame) -> dict:
     """The model of docs' text and lang: what identify() takes."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -226,21 +241,9 @@ def train(docs: DataFrame) -> dict:
     small = sum(r.n for r in found) <= BROADCAST_GRAMS
     made = models_of if small else tables_of
     first = [x for x in langs if any(r.lang == x and r.rest for r in found)]
-    share = known.where(held).select("lang", "text")
-    n_fit = max(1, share.count())
-    sample = share.where(F.rand(1) < FIT_DOCS / n_fit) if n_fit > FIT_DOCS else share
-    scored = entropies(sample, made(counts, "rest", first)).where("n > 0").limit(FIT_DOCS).toPandas() if first else ()
-    if len(scored):
-        entropy = np.stack(scored["entropy"].to_numpy())
-        truth = np.array([first.index(x) if x in first else -1 for x in scored["lang"]])
-        ok = truth >= 0
-        grid = np.geomspace(0.005, 1, 24)
-        loss = [-np.log(np.maximum(posterior(entropy[ok], t)[np.arange(ok.sum()), truth[ok]], 1e-12)).mean() if ok.any() else 0 for t in grid]
-        model["temperature"] = float(grid[int(np.argmin(loss))])
-        best = entropy.argmin(axis=1)
-        for k, lang in enumerate(first):
-            if (mine := entropy[ok & (truth == k) & (best == k), k]).size >= 20:
-                model["limits"][lang] = float(np.quantile(mine, REJECT)) + 0.05
+    if first:
+        model |= fitted(entropies(known.where(held).select("lang", "text"), made(counts, "rest", first)).where("n > 0"), first)
+        model["limits"] = {x: model["limits"].get(x, np.inf) for x in langs}
     model["models"] = made(counts, "n", langs)
     common.give_back()
     return model
