@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,14 +48,46 @@ def box(df: DataFrame, key: list[str], size: int) -> DataFrame:
     return df.withColumn("smooth", F.sum("v").over(ordered(key).rowsBetween(-half, half)) / size)
 
 
-def box_sweep(df: DataFrame, key: list[str], sizes) -> DataFrame:
-    """Mean square difference between smoothed and own values, for each size: one sort serves all sizes, and running sums any width."""
-    w = ordered(key)
-    df = df.withColumns({"upto": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    smooth = lambda s: (F.coalesce(F.lead("upto", s // 2).over(w), "all") - F.coalesce(F.lag("upto", s // 2 + 1).over(w), F.lit(0.0))) / s
-    each = F.array(*(F.struct(F.lit(s).cast("long").alias("size"), smooth(s).alias("smooth")) for s in sizes))
-    rows = df.withColumn("each", each).select("v", F.explode("each").alias("e"))
-    return rows.groupBy("e.size").agg(F.avg((F.col("e.smooth") - F.col("v")) * (F.col("e.smooth") - F.col("v"))).alias("mse"))
+def box_sweep(df: DataFrame, key: list[str], sizes, block: int = 1 << 16) -> DataFrame:
+    """Mean square difference between smoothed and own values, for each (odd) size. Series are cut into blocks of places, each with what the widest box needs on both sides, so that a long series is
+    many tasks' work too; each task gives one sum a size. Keys are told apart by 64 bits of a hash."""
+    sizes, widest = list(sizes), max(sizes) // 2
+    wide = max(block, widest)
+    place = F.floor(F.col("t") / wide)
+    near = F.array(F.struct(place.alias("block"), F.lit(True).alias("own")), *(F.struct((place + by).alias("block"), F.lit(False).alias("own")) for by in (-1, 1)))
+    within = lambda x: x["own"] | ((F.col("t") < (x["block"] + 1) * wide + widest) & (F.col("t") >= x["block"] * wide - widest))
+    rows = df.select(*key, "t", F.col("v").cast("double").alias("v"), F.explode(F.filter(near, within)).alias("x")).select(*key, "t", "v", "x.block", "x.own")
+
+    half, width = np.array(sizes) // 2, np.array(sizes, float)
+
+    def add(frame: pd.DataFrame, s: np.ndarray) -> int:
+        g, t, mine, v = (frame[c].to_numpy() for c in ("g", "t", "mine", "v"))
+        first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (frame["block"].to_numpy()[1:] != frame["block"].to_numpy()[:-1])))
+        last = np.append(first[1:], len(g)) - 1
+        room = t[last] - t[first] + widest + 1  # zeros, as places outside a series are, keep neighbours apart
+        at = t - np.repeat(t[first] - (np.cumsum(room) - room) - widest - 1, last - first + 1)
+        filled = np.zeros(int(room.sum()) + 2 * widest + 2)
+        filled[at] = v
+        upto, i, x = np.cumsum(filled), at[mine], v[mine]
+        for k in range(0, len(i), 1024):
+            j = i[k : k + 1024, None]
+            s += np.square((upto[j + half] - upto[j - half - 1]) / width - x[k : k + 1024, None]).sum(axis=0)
+        return len(i)
+
+    def swept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, n, rest = np.zeros(len(sizes)), 0, None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            open_ = (frame["g"] == frame["g"].iloc[-1]) & (frame["block"] == frame["block"].iloc[-1]) if len(frame) else np.zeros(0, bool)
+            whole, rest = frame[~open_], frame[open_]  # the last block may go on
+            n += add(whole, s) if len(whole) else 0
+        n += add(rest, s) if rest is not None and len(rest) else 0
+        yield pd.DataFrame({"size": sizes, "n": n, "s": s})
+
+    known = rows.where("v is not null").select(F.xxhash64(*key).alias("g"), "block", "t", "v", F.col("own").alias("mine"), *(F.col(k).alias(f"_{k}") for k in key))  # a null adds nothing to its neighbours
+    dealt = known.repartition("g", "block").sortWithinPartitions("g", *(f"_{k}" for k in key), "block", "t").select("g", "block", "t", "v", "mine")
+    sums = dealt.mapInPandas(swept, "size long, n long, s double")
+    return sums.groupBy("size").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mse"))
 
 
 def with_ends(df: DataFrame, column: str) -> DataFrame:
