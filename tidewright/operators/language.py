@@ -13,6 +13,8 @@ from tidewright.operators.control import saved
 
 #: Cost of what a model has never seen.
 UNSEEN = 100.0
+#: Terms that are sent to all tasks, at most, to pick a corpus's n-grams.
+MOST_ASKED = 500_000
 
 
 def unigrams(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -67,9 +69,15 @@ def generated(starts: DataFrame, words: DataFrame, steps: int, seed: int = 0) ->
     return out
 
 
+def few(terms: DataFrame) -> DataFrame:
+    """Distinct terms, computed once, that go to a corpus if there are at most MOST_ASKED; else it is shuffled to them."""
+    terms = saved(terms)
+    return F.broadcast(terms) if terms.count() <= MOST_ASKED else terms
+
+
 def asked_models(queries: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """unigrams() and bigrams() of words as far as query_cost() of the queries (key, w) needs them."""
-    terms = queries.select(F.explode("w").alias("term")).distinct()
+    terms = few(queries.select(F.explode("w").alias("term")).distinct())
     return unigrams(words, terms), bigrams(words, terms.withColumnRenamed("term", "w1"))
 
 

@@ -14,9 +14,6 @@ from tidewright.plans.registry import query
 from tidewright.plans.text import whole_queries
 from tidewright.sources.tables import table
 
-#: Terms that are sent to all tasks, at most, to pick a corpus's n-grams.
-MOST_ASKED = 500_000
-
 CAND = DOCS + """, typed AS (SELECT DISTINCT left(t, 1) || substr(t, 3) AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+')) AS t FROM benchmark)),
 dict AS (SELECT term, cost FROM uni WHERE n >= 5),
 cand AS (SELECT word, term, levenshtein(word, term) AS distance, cost FROM typed JOIN dict ON abs(length(word) - length(term)) <= 1 WHERE levenshtein(word, term) <= 1)
@@ -29,8 +26,8 @@ def typed(spark, d):
 
 
 def dictionary(spark, d):
-    """Terms that occur at least 5 times, with their costs."""
-    return L.unigrams(words(spark, d)).where("n >= 5")
+    """Terms that occur at least 5 times, with their costs; counted once, however often it is used."""
+    return C.saved(L.unigrams(words(spark, d)).where("n >= 5"))
 
 
 def candidates(spark, d):
@@ -89,9 +86,9 @@ def spell_chain(spark, d):
     """Cheapest sentences from each word's candidates, by dynamic programming over positions; a word without candidates stays."""
     w = whole_queries(spark, d).select(F.col("item_id").alias("key"), F.posexplode(F.split("q", " ")).alias("pos", "t"))
     typed_ = w.select("key", "pos", F.concat(F.substring("t", 1, 1), F.expr("substring(t, 3)")).alias("word"))
-    c = typed_.join(candidates(spark, d).select("word", "term"), "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term"))
+    c = C.saved(typed_.join(candidates(spark, d).select("word", "term"), "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term")))
     known = words(spark, d)
-    asked = c.select("term").distinct()
+    asked = L.few(c.select("term").distinct())
     return L.best_chain(c, L.unigrams(known, asked), L.bigrams(known, asked.withColumnRenamed("term", "w1"))).select("key", F.round("cost", 5).alias("cost"))
 
 
@@ -118,14 +115,14 @@ def misspelt_items(spark, d):
 @query()
 def spell_searched(spark, d):
     """What the learned errors make of each misspelt word, best first: up to 8 terms."""
-    found = K.best_matches(misspelt_items(spark, d).select("word"), C.saved(dictionary(spark, d)), learned(spark, d))
+    found = K.best_matches(misspelt_items(spark, d).select("word"), dictionary(spark, d), learned(spark, d))
     return found.select("word", "term", F.round("lm", 6).alias("lm"), F.round("err", 6).alias("err"), "rank")
 
 
 @query()
 def spell_accuracy(spark, d):
     """Of the words that are misspelt and whose right form the dictionary has: how many the search gives first, and at all."""
-    known = C.saved(dictionary(spark, d))
+    known = dictionary(spark, d)
     w = misspelt_items(spark, d).where("word <> t").select("word", "t").join(known.select(F.col("term").alias("t")), "t", "left_semi")
     found = K.best_matches(w.select("word"), known, learned(spark, d)).select("word", F.col("term").alias("t"), "rank")
     return w.join(found, ["word", "t"], "left").agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 1).alias("first"), F.count("rank").alias("listed"))
@@ -137,16 +134,14 @@ def spell_corrected(spark, d):
     language model alone; errors learned from other texts only choose the terms (limit 6, 8 terms, 3 apart). A word without terms stays, and so does a text where all are too unlikely."""
     w = misspelt_items(spark, d)
     texts = w.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("q"))
-    short = K.best_matches(w.select("word"), C.saved(dictionary(spark, d)), learned(spark, d)).select("word", "term")
+    short = K.best_matches(w.select("word"), dictionary(spark, d), learned(spark, d)).select("word", "term")
     c = C.saved(w.select("key", "pos", "word").join(short, "word", "left").select("key", "pos", F.coalesce("term", "word").alias("term")))
     q = F.col("q")
     gens = F.concat(F.array(q), S.layout_variants(q), S.join_variants(q), S.split_variants(q))
     v = texts.select("key", F.posexplode(gens).alias("gen", "variant"))
     asked = v.select(F.struct("key", "gen").alias("key"), S.tokens(F.col("variant")).alias("w"))
     corpus = words(spark, d)
-    terms = C.saved(c.select("term").union(asked.select(F.explode("w"))).distinct())
-    if terms.count() <= MOST_ASKED:
-        terms = F.broadcast(terms)  # else the corpus is shuffled to them
+    terms = L.few(c.select("term").union(asked.select(F.explode("w"))).distinct())
     uni, big = C.saved(L.unigrams(corpus, terms)), C.saved(L.bigrams(corpus, terms.withColumnRenamed("term", "w1")))  # both serve variants and chains
     priced = L.query_cost(asked, uni, big).select(F.col("key.key").alias("key"), F.col("key.gen").alias("gen"), "cost").join(v, ["key", "gen"]).select("key", "gen", "variant", "cost")
     chains = L.best_chain(c, uni, big).select("key", F.lit(1 << 30).alias("gen"), F.col("chain").alias("variant"), "cost")
