@@ -1,11 +1,12 @@
 """What a key-value server answers on each connection, as three chained stateful operators.
 
 reads (conn, seq, data) are what arrives, in order of seq over all connections; a read may hold part of a command, or several. The first operator, by connection, completes commands
-and numbers them. The second, by key, is the store: it applies what a batch brings in order of arrival, through the table of handlers, and answers each part of a command. The
+and numbers them. The second, by groups of keys, is the store: it applies what a batch brings in order of arrival, through the table of handlers, and answers each part of a command. The
 third, by connection, holds answers back until all parts of the next command are there, and emits replies in the order of the requests, each ending in CR LF.
 
 As on a server, what counts between connections is arrival: batch by batch, and by seq within a batch. Rows without conn or data are left out; an unknown verb, a malformed line and a verb that
-is parsed but not supported are answered by an error and the connection goes on. State is kept by RocksDB: see state_by_rocksdb().
+is parsed but not supported are answered by an error and the connection goes on. State is kept by RocksDB: see state_by_rocksdb(). A call for it costs about as much as ten rows, so rows come as
+frames, and a batch reads and writes each key's value once.
 """
 
 from __future__ import annotations
@@ -13,18 +14,22 @@ from __future__ import annotations
 import contextlib
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
-from tidewright.operators.control import shared_folder
+from tidewright.operators.control import saved, shared_folder
 from tidewright.streaming.commands import END, complete
 
 OUT = "conn string, n long, reply string"
 PARTS = "conn string, n long, at long, pos int, of int, place string, verb string, key string, body string"
 ANSWERS = "conn string, n long, pos int, of int, verb string, text string"
+#: Rows of a frame that an operator emits.
+FRAME = 10_000
 
 
 class Store(Protocol):
@@ -102,21 +107,34 @@ def served(chunks: list[tuple[str, int, str]], store: Store | None = None) -> di
     return out
 
 
+def framed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    some = []
+    for row in rows:
+        some.append(row)
+        if len(some) == FRAME:
+            yield pd.DataFrame(some, columns=columns)
+            some = []
+    yield pd.DataFrame(some, columns=columns)
+
+
 class Commands(StatefulProcessor):
     """By connection: what its bytes complete."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rest = handle.getValueState("rest", "rest string, n long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        yield from framed(self.found(key[0], pd.concat(rows).sort_values("seq", kind="stable")), ["conn", "n", "at", "pos", "of", "place", "verb", "key", "body"])
+
+    def found(self, conn: str, frame: pd.DataFrame) -> Iterator[tuple]:
         rest, n = self.rest.get() if self.rest.exists() else ("", 0)
-        for r in sorted(rows, key=lambda r: r.seq):
-            found, rest = complete(rest + r.data)
+        for seq, data in zip(frame["seq"], frame["data"], strict=True):
+            found, rest = complete(rest + data)
             for verb, args, body, error in found:
                 own = parts(verb, args, body, error)
                 for pos, (does, name, text) in enumerate(own):
-                    place = f"-{key[0]}" if name is None else f"={name}"  # what needs no key goes by its connection
-                    yield Row(conn=key[0], n=n, at=r.seq, pos=pos, of=len(own), place=place, verb=does, key=name, body=text)
+                    place = f"-{conn}" if name is None else f"={name}"  # what needs no key goes by its connection
+                    yield conn, n, seq, pos, len(own), place, does, name, text
                 n += 1
         self.rest.update((rest, n))
 
@@ -124,73 +142,102 @@ class Commands(StatefulProcessor):
         pass
 
 
-class Keys(StatefulProcessor):
-    """By key: its value, which is the store that handlers see."""
+class Loaded(Held):
+    """The store that handlers see during a batch: values are read from state when they are first asked for, and those that changed go back at the end."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "value string")
+    def __init__(self, state: MapState):
+        super().__init__()
+        self.state, self.before = state, {}
+
+    def load(self, key: str) -> None:
+        if key not in self.before:
+            found = self.state.getValue((key,))
+            self.before[key] = None if found is None else found[0]
+            if found is not None:
+                self.values[key] = found[0]
 
     def get(self, key: str) -> str | None:
-        return self.value.get()[0] if self.value.exists() else None
+        self.load(key)
+        return super().get(key)
 
     def put(self, key: str, value: str) -> None:
-        self.value.update((value,))
+        self.load(key)
+        super().put(key, value)
 
     def delete(self, key: str) -> bool:
-        there = self.value.exists()
-        self.value.clear()
-        return there
+        self.load(key)
+        return super().delete(key)
+
+    def save(self) -> None:
+        for key, old in self.before.items():
+            new = self.values.get(key)
+            if new is None and old is not None:
+                self.state.removeKey((key,))
+            elif new != old:
+                self.state.updateValue((key,), (new,))
+
+
+class Keys(StatefulProcessor):
+    """By groups of keys: their values."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getMapState("values", "key string", "value string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: (r.at, r.n, r.pos)):
-            text = r.body if r.key is None else HANDLERS[r.verb](self, r.key, r.body)
-            yield Row(conn=r.conn, n=r.n, pos=r.pos, of=r.of, verb=r.verb, text=text)
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame, store = pd.concat(rows).sort_values(["at", "n", "pos"]), Loaded(self.values)
+        texts = [body if verb == "say" else HANDLERS[verb](store, name, body) for verb, name, body in zip(frame["verb"], frame["key"], frame["body"], strict=True)]
+        store.save()
+        yield frame[["conn", "n", "pos", "of", "verb"]].assign(text=texts)
 
     def close(self) -> None:
         pass
 
 
 class InOrder(StatefulProcessor):
-    """By connection: answers wait until theirs is the next reply and all its parts are there."""
+    """By connection: answers wait until theirs is the next reply and all its parts are there. Beside the next one's number is how many wait: as a rule none, and then none is looked for."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "n long")
+        self.next = handle.getValueState("next", "n long, held long")
         self.waiting = handle.getMapState("waiting", "n long", "parts string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        n = self.next.get()[0] if self.next.exists() else 0
-        fresh: dict[int, list] = {}
-        for r in rows:
-            fresh.setdefault(r.n, []).append((r.pos, r.of, r.verb, r.text))
-        for k in list(fresh):
-            if self.waiting.containsKey((k,)):
-                fresh[k] += map(tuple, json.loads(self.waiting.getValue((k,))[0]))
-                self.waiting.removeKey((k,))
-        while True:
-            got = fresh.pop(n, None)
-            if got is None and self.waiting.containsKey((n,)):
-                got = [tuple(x) for x in json.loads(self.waiting.getValue((n,))[0])]
-                self.waiting.removeKey((n,))
-            if not got or len(got) < got[0][1]:
-                if got:
-                    fresh[n] = got
-                break
-            yield Row(conn=key[0], n=n, reply=reply(got[0][2], [text for _, _, _, text in sorted(got)]))
-            n += 1
-        for k, got in fresh.items():
-            self.waiting.updateValue((k,), (json.dumps(got),))
-        self.next.update((n,))
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        yield from framed(((key[0], n, text) for n, text in self.given(pd.concat(rows).sort_values(["n", "pos"]))), ["conn", "n", "reply"])
+
+    def given(self, frame: pd.DataFrame) -> Iterator[tuple[int, str]]:
+        n, held = self.next.get() if self.next.exists() else (0, 0)
+        for k, own in groupby(zip(*(frame[c].tolist() for c in ("n", "pos", "of", "verb", "text")), strict=True), key=lambda r: r[0]):
+            got = [r[1:] for r in own]
+            if held and (before := self.taken(k)):
+                got, held = got + before, held - 1
+            while k == n and got and len(got) == got[0][1]:
+                yield n, reply(got[0][2], [text for _, _, _, text in sorted(got)])
+                k, n = n + 1, n + 1
+                got = self.taken(n) if held else []  # what waited for this one
+                held -= bool(got)
+            if got:
+                self.waiting.updateValue((k,), (json.dumps(got),))
+                held += 1
+        self.next.update((n, held))
+
+    def taken(self, n: int) -> list[tuple[int, int, str, str]]:
+        """The parts that wait for the n-th reply, which do so no more."""
+        found = self.waiting.getValue((n,))
+        if found is None:
+            return []
+        self.waiting.removeKey((n,))
+        return [tuple(x) for x in json.loads(found[0])]
 
     def close(self) -> None:
         pass
 
 
-def replies(reads: DataFrame) -> DataFrame:
-    """A stream of reads (conn, seq, data) to a stream of conn, n (from 0) and reply."""
+def replies(reads: DataFrame, groups: int = 64) -> DataFrame:
+    """A stream of reads (conn, seq, data) to a stream of conn, n (from 0) and reply; the store's keys are in so many groups, as long as the stream lives."""
     known = reads.where("conn is not null and data is not null").select("conn", "seq", "data")
-    found = known.groupBy("conn").transformWithState(Commands(), PARTS, "Append", "None")
-    answers = found.groupBy("place").transformWithState(Keys(), ANSWERS, "Append", "None")
-    return answers.groupBy("conn").transformWithState(InOrder(), OUT, "Append", "None")
+    found = known.groupBy("conn").transformWithStateInPandas(Commands(), PARTS, "Append", "None")
+    dealt = found.withColumn("place", F.pmod(F.xxhash64("place"), F.lit(groups)))
+    answers = dealt.groupBy("place").transformWithStateInPandas(Keys(), ANSWERS, "Append", "None")
+    return answers.groupBy("conn").transformWithStateInPandas(InOrder(), OUT, "Append", "None")
 
 
 @contextlib.contextmanager
@@ -210,17 +257,19 @@ def state_by_rocksdb(spark: SparkSession, partitions: int | None = None) -> Iter
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def answer(reads: DataFrame, starts: int = 3, part_rows: int = 25_000) -> DataFrame:
-    """The replies to the reads (conn, seq, data) of a table, which reach the stream in so many pieces, by seq; the stream stops after each and goes on from its checkpoint. State has a partition for about
-    part_rows reads, as a stream keeps its number of partitions. Runs the stream."""
+def answer(reads: DataFrame, starts: int = 3, part_rows: int = 25_000, most_rows: int = 200_000) -> DataFrame:
+    """The replies to the reads (conn, seq, data) of a table, which reach the stream in about so many equal pieces, by seq; the stream stops after each and goes on from its checkpoint. State has a partition
+    for about part_rows reads or, beyond two for each core, for most_rows, as a stream keeps its number of partitions and each costs a task of each operator in each piece. Runs the stream."""
     spark = reads.sparkSession
     place = shared_folder(spark, "replies")
-    cuts = reads.agg(F.percentile("seq", [k / starts for k in range(1, starts)])).first()[0] or []
-    piece = sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0))
-    with state_by_rocksdb(spark, max(2, -(-reads.count() // part_rows))):
+    reads = saved(reads)
+    n, cuts = reads.agg(F.count("*"), F.percentile_approx("seq", [k / starts for k in range(1, starts)], 1000) if starts > 1 else F.lit(None)).first()
+    piece = sum(((F.col("seq") > c).cast("int") for c in cuts or []), F.lit(0))
+    partitions = max(2, min(-(-n // part_rows), 2 * spark.sparkContext.defaultParallelism), -(-n // most_rows))
+    with state_by_rocksdb(spark, partitions):
         for k in range(starts):
             reads.where(piece == k).write.mode("append").parquet(f"{place}/in")
             stream = spark.readStream.schema(reads.schema).parquet(f"{place}/in")
-            run = replies(stream).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+            run = replies(stream, 8 * partitions).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
             run.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{place}/out")
