@@ -102,3 +102,22 @@ def test_junk_pages(spark):
     assert 0.02 < known.agg({"label": "avg"}).first()[0] < 0.9
     q = pages.page_spam_quality(spark, "/root/testdata/sf0.01").first()
     assert q.n == new.count() and q.accuracy > 0.85 and q.f1 > 0.5
+
+
+def test_a_page_is_read_once(spark):
+    from tidewright.plans import pages
+
+    for df in (pages.marked(spark, "/root/testdata/sf0.001"), pages.page_features(spark, "/root/testdata/sf0.001")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("<head") == 1
+
+
+def test_pages_of_six_gigabytes_need_no_exchange():
+    assert B.tasks_of(520_000, 12) == 1
+
+
+def test_features_with_one_bin(spark, rows):
+    def model(rows, shift):
+        found = B.train(spark.createDataFrame(rows, SCHEMA), trees=3).collect()
+        return [(r.tree, r.node, None if r.feature is None else r.feature - shift, r.threshold, None if r.value is None else round(r.value, 9)) for r in found]
+
+    assert model([(k, [0.0, *x, 7.0], y, s) for k, x, y, s in rows], 1) == model(rows, 0)

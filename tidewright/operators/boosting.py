@@ -2,7 +2,8 @@
 
 Each task holds a share of the training rows, TASK_ROWS at most, as the bins of their features. A level of a tree needs the sums of gradients and hessians by node, feature and bin; tasks
 exchange theirs by allGather and add them in the tasks' order, so all come to the same sums and the same splits, and no row moves. The whole ensemble is one
-barrier stage: should a task be lost, the stage begins anew and gives the same trees. An exchange takes about a second whatever its size; rows that fit one task need none.
+barrier stage: should a task be lost, the stage begins anew and gives the same trees. An exchange takes about a second whatever its size, and each tree needs `depth` of them, which is more than what
+4 million rows take one task; so by default one task trains. A feature that has one bin in a task is not summed by bin there.
 
 Training takes at most `most_rows` rows, those of the least hash where there are more: a model is fitted to a bounded, documented sample. Scoring is a plain map over any
 number of rows. The model is a table (tree, node, feature, threshold, value): node n has children 2n + 1 (feature < threshold) and 2n + 2; a leaf has no feature.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 MODEL = "tree int, node int, feature int, threshold double, value double"
 #: Rows of training, and rows for a task of it.
-MOST_ROWS, TASK_ROWS = 4_000_000, 500_000
+MOST_ROWS, TASK_ROWS = 4_000_000, 4_000_000
 
 
 def clean(column: str = "features"):
@@ -38,6 +39,11 @@ def filled(column, n: int):
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.get(column, k), F.lit(0.0)))
 
 
+def tasks_of(n: int, slots: int) -> int:
+    """How many tasks train n rows."""
+    return max(1, min(slots, -(-n // TASK_ROWS)))
+
+
 def bin_edges(rows: DataFrame, n_features: int, bins: int) -> list[np.ndarray]:
     """Thresholds between bins of each feature: exact quantiles, each once; below the first is bin 0."""
     shares = [k / bins for k in range(1, bins)]
@@ -70,7 +76,7 @@ def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1,
     n_features = max(1, known.agg(F.max(F.size("features"))).first()[0])
     known = known.withColumn("features", filled("features", n_features))
     edges = bin_edges(known, n_features, bins)
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-min(n, most_rows) // TASK_ROWS)))
+    tasks = tasks_of(min(n, most_rows), spark.sparkContext.defaultParallelism)
     width = max(map(len, edges), default=0) + 1
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +87,9 @@ def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1,
             x.append(np.stack([np.searchsorted(e, values[:, k], "right") for k, e in enumerate(edges)], axis=1).astype(np.uint8))
             y.append(b.column("label").to_numpy().astype(np.float64))
         x, y = np.concatenate(x), np.concatenate(y)
-        margin, columns = np.zeros(len(y)), [x[:, f].astype(np.intp) for f in range(n_features)]
+        margin, every, cells = np.zeros(len(y)), np.arange(len(y)), np.empty(len(y), np.intp)
+        alone = [int(c[0]) if len(c) and (c == c[0]).all() else None for c in x.T]  # the only bin of a feature that has one here
+        columns, flat = [c.astype(np.intp) if k is None else None for c, k in zip(x.T, alone, strict=True)], np.ravel(x, "F")
         out = []
 
         def summed(own: np.ndarray) -> np.ndarray:
@@ -93,42 +101,45 @@ def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1,
         for tree in range(trees):
             p = 1 / (1 + np.exp(-margin))
             weights = (p - y, p * (1 - p))
-            at = np.zeros(len(y), np.int64)  # a row's node, or -1 in a leaf
-            nodes, gone = [0], np.zeros(len(y))
+            at = np.zeros(len(y), np.intp)  # a row's node
+            nodes, gone = [0], np.zeros(2 ** (depth + 1) - 1)  # what a node gives, if it is a leaf
             for level in range(depth):
-                rank = np.full(2 ** (level + 1), -1)
-                rank[np.array(nodes) - (2**level - 1)] = np.arange(len(nodes))
-                live = at >= 0
-                first = np.where(live, rank[at - (2**level - 1)], 0) * width
-                masked = [np.where(live, w, 0.0) for w in weights]
-                own = np.empty((2, len(nodes), n_features, width))
+                n_cells = len(nodes) * width
+                rank = np.full(len(gone), len(nodes))  # rows in leaves go to cells behind the others
+                rank[nodes] = np.arange(len(nodes))
+                ranked = rank[at]
+                first = ranked * width
+                totals_here = [np.bincount(ranked, w, len(nodes) + 1)[:-1] for w in weights]
+                own = np.zeros((2, len(nodes), n_features, width))
                 for f, column in enumerate(columns):
-                    cells = first + column
-                    for k, w in enumerate(masked):
-                        own[k, :, f] = np.bincount(cells, w, len(nodes) * width).reshape(-1, width)
+                    if column is None:
+                        own[:, :, f, alone[f]] = totals_here
+                        continue
+                    np.add(first, column, out=cells)
+                    for k, w in enumerate(weights):
+                        own[k, :, f] = np.bincount(cells, w, n_cells + width)[:n_cells].reshape(-1, width)
                 g, h = summed(own)
                 below, totals = [], {}
+                by, last, to = np.zeros(len(gone), np.intp), np.zeros(len(gone), np.intp), np.repeat(np.arange(len(gone)), 2)
                 for k, (node, split) in enumerate(zip(nodes, best_splits(g, h, l2, least_weight), strict=True)):
-                    here = np.flatnonzero(at == node)
                     if split is None:
-                        value = -rate * float(g[k, 0].sum()) / (float(h[k, 0].sum()) + l2)
-                        out.append((tree, node, None, None, value))
-                        gone[here], at[here] = value, -1
+                        gone[node] = -rate * float(g[k, 0].sum()) / (float(h[k, 0].sum()) + l2)
+                        out.append((tree, node, None, None, float(gone[node])))
                         continue
                     f, b = split
                     out.append((tree, node, f, float(edges[f][b]), None))
-                    at[here] = 2 * node + 1 + (x[here, f] > b)
+                    by[node], last[node], to[2 * node : 2 * node + 2] = f * len(y), b, (2 * node + 1, 2 * node + 2)
                     for child, part in ((2 * node + 1, slice(None, b + 1)), (2 * node + 2, slice(b + 1, None))):
                         below.append(child)
                         totals[child] = float(g[k, f, part].sum()), float(h[k, f, part].sum())
+                at = to[2 * at + (flat[by[at] + every] > last[at])]
                 nodes = below
                 if not nodes:
                     break
             for node in nodes:
-                value = -rate * totals[node][0] / (totals[node][1] + l2)
-                out.append((tree, node, None, None, value))
-                gone[at == node] = value
-            margin += gone
+                gone[node] = -rate * totals[node][0] / (totals[node][1] + l2)
+                out.append((tree, node, None, None, float(gone[node])))
+            margin += gone[at]
         if context.partitionId() == 0:
             columns = list(zip(*out, strict=True))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())

@@ -28,8 +28,15 @@ def anchor_length(html: Column) -> Column:
     return F.aggregate(F.transform(anchors, lambda a: F.length(F.regexp_replace(a, "(?s)<[^>]*>", ""))), F.lit(0), lambda a, n: a + n).cast("long")
 
 
-def html_features(html: Column, frequent: list[str]) -> dict[str, Column]:
-    words = S.alnum_tokens(S.visible_text(html))
+def read_once(pages: DataFrame) -> DataFrame:
+    """pages (with html) with text and words, each computed once for all that is made of them."""
+    return pages.withColumn("text", S.visible_text(F.col("html"))).withColumn("words", S.alnum_tokens(F.col("text")))
+
+
+def html_features(html: Column, frequent: list[str], text: Column | None = None, words: Column | None = None) -> dict[str, Column]:
+    """Of columns of read_once(), if given: else the text is made anew for most of them."""
+    text = S.visible_text(html) if text is None else text
+    words = S.alnum_tokens(text) if words is None else words
     known = F.array(*map(F.lit, frequent))
     n = F.size(words)
     share = F.size(F.filter(words, lambda w: F.array_contains(known, w))) / n
@@ -40,7 +47,7 @@ def html_features(html: Column, frequent: list[str]) -> dict[str, Column]:
         "scripts": F.regexp_count(html, F.lit(r"(?i)<script\b")).cast("long"),
         "images": F.regexp_count(html, F.lit(r"(?i)<img\b")).cast("long"),
         "anchor_chars": anchor_length(html),
-        "visible_ratio": F.round(F.coalesce(F.try_divide(F.length(html), F.length(S.visible_text(html))), F.lit(0.0)), 6),
+        "visible_ratio": F.round(F.coalesce(F.try_divide(F.length(html), F.length(text)), F.lit(0.0)), 6),
         "frequent_share": F.when(n > 0, F.round(share, 6)).otherwise(0.0),
         "frequent_cover": F.round(F.size(F.array_intersect(known, words)) / len(frequent), 6),
     }

@@ -50,7 +50,8 @@ coalesce(round(length(html)::double / nullif(length(vis), 0), 6), 0) AS visible_
 CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains({_KNOWN}, x)))::double / len(w), 6) ELSE 0 END AS frequent_share,
 round(len(list_intersect({_KNOWN}, w))::double / {len(FREQUENT)}, 6) AS frequent_cover FROM w""")
 def page_features(spark, d):
-    return table(spark, d, "pages").select("page_id", *(c.alias(k) for k, c in P.html_features(F.col("html"), FREQUENT).items()))
+    columns = P.html_features(F.col("html"), FREQUENT, F.col("text"), F.col("words"))
+    return P.read_once(table(spark, d, "pages")).select("page_id", *(c.alias(k) for k, c in columns.items()))
 
 
 def _lines(sql: str) -> str:
@@ -130,9 +131,9 @@ def page_lemmas_learned(spark, d):
 
 def marked(spark, d):
     """page_id, features, label: pages by URL and markup; 1 where the visible text has a run of three marks for every four words. No feature counts marks."""
-    pages = table(spark, d, "pages")
-    columns = P.html_features(F.col("html"), FREQUENT) | P.url_features(F.col("url"))
-    runs = F.regexp_count(S.visible_text(F.col("html")), F.lit(r"([%*#$])\1\1"))
+    pages = P.read_once(table(spark, d, "pages"))
+    columns = P.html_features(F.col("html"), FREQUENT, F.col("text"), F.col("words")) | P.url_features(F.col("url"))
+    runs = F.regexp_count("text", F.lit(r"([%*#$])\1\1"))
     x = pages.select("page_id", runs.alias("runs"), *(c.alias(k) for k, c in columns.items()))
     return x.select("page_id", F.array(*(F.col(k).cast("double") for k in columns)).alias("features"), (F.col("runs") * 4 > F.col("n_words")).cast("int").alias("label"))
 
