@@ -43,7 +43,7 @@ GENERATED = """
 WITH RECURSIVE said MAX RECURSION LEVEL {levels} AS (
   SELECT key, 0 AS pos, term FROM {starts}
   UNION ALL
-  SELECT s.key, s.pos + 1, n.w2 FROM said s JOIN {next} n ON n.w1 = s.term
+  SELECT {hint} s.key, s.pos + 1, n.w2 FROM said s JOIN {next} n ON n.w1 = s.term
   WHERE s.pos < {steps} AND conv(substring(md5(concat('{seed}', ':', s.key, ':', s.pos)), 1, 8), 16, 10)::bigint % n.total BETWEEN n.low AND n.high - 1)
 SELECT key, pos, term FROM said"""
 
@@ -58,12 +58,15 @@ def successors(words: DataFrame) -> DataFrame:
 
 def generated(starts: DataFrame, words: DataFrame, steps: int, seed: int = 0) -> DataFrame:
     """key, pos, term: from each start (key, distinct, and term) up to so many words more, each drawn from the bigrams of the word before, by recursive SQL. The draw is the first 32 bits of md5 of
-    "seed:key:pos" modulo the number of those bigrams, so it is the same wherever it is made. A text ends with a word that nothing follows; a null start stays alone."""
+    "seed:key:pos" modulo the number of those bigrams, so it is the same wherever it is made. A text ends with a word that nothing follows; a null start stays alone. A level has a row for each start at
+    most, which goes to the bigrams if there are at most MOST_ASKED; else the bigrams are shuffled at each level."""
     spark, tag = starts.sparkSession, uuid.uuid4().hex
     names = {"starts": f"_starts_{tag}", "next": f"_next_{tag}"}
-    saved(starts.select("key", "term")).createOrReplaceTempView(names["starts"])
+    starts = saved(starts.select("key", "term"))
+    starts.createOrReplaceTempView(names["starts"])
+    hint = "/*+ BROADCAST(s) */" if starts.count() <= MOST_ASKED else ""
     saved(successors(words)).createOrReplaceTempView(names["next"])
-    out = spark.sql(GENERATED.format(steps=steps, levels=steps + 2, seed=seed, **names))
+    out = spark.sql(GENERATED.format(steps=steps, levels=steps + 2, seed=seed, hint=hint, **names))
     for name in names.values():
         spark.catalog.dropTempView(name)
     return out
