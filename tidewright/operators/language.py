@@ -97,6 +97,8 @@ def query_cost(queries: DataFrame, unigram: DataFrame, bigram: DataFrame) -> Dat
 
 def aligned(typed: str, fixed: str) -> list[tuple[str, str]]:
     """Pairs (fixed character, typed character) of a shortest edit script; _ is a gap."""
+    if typed == fixed:
+        return list(zip(fixed, typed, strict=True))
     n, m = len(typed), len(fixed)
     d = [[i + j if i * j == 0 else 0 for j in range(m + 1)] for i in range(n + 1)]
     for i in range(1, n + 1):
@@ -117,7 +119,7 @@ def aligned(typed: str, fixed: str) -> list[tuple[str, str]]:
 
 
 def error_model(corrections: DataFrame, order: int = 1) -> DataFrame:
-    """corrections (original, fixed) to fix, orig, n, cost: -ln p(orig | fix) of characters, or with order 2 of each two that follow each other, ^ ending a
+    """corrections (original, fixed, and maybe times, how often) to fix, orig, n, cost: -ln p(orig | fix) of characters, or with order 2 of each two that follow each other, ^ ending a
     text. = parts words: it is a character by itself, but in no pair."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +133,7 @@ def error_model(corrections: DataFrame, order: int = 1) -> DataFrame:
                 rows += [(*e, times) for e in edits]
             yield pd.DataFrame(rows, columns=["fix", "orig", "times"]).groupby(["fix", "orig"], as_index=False, sort=False)["times"].sum()
 
-    known = corrections.where("original is not null and fixed is not null").groupBy("original", "fixed").agg(F.count("*").alias("times"))  # each is aligned once
+    known = corrections.where("original is not null and fixed is not null").groupBy("original", "fixed").agg((F.sum("times") if "times" in corrections.columns else F.count("*")).alias("times"))  # each is aligned once
     n = known.mapInPandas(scan, "fix string, orig string, times long").groupBy("fix", "orig").agg(F.sum("times").alias("n"))
     total = n.groupBy("fix").agg(F.sum("n").alias("total"))
     return n.join(total, "fix").select("fix", "orig", "n", (F.log("total") - F.log("n")).alias("cost"))

@@ -102,7 +102,8 @@ def spell_weighted(spark, d):
 def learned(spark, d):
     """Edits learned from misspelt conversations, which no query corrects."""
     said = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(S.tokens(F.col("text"))).alias("pos", "t"))
-    known = K.misspelt(said, "conv_id", "turn", "pos").select(F.col("word").alias("original"), F.col("t").alias("fixed"))
+    known = K.misspelt(said, "conv_id", "turn", "pos").groupBy(F.col("word").alias("original"), F.col("t").alias("fixed")).agg(F.count("*").alias("times"))
+    known = C.saved(known)  # both models are learned from the same counts
     return K.edits(L.error_model(known), L.error_model(known, 2), limit=6.0)
 
 
