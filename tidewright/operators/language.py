@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.strings import TOKEN
 from tidewright.operators.control import saved
 
 #: Cost of what a model has never seen.
 UNSEEN = 100.0
 #: Terms that are sent to all tasks, at most, to pick a corpus's n-grams.
 MOST_ASKED = 500_000
+#: Words whose pairs a task counts at once, about, and rows that it hands on at once.
+BLOCK_WORDS, BLOCK_ROWS = 2_000_000, 50_000
+FOLLOWERS = "w1 string, w2 array<string>, n array<long>"
 
 
 def unigrams(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -25,18 +33,107 @@ def unigrams(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("term", "n", (F.log("total") - F.log("n")).alias("cost"))  # total is one row
 
 
-def pairs(words: DataFrame) -> DataFrame:
-    """w1, w2 for each place of each text, without a shuffle."""
-    zipped = F.arrays_zip(F.col("w").alias("w1"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("w2"))
-    return words.where(F.size("w") > 1).select(F.explode(F.slice(zipped, F.lit(1), F.size("w") - 1)).alias("p")).select(F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2"))
+def found_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The words of some texts, one after another, and how many each text has."""
+    find = re.compile(TOKEN).findall
+    for batch in batches:
+        w = batch.column(0).drop_null()
+        if pa.types.is_list(w.type):
+            yield w.flatten(), w.value_lengths().to_numpy()
+            continue
+        flat, sizes = [], []
+        for text in w:
+            found = find(text.as_py())
+            flat += found
+            sizes.append(len(found))
+            if len(flat) >= BLOCK_WORDS // 8:  # as Python strings they take the most memory
+                yield pa.array(flat, "string"), np.array(sizes)
+                flat, sizes = [], []
+        yield pa.array(flat, "string"), np.array(sizes, np.int64)
+
+
+def rows_of_first(a: np.ndarray, b: np.ndarray, n: np.ndarray, first: pa.Array, second: pa.Array) -> pa.RecordBatch:
+    """FOLLOWERS, a row for each run of a, from places a in first, b in second."""
+    starts = np.flatnonzero(np.diff(a, prepend=-1))
+    offsets = pa.array(np.append(starts, len(a)), "int32")
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (second.take(pa.array(b)), pa.array(n, "int64"))]
+    return pa.RecordBatch.from_arrays([first.take(pa.array(a[starts])), *lists], ["w1", "w2", "n"])
+
+
+def counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FOLLOWERS of each block of texts: the words that follow a word there, and how often."""
+
+    def block(held: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode(null_encoding="encode")
+        ids, terms, inside = coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.ones(len(coded), bool)
+        ends = np.cumsum(np.concatenate([[0], *(size for _, size in held)]))
+        inside[ends[ends < len(ids)]] = False  # a text begins there
+        at = np.flatnonzero(inside)
+        key, n = np.unique(ids[at - 1] * len(terms) + ids[at], return_counts=True)
+        a, b = np.divmod(key, max(1, len(terms)))
+        rows = rows_of_first(a, b, n, terms, terms)
+        rows = rows.filter(pc.is_valid(rows.column("w1")))
+        yield from (rows.slice(k, BLOCK_ROWS) for k in range(0, len(rows), BLOCK_ROWS))
+
+    held: list[tuple[pa.Array, np.ndarray]] = []
+    for words in found_words(batches):
+        held.append(words)
+        if sum(len(w) for w, _ in held) >= BLOCK_WORDS:
+            yield from block(held)
+            held = []
+    if held:
+        yield from block(held)
+
+
+def summed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FOLLOWERS in order of w1 to w1, w2, n, total. Rows of one w1 are added up as they come, so that it takes memory for its distinct followers and a block."""
+
+    def block(held: list[pa.RecordBatch], over: bool):
+        """The pairs' rows; unless it's over, the last w1 stays, as FOLLOWERS."""
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        firsts, seconds = rows.column("w1").dictionary_encode(), rows.column("w2").flatten().dictionary_encode(null_encoding="encode")
+        a = np.repeat(firsts.indices.to_numpy().astype(np.int64), rows.column("w2").value_lengths().to_numpy())
+        width = len(seconds.dictionary)
+        key = a * width + seconds.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        n = np.add.reduceat(rows.column("n").flatten().to_numpy()[order], starts)
+        a, b = np.divmod(key[order[starts]], width)
+        end = len(a) if over else np.searchsorted(a, a[-1])
+        left = rows_of_first(a[end:], b[end:], n[end:], firsts.dictionary, seconds.dictionary)
+        a, b, n = a[:end], b[:end], n[:end]
+        runs = np.flatnonzero(np.diff(a, prepend=-1))
+        total = np.repeat(np.add.reduceat(n, runs), np.diff(runs, append=end)) if end else n
+        columns = [firsts.dictionary.take(pa.array(a)), seconds.dictionary.take(pa.array(b)), pa.array(n), pa.array(total)]
+        return pa.RecordBatch.from_arrays(columns, ["w1", "w2", "n", "total"]), left
+
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, BLOCK_WORDS
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += len(batch.column("w2").flatten())
+        if size >= limit:
+            out, left = block(held, False)
+            yield from (out.slice(k, BLOCK_ROWS) for k in range(0, len(out), BLOCK_ROWS))
+            held, size = [left], len(left.column("w2").flatten())
+            limit = BLOCK_WORDS + 2 * size
+    if held:
+        out, _ = block(held, True)
+        yield from (out.slice(k, BLOCK_ROWS) for k in range(0, len(out), BLOCK_ROWS))
+
+
+def pair_counts(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """words (w: an array, or a text in lower case) to w1, w2, n, and total, the pairs that start with w1; of the asked first words (w1, distinct) alone, if given. Pairs are counted in blocks of
+    texts; a row for each block and first word is shuffled, once, with all that follows it."""
+    rows = words.select("w").mapInArrow(counted_pairs, FOLLOWERS)
+    rows = rows if asked is None else rows.join(asked, "w1", "left_semi")
+    return rows.repartition("w1").sortWithinPartitions("w1").mapInArrow(summed_pairs, "w1 string, w2 string, n long, total long")
 
 
 def bigrams(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """w1, w2, n, cost: -ln p(w2 | w1), normalised by the bigrams that start with w1; of the asked first words (w1, distinct) alone, if given."""
-    every = pairs(words)
-    n = (every if asked is None else every.join(asked, "w1", "left_semi")).groupBy("w1", "w2").agg(F.count("*").alias("n"))
-    start = n.groupBy("w1").agg(F.sum("n").alias("total"))
-    return n.join(start, "w1").select("w1", "w2", "n", (F.log("total") - F.log("n")).alias("cost"))
+    """w1, w2, n, cost: -ln p(w2 | w1), normalised by the bigrams that start with w1; words and asked as in pair_counts()."""
+    return pair_counts(words, asked).select("w1", "w2", "n", (F.log("total") - F.log("n")).alias("cost"))
 
 
 GENERATED = """
@@ -50,10 +147,9 @@ SELECT key, pos, term FROM said"""
 
 def successors(words: DataFrame) -> DataFrame:
     """w1, w2, low, high, total: a number from 0 below total, the bigrams that start with w1, falls to one w2; frequent ones first, then by word."""
-    n = pairs(words).groupBy("w1", "w2").agg(F.count("*").alias("n"))
     order = Window.partitionBy("w1").orderBy(F.desc("n"), "w2")
     high = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return n.select("w1", "w2", (high - F.col("n")).alias("low"), high.alias("high"), F.sum("n").over(Window.partitionBy("w1")).alias("total"))
+    return pair_counts(words).select("w1", "w2", (high - F.col("n")).alias("low"), high.alias("high"), "total")
 
 
 def generated(starts: DataFrame, words: DataFrame, steps: int, seed: int = 0) -> DataFrame:

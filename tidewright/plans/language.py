@@ -24,8 +24,9 @@ def words(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("key"), S.tokens(F.col("text")).alias("w"))
 
 
-def talk(spark, d):
-    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), S.tokens(F.col("text")).alias("w"))
+def lowered(text):
+    """Texts whose words bigrams() finds itself, where nothing else needs them."""
+    return F.lower(text).alias("w")
 
 
 @query(DOCS + "SELECT term, n, round(cost, 6) + 0 AS cost FROM uni")
@@ -35,12 +36,12 @@ def unigram_model(spark, d):
 
 @query(DOCS + "SELECT w1, w2, n, round(cost, 6) + 0 AS cost FROM big")
 def bigram_model(spark, d):
-    return L.bigrams(words(spark, d)).withColumn("cost", F.round("cost", 6) + 0)
+    return L.bigrams(table(spark, d, "documents").select(lowered(F.col("text")))).withColumn("cost", F.round("cost", 6) + 0)
 
 
 @query(TALK + "SELECT w1, w2, n, round(cost, 6) + 0 AS cost FROM big")
 def dialogue_bigrams(spark, d):
-    return L.bigrams(talk(spark, d)).withColumn("cost", F.round("cost", 6) + 0)
+    return L.bigrams(table(spark, d, "conversations").select(lowered(F.col("text")))).withColumn("cost", F.round("cost", 6) + 0)
 
 
 @query(DOCS + """, q AS (SELECT item_id AS key, regexp_extract_all(lower(text), '[A-Za-zА-Яа-я0-9]+') AS w FROM benchmark),
@@ -78,4 +79,4 @@ SELECT key, pos, term FROM said""")
 def generated_text(spark, d):
     """Texts that begin as the benchmark's do and go on for up to 12 words as conversations would."""
     starts = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.get(S.tokens(F.col("text")), F.lit(0)).alias("term")).where("term is not null")
-    return L.generated(starts, talk(spark, d), 12, 7)
+    return L.generated(starts, table(spark, d, "conversations").select(lowered(F.col("text"))), 12, 7)
