@@ -50,6 +50,17 @@ def test_blocks_add_up(monkeypatch, block, text):
     assert len(got) == len(set(got)) and set(got) == brute(texts)
 
 
+def test_blocks_of_columns_without_nulls(monkeypatch):
+    """As a join with asked words leaves them."""
+    monkeypatch.setattr(L, "BLOCK_WORDS", 2)
+    items = lambda kind: pa.list_(pa.field("element", kind))
+    schema = pa.schema([pa.field("w1", pa.string(), False), ("w2", items(pa.string())), ("n", items(pa.int64()))])
+    rows = [{"w1": w, "w2": ["x", "y"], "n": [1, 2]} for w in "aaabbc"]
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 1], schema) for k in range(6)]
+    got = {tuple(r.values()) for b in L.summed_pairs(iter(batches)) for r in b.to_pylist()}
+    assert got == {(w, x, times * n, times * 3) for w, times in (("a", 3), ("b", 2), ("c", 1)) for x, n in (("x", 1), ("y", 2))}
+
+
 def test_nothing_gives_nothing():
     empty = pa.RecordBatch.from_arrays([pa.array(["", None, "?"])], ["w"])
     assert not sum(len(b) for b in L.counted_pairs(iter([empty]))) and not list(L.counted_pairs(iter([]))) and not list(L.summed_pairs(iter([])))

@@ -116,7 +116,7 @@ def summed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= limit:
             out, left = block(held, False)
             yield from (out.slice(k, BLOCK_ROWS) for k in range(0, len(out), BLOCK_ROWS))
-            held, size = [left], len(left.column("w2").flatten())
+            held, size = [left.cast(batch.schema)], len(left.column("w2").flatten())  # Spark's columns may be without nulls
             limit = BLOCK_WORDS + 2 * size
     if held:
         out, _ = block(held, True)
