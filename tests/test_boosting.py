@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.operators import boosting as B
 from tidewright.sources import tables
@@ -121,3 +122,21 @@ def test_features_with_one_bin(spark, rows):
         return [(r.tree, r.node, None if r.feature is None else r.feature - shift, r.threshold, None if r.value is None else round(r.value, 9)) for r in found]
 
     assert model([(k, [0.0, *x, 7.0], y, s) for k, x, y, s in rows], 1) == model(rows, 0)
+
+
+def test_all_rows_train(spark):
+    """More than the 4 000 000 that were the bound."""
+    n = 4_100_000
+    rows = spark.range(n).select(F.col("id").alias("key"), F.array(F.lit(1.0)).alias("features"), F.lit(0).alias("label"))
+    leaf = B.train(rows, trees=1, depth=1).first()
+    assert leaf.value == pytest.approx(-0.1 * (n / 2) / (n / 4 + 1), rel=1e-12)
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(4)
+    rows = [([rng.choice((0.0, 1.5, 7.0)), rng.gauss(0, 1), None if rng.random() < 0.5 else rng.random(), None, 3.0],) for _ in range(700)]
+    df = spark.createDataFrame([*rows, ([2.0],), (None,), ([],)], "features array<double>")
+    shares = [k / 32 for k in range(1, 32)]
+    want = df.agg(*(F.percentile(F.get("features", F.lit(k)), shares) for k in range(5))).first()
+    assert B.quantiles(df, 5, shares) == [list(w or []) for w in want]
+    assert B.quantiles(df.limit(0), 2, shares) == [[], []]

@@ -1,12 +1,12 @@
 """Gradient-boosted trees by histograms, trained by tasks that run together.
 
-Each task holds a share of the training rows, TASK_ROWS at most, as the bins of their features. A level of a tree needs the sums of gradients and hessians by node, feature and bin; tasks
+Each task holds a share of the training rows, TASK_ROWS of them while there are tasks enough, as the bins of their features, a byte each. A level of a tree needs the sums of gradients and hessians by node, feature and bin; tasks
 exchange theirs by allGather and add them in the tasks' order, so all come to the same sums and the same splits, and no row moves. The whole ensemble is one
 barrier stage: should a task be lost, the stage begins anew and gives the same trees. An exchange takes about a second whatever its size, and each tree needs `depth` of them, which is more than what
 4 million rows take one task; so by default one task trains. A feature that has one bin in a task is not summed by bin there.
 
-Training takes at most `most_rows` rows, those of the least hash where there are more: a model is fitted to a bounded, documented sample. Scoring is a plain map over any
-number of rows. The model is a table (tree, node, feature, threshold, value): node n has children 2n + 1 (feature < threshold) and 2n + 2; a leaf has no feature.
+Training takes all rows, unless the caller gives `most_rows`, and then those of the least hash. The tasks must hold them: some 130 bytes a row and one for each feature. Bins are
+exact quantiles of all of them. Scoring is a plain map over any number of rows. The model is a table (tree, node, feature, threshold, value): node n has children 2n + 1 (feature < threshold) and 2n + 2; a leaf has no feature.
 
 Loss is logistic; a leaf is -rate * G / (H + l2); a split needs a positive gain and `least_weight` hessian on both sides; the first feature and bin win ties. Null or NaN features
 count as 0, and so do those that a shorter array lacks; null labels are left out. Without rows of training the model is one empty leaf, and scores are 0.5.
@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import BarrierTaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.operators.control import saved
+
 MODEL = "tree int, node int, feature int, threshold double, value double"
-#: Rows of training, and rows for a task of it.
-MOST_ROWS, TASK_ROWS = 4_000_000, 4_000_000
+#: Rows of training for a task of it.
+TASK_ROWS = 4_000_000
 
 
 def clean(column: str = "features"):
@@ -44,11 +46,39 @@ def tasks_of(n: int, slots: int) -> int:
     return max(1, min(slots, -(-n // TASK_ROWS)))
 
 
+def quantiles(rows: DataFrame, n_features: int, shares: list[float]) -> list[list[float]]:
+    """Of each feature those at the shares, interpolated as percentile() does; none of a feature without values. Values are counted, then sorted over all tasks, so that none holds all of a feature's."""
+    each = rows.select(F.posexplode("features").alias("feature", "v")).where((F.col("feature") < n_features) & F.col("v").isNotNull())
+    counts = saved(each.groupBy("feature", "v").agg(F.count("*").alias("n")).repartitionByRange("feature", "v")).withColumn("part", F.spark_partition_id())
+    held: list[list[tuple[int, int]]] = [[] for _ in range(n_features)]
+    for r in counts.groupBy("feature", "part").agg(F.sum("n").alias("n")).orderBy("feature", "part").collect():  # rows for each feature and part at most
+        held[r.feature].append((r.part, r.n))
+    totals = [sum(n for _, n in parts) for parts in held]
+    places = [sorted({p for s in shares for p in (int(np.floor(s * (n - 1))), int(np.ceil(s * (n - 1))))}) if n else [] for n in totals]
+    wanted = []
+    for feature, parts in enumerate(held):
+        ends = np.cumsum([n for _, n in parts])
+        for place in places[feature]:
+            k = int(np.searchsorted(ends, place, "right"))
+            wanted.append((feature, parts[k][0], place, place - int(ends[k] - parts[k][1])))
+    if not wanted:
+        return [[] for _ in held]
+    asked = F.broadcast(rows.sparkSession.createDataFrame(wanted, "feature int, part int, place long, at long"))  # two for each feature and share
+    run = counts.withColumn("high", F.sum("n").over(Window.partitionBy("feature", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    inside = (F.col("at") < F.col("high")) & (F.col("at") >= F.col("high") - F.col("n"))
+    found = {(r.feature, r.place): r.v for r in run.join(asked, ["feature", "part"]).where(inside).select("feature", "place", "v").collect()}
+
+    def between(feature: int, at: float) -> float:
+        low, high = int(np.floor(at)), int(np.ceil(at))
+        a, b = found[feature, low], found[feature, high]
+        return a if a == b else (high - at) * a + (at - low) * b
+
+    return [[between(k, s * (n - 1)) for s in shares] if n else [] for k, n in enumerate(totals)]
+
+
 def bin_edges(rows: DataFrame, n_features: int, bins: int) -> list[np.ndarray]:
     """Thresholds between bins of each feature: exact quantiles, each once; below the first is bin 0."""
-    shares = [k / bins for k in range(1, bins)]
-    found = rows.agg(*(F.percentile(F.col("features")[k], shares).alias(f"q{k}") for k in range(n_features))).first()
-    return [np.unique(np.array(q if q is not None else [], np.float64)) for q in found]
+    return [np.unique(np.array(q, np.float64)) for q in quantiles(rows, n_features, [k / bins for k in range(1, bins)])]
 
 
 def best_splits(g: np.ndarray, h: np.ndarray, l2: float, least_weight: float) -> list[tuple[int, int] | None]:
@@ -63,20 +93,21 @@ def best_splits(g: np.ndarray, h: np.ndarray, l2: float, least_weight: float) ->
     return [divmod(int(k), gain.shape[2]) if flat[n, k] > 1e-9 else None for n, k in enumerate(at)]
 
 
-def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1, bins: int = 32, l2: float = 1.0, least_weight: float = 1.0, most_rows: int = MOST_ROWS) -> DataFrame:
+def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1, bins: int = 32, l2: float = 1.0, least_weight: float = 1.0, most_rows: int | None = None) -> DataFrame:
     """rows (key, features: array<double>, label: 0 or 1) to the model's table. Runs a job."""
     spark = rows.sparkSession
     known = rows.where("label is not null and features is not null").select("key", clean().alias("features"), F.col("label").cast("int").alias("label"))
     n = known.count()
-    if n > most_rows:
+    if most_rows is not None and n > most_rows:
         cut = known.select(F.percentile(F.xxhash64("key"), most_rows / n)).first()[0]
         known = known.where(F.xxhash64("key") <= cut)
+        n = most_rows
     if not n:
         return spark.createDataFrame([(0, 0, None, None, 0.0)], MODEL)
     n_features = max(1, known.agg(F.max(F.size("features"))).first()[0])
     known = known.withColumn("features", filled("features", n_features))
     edges = bin_edges(known, n_features, bins)
-    tasks = tasks_of(min(n, most_rows), spark.sparkContext.defaultParallelism)
+    tasks = tasks_of(n, spark.sparkContext.defaultParallelism)
     width = max(map(len, edges), default=0) + 1
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +117,11 @@ def train(rows: DataFrame, trees: int = 1000, depth: int = 3, rate: float = 0.1,
             values = b.column("features").flatten().to_numpy().reshape(-1, n_features)
             x.append(np.stack([np.searchsorted(e, values[:, k], "right") for k, e in enumerate(edges)], axis=1).astype(np.uint8))
             y.append(b.column("label").to_numpy().astype(np.float64))
-        x, y = np.concatenate(x), np.concatenate(y)
+        y, flat = np.concatenate(y), np.ravel(np.concatenate(x), "F")  # one feature after another
+        x = flat.reshape(n_features, -1)
         margin, every, cells = np.zeros(len(y)), np.arange(len(y)), np.empty(len(y), np.intp)
-        alone = [int(c[0]) if len(c) and (c == c[0]).all() else None for c in x.T]  # the only bin of a feature that has one here
-        columns, flat = [c.astype(np.intp) if k is None else None for c, k in zip(x.T, alone, strict=True)], np.ravel(x, "F")
+        alone = [int(c[0]) if len(c) and (c == c[0]).all() else None for c in x]  # the only bin of a feature that has one here
+        columns = [c if k is None else None for c, k in zip(x, alone, strict=True)]
         out = []
 
         def summed(own: np.ndarray) -> np.ndarray:
